@@ -32,15 +32,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def running_position(
-    df: DataFrame, group: list[str], order: list[Column], weight: Column, out: str, slices: int = 1024
+    df: DataFrame, group: list[str], order: list[Column], weight: Column, out: str, slices: int = 1024, slice_of: Column | None = None
 ) -> DataFrame:
     """Exclusive running sum of ``weight`` within ``group``, in a shuffled order.
 
-    The order is (slice, ``order``), where the slice is a hash of ``order``;
-    so a group of any size is summed in ``slices`` windows, whose totals make
+    The order is (slice, ``order``), where the slice is ``slice_of`` or else a
+    hash of ``order``; so a group of any size is summed in ``slices`` windows, whose totals make
     a table of at most ``slices`` rows a group. No window holds a whole group.
     """
-    tagged = df.withColumn("__slice", F.pmod(F.xxhash64(F.lit(7), *order), F.lit(slices)).cast("int")).withColumn("__w", weight)
+    cut = F.pmod(F.xxhash64(F.lit(7), *order), F.lit(slices)) if slice_of is None else slice_of
+    tagged = df.withColumn("__slice", cut.cast("int")).withColumn("__w", weight)
     key = [*group, "__slice"]
     totals = tagged.groupBy(*key).agg(F.sum("__w").alias("__total"))
     before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quiverlake.llm._common import read
+from quiverlake.llm.fingerprints import fingerprint_edits
+from quiverlake.llm.mixing import mix, words_taken
 from quiverlake.llm.token_counts import token_counts
 
 
@@ -14,8 +16,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), limit=4096)
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words_taken(*mix(read(spark, sf_dir, "documents")))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_source_mixing": op4_source_mixing,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
