@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quiverlake.llm._common import read
 from quiverlake.llm.fingerprints import fingerprint_edits
 from quiverlake.llm.mixing import mix, words_taken
+from quiverlake.llm.simhash import simhash_groups
 from quiverlake.llm.token_counts import token_counts
 
 
@@ -16,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), limit=4096)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(read(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_taken(*mix(read(spark, sf_dir, "documents")))
 
@@ -26,6 +31,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_simhash": op3_simhash,
     "op4_source_mixing": op4_source_mixing,
     "op10_fingerprints": op10_fingerprints,
 }
