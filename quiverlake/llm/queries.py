@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quiverlake.llm._common import read
+from quiverlake.llm.ann import nearest
 from quiverlake.llm.fingerprints import fingerprint_edits
 from quiverlake.llm.mixing import mix, words_taken
 from quiverlake.llm.simhash import simhash_groups
@@ -25,6 +27,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_taken(*mix(read(spark, sf_dir, "documents")))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(read(spark, sf_dir, "documents"))
 
@@ -33,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_simhash": op3_simhash,
     "op4_source_mixing": op4_source_mixing,
+    "op8_nearest": op8_nearest,
     "op10_fingerprints": op10_fingerprints,
 }
 
