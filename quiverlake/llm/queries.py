@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quiverlake.llm._common import read
 from quiverlake.llm.ann import nearest
 from quiverlake.llm.fingerprints import fingerprint_edits
+from quiverlake.llm.main_text import extract_main_text
 from quiverlake.llm.mixing import mix, words_taken
 from quiverlake.llm.simhash import simhash_groups
 from quiverlake.llm.token_counts import token_counts
@@ -31,6 +32,10 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(read(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_source_mixing": op4_source_mixing,
     "op8_nearest": op8_nearest,
+    "op9_main_text": op9_main_text,
     "op10_fingerprints": op10_fingerprints,
 }
 
