@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quiverlake.llm._common import read
 from quiverlake.llm.ann import nearest
 from quiverlake.llm.fingerprints import fingerprint_edits
+from quiverlake.llm.language import fit_language, predict_language
 from quiverlake.llm.main_text import extract_main_text
 from quiverlake.llm.mixing import mix, words_taken
 from quiverlake.llm.simhash import simhash_groups
@@ -20,6 +21,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), limit=4096)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    model = fit_language(docs, ~held_out)
+    return predict_language(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ["doc_id", "held_out"])
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
@@ -42,6 +50,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_language": op2_language,
     "op3_simhash": op3_simhash,
     "op4_source_mixing": op4_source_mixing,
     "op8_nearest": op8_nearest,
