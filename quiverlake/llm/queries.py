@@ -13,6 +13,7 @@ from quiverlake.llm.fingerprints import fingerprint_edits
 from quiverlake.llm.language import fit_language, predict_language
 from quiverlake.llm.main_text import extract_main_text
 from quiverlake.llm.mixing import mix, words_taken
+from quiverlake.llm.quality import featurise, fit_quality, score_quality
 from quiverlake.llm.simhash import simhash_groups
 from quiverlake.llm.token_counts import token_counts
 
@@ -36,6 +37,11 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_taken(*mix(read(spark, sf_dir, "documents")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = featurise(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return score_quality(features, fit_quality(features))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_simhash": op3_simhash,
     "op4_source_mixing": op4_source_mixing,
+    "op7_quality": op7_quality,
     "op8_nearest": op8_nearest,
     "op9_main_text": op9_main_text,
     "op10_fingerprints": op10_fingerprints,
