@@ -11,8 +11,10 @@ from quiverlake.llm._common import read
 from quiverlake.llm.ann import nearest
 from quiverlake.llm.fingerprints import fingerprint_edits
 from quiverlake.llm.language import fit_language, predict_language
+from quiverlake.llm.licenses import ANCHORS, TEMPLATES, WORDS, scan
 from quiverlake.llm.main_text import extract_main_text
 from quiverlake.llm.mixing import mix, words_taken
+from quiverlake.llm.packing import pack_documents
 from quiverlake.llm.quality import featurise, fit_quality, score_quality
 from quiverlake.llm.simhash import simhash_groups
 from quiverlake.llm.token_counts import token_counts
@@ -37,6 +39,18 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_taken(*mix(read(spark, sf_dir, "documents")))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths: a folder for each source and hundred ids; the document that opens a hundred is the folder's license file."""
+    block = F.floor(F.col("doc_id") / 100).cast("string")
+    name = F.when(F.pmod("doc_id", F.lit(100)) == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), block, F.lit("/"), name)
+    return scan(read(spark, sf_dir, "documents"), "doc_id", path)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = featurise(read(spark, sf_dir, "documents"), "doc_id", "text")
     return score_quality(features, fit_quality(features))
@@ -59,11 +73,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_simhash": op3_simhash,
     "op4_source_mixing": op4_source_mixing,
+    "op5_licenses": op5_licenses,
+    "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_nearest": op8_nearest,
     "op9_main_text": op9_main_text,
     "op10_fingerprints": op10_fingerprints,
 }
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_OP5_SQL = f"""
+with files as (
+  select doc_id, text, '/' || coalesce(source, 'none') || '/' || cast(doc_id // 100 as varchar) || '/'
+    || case when doc_id % 100 = 0 then 'LICENSE' else cast(doc_id as varchar) || '.txt' end as path
+  from documents),
+lines as (
+  select distinct doc_id, path, generate_subscripts(l, 1) as pos, unnest(l) as line
+  from (select doc_id, path, string_split(replace(text, '. ', '.' || chr(10)), chr(10)) as l from files where regexp_matches(lower(text), '{ANCHORS}'))),
+passages as (select doc_id, path, pos, line, regexp_extract_all(lower(line), '{WORDS}') as words from lines where regexp_matches(lower(line), '{ANCHORS}')),
+counted as (select doc_id, path, pos, word, count(*) as tf from (select doc_id, path, pos, unnest(words) as word from passages) group by all),
+total as (select count(*) as n from passages),
+frequency as (select word, count(*) as df from counted group by word),
+templates(template, license, notice) as (values {", ".join(f"({k}, {_literal(a)}, {_literal(b)})" for k, (a, b) in enumerate(TEMPLATES))}),
+terms as (
+  select template, license, t.word, t.tf * (ln((1.0::double + n) / (1.0 + coalesce(df, 0))) + 1.0) as w
+  from (select template, license, word, count(*) as tf from (select template, license, unnest(regexp_extract_all(lower(notice), '{WORDS}')) as word from templates) group by all) t
+  left join frequency f on f.word = t.word, total),
+unit as (select template, license, word, w / sqrt(sum(w * w) over (partition by template)) as tw from terms),
+weighed as (
+  select doc_id, path, pos, c.word, w, sqrt(sum(w * w) over (partition by doc_id, path, pos)) as norm
+  from (select doc_id, path, pos, c.word, tf * (ln((1.0::double + n) / (1.0 + df)) + 1.0) as w from counted c join frequency f on f.word = c.word, total) c),
+scored as (select doc_id, path, license, round(sum(w * tw) / max(norm), 6) as score from weighed p join unit u on u.word = p.word group by doc_id, path, pos, template, license),
+own as (
+  select doc_id, path, license, score from (
+    select *, row_number() over (partition by doc_id, path order by score desc, license) as n from (select doc_id, path, license, max(score) as score from scored where score >= 0.6 group by all))
+  where n = 1),
+licensed as (select regexp_replace(path, '/?[^/]*$', '') as folder, arg_max(license, (score, license)) as license from own where path like '%/LICENSE' group by 1)
+select f.doc_id, f.path, o.license as own_license, o.score as own_score, coalesce(o.license, b.license) as license,
+  case when o.license is null then b.folder end as license_from
+from files f left join own o on o.doc_id = f.doc_id and o.path = f.path left join licensed b on b.folder = regexp_replace(f.path, '/?[^/]*$', '')
+"""
+
 #: DuckDB SQL of those that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_licenses": _OP5_SQL}
