@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiverlake.llm._common import WORD
 from quiverlake.llm.language import fit_language, sure_language
 from quiverlake.llm.mixing import mix, words_taken
 from quiverlake.llm.packing import pack_documents
@@ -50,11 +51,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes its words, the last time rounded up; those not taken go."""
+    """Each document as many times as the mix takes its words, the last time rounded up; those not taken go.
+
+    Rows with one id come equally often; rows without a word go.
+    """
     taken = words_taken(*mix(docs)).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
     copies = taken.filter("t > 0").select(F.col("doc_id").alias("__id"), F.ceil(F.col("t") / F.col("s")).cast("int").alias("__copies"))
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[joined[c] for c in docs.columns])
+    worded = docs.filter(F.col("text").rlike(WORD))
+    joined = worded.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
