@@ -175,6 +175,8 @@ def blocks(page: str) -> list[tuple]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
+    if not found:
+        return ""
     size = [(w, a / w) for _, w, a, *_ in found]
     edge = [(0, 0.0)]
     kept = []
