@@ -210,4 +210,5 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     named = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("fp", "component_id", F.lit(True).alias("linked"))
     classes = nodes.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    classes = cut_lineage(classes)  # read from storage, so that the join below can split a fingerprint that many texts have
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
