@@ -1,0 +1,94 @@
+"""The engine as a search index beside a host's table of documents. The host is the truth."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quiverlake.functions import text as X
+from quiverlake.operators import hybrid
+from quiverlake.operators import visibility as VIS
+from quiverlake.plans.engine import RERANKED, Engine, EngineOptions
+from quiverlake.schema import DEFAULT_SHARD, Collection
+
+KNOWN_OPERATIONS = ("upsert", "repair", "backfill", "delete", "unpublish")
+METADATA = {"region": "keyword", "status": "keyword", "source_table": "keyword"}
+
+
+def sync_actions(known: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document_id, operation, document columns): published documents are upserted, all other known ids deleted."""
+    host = documents.withColumn("__there", F.lit(True))
+    joined = known.select("document_id").distinct().join(host, "document_id", "left")
+    keep = F.coalesce(F.col("__there") & (F.col("status") == "published"), F.lit(False))
+    return joined.withColumn("operation", F.when(keep, "upsert").otherwise("delete")).drop("__there")
+
+
+def indexed_ids(rows: DataFrame) -> DataFrame:
+    """Document ids of the indexed vectors; ids without the prefix are not documents."""
+    return rows.select(X.document_id_of(F.col("vector_id")).alias("document_id")).where("document_id is not null").distinct()
+
+
+def known_ids(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    return documents.select("document_id").union(indexed_ids(rows)).distinct()
+
+
+class Sidecar:
+    """``host``: an object with ``documents(include_unpublished)``, as in ``sources.host``."""
+
+    def __init__(self, spark: SparkSession, root: str, host, collection_id: str = "documents", groups=X.DEFAULT_GROUPS, source_table: str = "documents", options: EngineOptions | None = None):
+        self.spark, self.host, self.groups, self.source_table = spark, host, groups, source_table
+        self.engine = Engine(spark, root, Collection(collection_id, len(groups), METADATA), options)
+
+    # ---- host to index -----------------------------------------------------------
+
+    def sync(self, ids: DataFrame) -> int:
+        """Brings the index in line with the host for the given document ids; returns the last epoch. Doing it again changes nothing that is seen."""
+        actions = sync_actions(ids, self.host.documents())
+        body = F.concat_ws(" ", "title", "body")
+        upsert = F.col("operation") == "upsert"
+        writes = actions.select(
+            X.vector_id_of(F.col("document_id")).alias("vector_id"), "operation", F.when(upsert, X.embed_text(body, self.groups)).alias("embedding"),
+            F.struct(F.col("region"), F.lit(self.source_table).alias("source_table"), F.col("status")).alias("metadata"), F.lit(DEFAULT_SHARD).alias("shard_id"),
+        )
+        return self.engine.append(writes, ["vector_id"])
+
+    def repair(self, ids: DataFrame | None = None) -> int:
+        return self.sync(self.known() if ids is None else ids)
+
+    def backfill(self) -> int:
+        return self.sync(self.host.documents().select("document_id"))
+
+    def known(self) -> DataFrame:
+        """Ids of the host and of the index, tombstoned ones too."""
+        states = self.engine._snapshot(None)
+        mutable, sealed = self.engine._rows(states)
+        rows = mutable.select("vector_id") if sealed is None else mutable.select("vector_id").union(sealed.select("vector_id"))
+        return known_ids(self.host.documents(), rows)
+
+    def flush(self) -> list[str]:
+        """Seals the tail of every shard."""
+        done = [self.engine.flush(s, truncate_log=True) for s in self.engine.shards()]
+        return [m["segment_id"] for m in done if m]
+
+    def compact(self) -> list[str]:
+        done = [self.engine.compact(s) for s in self.engine.shards()]
+        return [m["segment_id"] for m in done if m]
+
+    # ---- searching ---------------------------------------------------------------
+
+    def candidates(self, queries: DataFrame, top_k: int = 3, region: str | None = None) -> DataFrame:
+        """(qid, rank, vector_id, score, ...) for (qid, text): published documents, of a region if given."""
+        asked = queries.select("qid", X.embed_text(F.col("text"), self.groups).alias("query"))
+        filters = {"status": {"eq": "published"}} | ({"region": {"eq": region}} if region else {})
+        return self.engine.search(asked, top_k, RERANKED, filters=filters, candidate_k=max(2 * top_k, top_k))
+
+    def search(self, queries: DataFrame, top_k: int = 3, region: str | None = None) -> DataFrame:
+        """Candidates with the host's documents; what the host has not published is left out."""
+        hits = self.candidates(queries, top_k, region).withColumn("document_id", X.document_id_of(F.col("vector_id")))
+        return hybrid.hydrate(hits.select("qid", "rank", "document_id", "score"), self.host.documents())
+
+    def drift(self) -> DataFrame:
+        """Ids whose index state is not what the host says: (document_id, should, is)."""
+        live = indexed_ids(VIS.live(self.engine.visible())).withColumn("is", F.lit("indexed"))
+        want = sync_actions(self.known(), self.host.documents()).select("document_id", F.when(F.col("operation") == "upsert", "indexed").otherwise("absent").alias("should"))
+        return want.join(live, "document_id", "left").withColumn("is", F.coalesce("is", F.lit("absent"))).where("should <> `is`")
