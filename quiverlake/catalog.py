@@ -1,10 +1,690 @@
-"""Registered queries over the reference's operators, and their SQL twins."""
+"""Registered queries over the engine's operators, each with SQL that says the same.
+
+The tables stand for the engine's inputs as follows. ``embeddings``: vectors
+with metadata label, region and tier. ``events``: a write log of the vectors
+(epoch event_id + 1, id user_id, shard user_id mod 4; an error is a delete),
+whose epochs are cut into fifths: four sealed segments and the mutable tail.
+``documents`` with ``labels``: the host's documents; toxic ones are not
+published.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quiverlake.functions import metrics as M
+from quiverlake.functions import text as X
+from quiverlake.functions import vectors as V
+from quiverlake.functions.quantizers import QUANTIZERS, SCALAR
+from quiverlake.operators import audit, hybrid, ivf
+from quiverlake.operators import filters as FL
+from quiverlake.operators import lifecycle as L
+from quiverlake.operators import topk as K
+from quiverlake.operators import visibility as VIS
+from quiverlake.plans.sidecar import indexed_ids, known_ids, sync_actions
+from quiverlake.streaming.outbox import outcome
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+REGIONS = ("us", "ca", "uk", "eu")
+GROUPS = (("le", "la"), ("de", "des"), ("en", "ein"), ("el", "los"))
+DIM = 64
+N_QUERIES = 5
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir) and, if SQL can say the same, its twin."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+# ---- inputs ---------------------------------------------------------------------
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    region = F.element_at(F.array(*[F.lit(r) for r in REGIONS]), F.pmod("vec_id", F.lit(4)).cast("int") + 1)
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("vector_id"), "embedding", "label", region.alias("region"), F.pmod("vec_id", F.lit(3)).alias("tier"))
+
+
+def asked(spark: SparkSession, d: str, n: int = N_QUERIES) -> DataFrame:
+    return table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), V.doubles(F.col("embedding")).alias("query"))
+
+
+def first_query(spark: SparkSession, d: str) -> list[float]:
+    return asked(spark, d, 1).first()["query"]
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    n, m = events.count(), table(spark, d, "embeddings").count()
+    return events.select(
+        (F.col("event_id") + 1).alias("write_epoch"), F.col("user_id").alias("vector_id"), F.concat(F.lit("shard-"), F.pmod("user_id", F.lit(4)).cast("string")).alias("shard_id"),
+        F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("operation"), F.concat(F.lit("c"), F.pmod("user_id", F.lit(3)).cast("string")).alias("collection_id"),
+        F.pmod("event_id", F.lit(m)).alias("vec_id"), F.least(F.lit(4), F.floor(F.col("event_id") * 5 / F.lit(n))).cast("int").alias("part"),
+    ).withColumn("is_deleted", F.col("operation") == "delete")
+
+
+def segment_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The newest write of each id in each sealed part."""
+    rows = VIS.newest(log(spark, d).where("part < 4"), ["shard_id", "part", "vector_id"])
+    return rows.withColumn("segment_id", F.concat(F.lit("seg-"), F.col("part").cast("string"))).withColumn("segment_pos", F.col("part")).withColumn("docno", F.col("vector_id"))
+
+
+def tail(spark: SparkSession, d: str) -> DataFrame:
+    return VIS.newest(log(spark, d).where("part = 4"))
+
+
+def manifests(spark: SparkSession, d: str) -> DataFrame:
+    per = segment_rows(spark, d).groupBy("shard_id", "segment_id", "part").agg(
+        F.count("*").alias("row_count"), F.count_if(~F.col("is_deleted")).alias("live_row_count"), F.count_if(F.col("is_deleted")).alias("deleted_row_count"),
+        F.min("write_epoch").alias("min_write_epoch"), F.max("write_epoch").alias("max_write_epoch"),
+    )
+    return per.withColumn("generation", F.col("part")).withColumn("state", F.when(F.col("part") == 0, "sealed").otherwise("active")).drop("part")
+
+
+def host(spark: SparkSession, d: str) -> DataFrame:
+    toxic = table(spark, d, "labels").select("doc_id", "toxic")
+    docs = table(spark, d, "documents").join(toxic, "doc_id", "left")
+    return docs.select(F.col("doc_id").alias("document_id"), F.col("lang").alias("region"), "text", F.when(F.col("toxic") == 1, "unpublished").otherwise("published").alias("status"))
+
+
+def _score(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+_REGION = "['us', 'ca', 'uk', 'eu'][vec_id % 4 + 1]"
+_V = f"v as (select vec_id as vector_id, embedding as f, embedding::double[] as e, label, {_REGION} as region, vec_id % 3 as tier from embeddings)"
+_Q = f"q as (select vec_id as qid, embedding::double[] as query from embeddings where vec_id < {N_QUERIES})"
+_LOG = """lg as (
+  select event_id + 1 as write_epoch, user_id as vector_id, 'shard-' || (user_id % 4) as shard_id, case when event_type = 'error' then 'delete' else 'upsert' end as operation,
+    'c' || (user_id % 3) as collection_id, event_id % m as vec_id, least(4, (event_id * 5) // n)::int as part, event_type = 'error' as is_deleted
+  from events, (select count(*) as n from events), (select count(*) as m from embeddings))"""
+_SEG = "seg as (select *, 'seg-' || part as segment_id from lg where part < 4 qualify row_number() over (partition by shard_id, part, vector_id order by write_epoch desc) = 1)"
+_TAIL = "tail as (select * from lg where part = 4 qualify row_number() over (partition by shard_id, vector_id order by write_epoch desc) = 1)"
+_MAN = """man as (
+  select shard_id, segment_id, part as generation, case when part = 0 then 'sealed' else 'active' end as state, count(*) as row_count, count(*) filter (not is_deleted) as live_row_count,
+    count(*) filter (is_deleted) as deleted_row_count, min(write_epoch) as min_write_epoch, max(write_epoch) as max_write_epoch
+  from seg group by shard_id, segment_id, part)"""
+_HOST = """host as (
+  select d.doc_id as document_id, lang as region, text, case when toxic = 1 then 'unpublished' else 'published' end as status from documents d left join labels l on l.doc_id = d.doc_id)"""
+
+
+def _top(score: str, rows: str, k: int, extra: str = "") -> str:
+    """DuckDB: the k best rows a query."""
+    return f"select qid, row_number() over (partition by qid order by s desc, vector_id)::int as rank, vector_id, round(s, 6) as score{extra} from (select qid, vector_id, {score} as s{extra} from {rows}) qualify rank <= {k}"
+
+
+# ---- exact search ------------------------------------------------------------------
+
+
+@query("exact_topk", f"with {_V}, one as (select e as query from v where vector_id = 0) select vector_id, round(list_dot_product(e, query), 6) as score from v, one order by list_dot_product(e, query) desc, vector_id limit 10")
+def exact_topk(spark, d):
+    return _score(K.top_k(vectors(spark, d), first_query(spark, d), 10)).select("vector_id", "score")
+
+
+@query("exact_topk_batch", f"with {_V}, {_Q} {_top('list_dot_product(e, query)', 'v, q', 10)}")
+def exact_topk_batch(spark, d):
+    return _score(K.top_k_batch(vectors(spark, d), asked(spark, d), 10))
+
+
+@query("exact_topk_native", f"with {_V}, {_Q} {_top('list_dot_product(e, query)', 'v, q', 10)}")
+def exact_topk_native(spark, d):
+    return _score(K.top_k_native(vectors(spark, d), asked(spark, d), 10))
+
+
+@query("ext_cosine_topk", f"with {_V}, {_Q} {_top('list_dot_product(e, query) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(query, query)))', 'v, q', 10)}")
+def ext_cosine_topk(spark, d):
+    return _score(K.top_k_batch(vectors(spark, d), asked(spark, d), 10, metric="cosine"))
+
+
+@query("ext_l2_topk", f"with {_V}, {_Q} {_top('-(list_distance(e, query) ** 2)', 'v, q', 10)}")
+def ext_l2_topk(spark, d):
+    return K.top_k_batch(vectors(spark, d), asked(spark, d), 10, metric="l2").withColumn("score", F.round(F.col("score"), 6) + 0.0)
+
+
+# ---- filters --------------------------------------------------------------------------
+
+_IDS = f"with {_V} select vector_id, region, tier from v where "
+
+
+def _filtered(name: str, filters: dict, where: str) -> None:
+    query(name, _IDS + where)(lambda spark, d: FL.apply_filter(vectors(spark, d), filters).select("vector_id", "region", "tier"))
+
+
+_filtered("filter_eq", {"region": {"eq": "us"}}, "region = 'us'")
+_filtered("filter_in", {"region": {"in": ["us", "eu"]}}, "region in ('us', 'eu')")
+_filtered("filter_range", {"label": {"gte": 3, "lte": 6}}, "label between 3 and 6")
+_filtered("filter_and", {"region": "ca", "tier": {"gte": 1}, "label": {"in": [1, 2, 3, 4]}}, "region = 'ca' and tier >= 1 and label in (1, 2, 3, 4)")
+
+
+@query("filter_null", f"with {_V} select vector_id, case when tier > 0 then region end as region, tier from v where tier = 0 or region = 'us'")
+def filter_null(spark, d):
+    holes = vectors(spark, d).withColumn("region", F.when(F.col("tier") > 0, F.col("region")))
+    return FL.apply_filter(holes, {"region": {"in": ["us", None]}}).select("vector_id", "region", "tier")
+
+
+@query("filter_postings", f"with {_V} select key, value, count(*) as n from (select unnest(['label', 'region', 'tier']) as key, unnest([label::varchar, region, tier::varchar]) as value from v) group by key, value")
+def filter_postings(spark, d):
+    return FL.postings(vectors(spark, d), ["label", "region", "tier"])
+
+
+_SPECS = (("region", {"region": "us"}, "region = 'us'"), ("wide", {"label": {"gte": 2}}, "label >= 2"), ("both", {"region": {"in": ["us", "ca"]}, "tier": 0}, "region in ('us', 'ca') and tier = 0"), ("none", {"label": 99}, "label = 99"))
+
+
+@query(
+    "filter_selectivity_plan",
+    f"with {_V} select name, selected, total, round(selected / total, 6) as selectivity, case when selected / total <= 0.35 then 'pre-filter' else 'post-filter' end as strategy from ("
+    + " union all ".join(f"select '{n}' as name, count(*) filter ({w}) as selected, count(*) as total from v" for n, _, w in _SPECS)
+    + ")",
+)
+def filter_selectivity_plan(spark, d):
+    v = vectors(spark, d)
+    counts = v.agg(F.count("*").alias("total"), *[F.count_if(FL.predicate(f)).alias(n) for n, f, _ in _SPECS])
+    long = counts.select("total", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("selected")) for n, *_ in _SPECS])).alias("s"))
+    share = F.col("s.selected") / F.col("total")
+    return long.select("s.name", "s.selected", "total", F.round(share, 6).alias("selectivity"), FL.strategy_column(share).alias("strategy"))
+
+
+@query("filtered_topk", f"with {_V}, {_Q} {_top('list_dot_product(e, query)', '''v, q where region = 'us' and label >= 2''', 10)}")
+def filtered_topk(spark, d):
+    return _score(K.top_k_batch(FL.apply_filter(vectors(spark, d), {"region": "us", "label": {"gte": 2}}), asked(spark, d), 10))
+
+
+@query("candidate_restricted_topk", f"with {_V}, {_Q} {_top('list_dot_product(e, query)', '''v, q where vector_id in (select vector_id from v where tier = 1)''', 5)}")
+def candidate_restricted_topk(spark, d):
+    v = vectors(spark, d)
+    return _score(K.top_k_batch(FL.restrict(v, v.where("tier = 1").select("vector_id")), asked(spark, d), 5))
+
+
+# ---- quantisers -----------------------------------------------------------------------
+
+_SUM = "list_reduce(list_prepend(0.0::double, {}), lambda a, x: a + x)"
+_PREPARED = {
+    "scalar": "f",
+    "normalized": f"list_transform(e, lambda x: (x / sqrt({_SUM.format('list_transform(e, lambda y: y * y)')}))::float)",
+    "rotate": f"f[{DIM}:{DIM}] || f[1:{DIM - 1}]",
+    "shift": f"f[{DIM - 1}:{DIM}] || f[1:{DIM - 2}]",
+    "residual": f"list_transform(e, lambda x: (x - ({_SUM.format('e')} / {DIM})::float::double)::float)",
+}
+_PREPARED["centered"] = f"(({_PREPARED['residual']})[{DIM}:{DIM}] || ({_PREPARED['residual']})[1:{DIM - 1}])"
+
+
+def _coded(kind: str) -> str:
+    """DuckDB: p (prepared), scale, codes of each vector."""
+    return f"""prep as (select *, {_PREPARED[kind]} as p from v),
+scaled as (select *, list_max(list_transform(p, lambda x: abs(x::double))) / 127.0::double as scale from prep),
+coded as (select *, list_transform(p, lambda x: greatest(-127, least(127, round_even((x::double / scale::float::double)::float::double, 0)))::tinyint) as codes from scaled),
+deco as (select *, list_transform(codes, lambda c: (c::double * scale::float::double)::float::double) as dec from coded)"""
+
+
+def _quantise(kind: str) -> None:
+    q = QUANTIZERS[kind]
+
+    def run(spark, d):
+        e = vectors(spark, d).withColumn("e", q.encode(F.col("embedding")))
+        check = F.aggregate(F.transform(F.col("e.codes"), lambda c, i: c.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+        return e.select("vector_id", check.alias("checksum"), F.round("e.scale", 6).alias("scale"), q.code_bytes(F.col("e")).alias("code_bytes"))
+
+    sql = f"with {_V}, {_coded(kind)} select vector_id, list_sum(list_transform(codes, lambda c, i: c::bigint * i))::bigint as checksum, round(scale, 6) as scale, len(codes)::int as code_bytes from deco"
+    query(f"quantize_{kind}", sql)(run)
+
+
+for _kind in QUANTIZERS:
+    _quantise(_kind)
+
+
+@query("dequantize_error", f"with {_V}, {_coded('scalar')} select vector_id, round(list_max(list_transform(list_zip(e, dec), lambda p: abs(p[1] - p[2]))), 6) as worst, round(list_dot_product(e, dec), 6) as kept from deco")
+def dequantize_error(spark, d):
+    dec = SCALAR.decode(SCALAR.encode(F.col("embedding")))
+    rows = vectors(spark, d).withColumn("dec", dec)
+    gap = F.array_max(F.zip_with(V.doubles(F.col("embedding")), V.doubles(F.col("dec")), lambda a, b: F.abs(a - b)))
+    return rows.select("vector_id", F.round(gap, 6).alias("worst"), F.round(V.dot(F.col("embedding"), F.col("dec")), 6).alias("kept"))
+
+
+@query("exactish_topk", f"with {_V}, {_Q}, {_coded('scalar')} {_top('list_dot_product(dec, query)', 'deco, q', 10)}")
+def exactish_topk(spark, d):
+    return _score(K.top_k_batch(vectors(spark, d), asked(spark, d), 10, SCALAR.decode(SCALAR.encode(F.col("embedding")))))
+
+
+def _compressed(spark, d, kind: str, k: int) -> DataFrame:
+    q = QUANTIZERS[kind]
+    return K.top_k_batch(vectors(spark, d), asked(spark, d).select("qid", V.doubles(q.prepare(F.col("query"))).alias("query")), k, q.decode(q.encode(F.col("embedding"))))
+
+
+_PQ = "pq as (select c.vector_id as qid, list_transform(c.p, lambda x: x::double) as query from deco c where c.vector_id < 5)"
+
+
+@query("compressed_topk", f"with {_V}, {_coded('normalized')}, {_PQ} {_top('list_dot_product(dec, query)', 'deco, pq', 10)}")
+def compressed_topk(spark, d):
+    return _score(_compressed(spark, d, "normalized", 10))
+
+
+@query(
+    "compressed_reranked_topk",
+    f"with {_V}, {_Q}, {_coded('rotate')}, {_PQ}, cand as ({_top('list_dot_product(dec, query)', 'deco, pq', 40)}) "
+    + _top("list_dot_product(e, query)", "(select q.qid, v.vector_id, e, query from cand join v on v.vector_id = cand.vector_id join q on q.qid = cand.qid)", 10),
+)
+def compressed_reranked_topk(spark, d):
+    candidates = _compressed(spark, d, "rotate", hybrid.candidate_budget(10))
+    return _score(hybrid.rerank(candidates, vectors(spark, d), asked(spark, d), 10))
+
+
+# ---- clusters ---------------------------------------------------------------------------
+
+_C = "c as (select label as cluster_id, list(m order by i) as centroid from (select label, i, avg(x) as m from (select label, unnest(e) as x, generate_subscripts(e, 1) as i from v) group by label, i) group by label)"
+_ASSIGNED = "a as (select vector_id, any_value(e) as e, arg_min(cluster_id, (list_distance(e, centroid), cluster_id)) as cluster_id from v, c group by vector_id)"
+_PROBED = "pr as (select qid, cluster_id, row_number() over (partition by qid order by list_distance(query, centroid), cluster_id) as probe from q, c qualify probe <= 3)"
+
+
+def centroids(spark, d) -> DataFrame:
+    return ivf.by_label(vectors(spark, d), "label", DIM)
+
+
+@query("ivf_assign", f"with {_V}, {_C}, {_ASSIGNED} select vector_id, cluster_id from a")
+def ivf_assign(spark, d):
+    return ivf.assign(vectors(spark, d), centroids(spark, d)).select("vector_id", "cluster_id")
+
+
+@query("ivf_probe", f"with {_V}, {_Q}, {_C}, {_PROBED} select qid, cluster_id, probe::int as probe from pr")
+def ivf_probe(spark, d):
+    return ivf.probes(asked(spark, d), centroids(spark, d), 3).select("qid", "cluster_id", "probe")
+
+
+@query("ivf_topk", f"with {_V}, {_Q}, {_C}, {_ASSIGNED}, {_PROBED} {_top('list_dot_product(e, query)', '(select q.qid, vector_id, e, query from a join pr on pr.cluster_id = a.cluster_id join q on q.qid = pr.qid)', 10)}")
+def ivf_topk(spark, d):
+    q = asked(spark, d)
+    rows = ivf.assign(vectors(spark, d), centroids(spark, d)).select("vector_id", "cluster_id", "embedding")
+    met = ivf.probed_rows(rows, ivf.probes(q, centroids(spark, d), 3)).join(F.broadcast(q), "qid")
+    scored = met.select("qid", "vector_id", V.dot(F.col("embedding"), F.col("query")).alias("score"))
+    return _score(K.top_k_scored(scored, 10, ["qid"])).select("qid", "rank", "vector_id", "score")
+
+
+@query("search_budget_topk", f"with {_V}, {_Q} {_top('list_dot_product(e, query)', '(select * from v where tier > 0 qualify row_number() over (partition by label order by vector_id) <= 20), q', 10)}")
+def search_budget_topk(spark, d):
+    rows = K.first_rows(vectors(spark, d).where("tier > 0"), 20, ["label"], ["vector_id"])
+    return _score(K.top_k_batch(rows, asked(spark, d), 10))
+
+
+@query("ivf_cluster_policy", f"with {_LOG}, {_SEG}, {_MAN}, t as (select shard_id, sum(live_row_count)::bigint as live from man group by shard_id) select shard_id, live, case when live >= 10 then least(4096, greatest(8, floor(sqrt(live))))::int end as clusters from t")
+def ivf_cluster_policy(spark, d):
+    live = manifests(spark, d).groupBy("shard_id").agg(F.sum("live_row_count").alias("live"))
+    clusters = F.when(F.col("live") >= 10, F.least(F.lit(4096), F.greatest(F.lit(8), F.floor(F.sqrt("live")).cast("int"))))
+    return live.withColumn("clusters", clusters)
+
+
+# ---- the write log --------------------------------------------------------------------------
+
+
+@query("wal_replay_tail", f"with {_LOG} select write_epoch, shard_id, vector_id, operation from lg where write_epoch > (select max(write_epoch) // 2 from lg) and shard_id = 'shard-1'")
+def wal_replay_tail(spark, d):
+    rows = log(spark, d)
+    half = rows.agg(F.max("write_epoch")).first()[0] // 2
+    return rows.where((F.col("write_epoch") > half) & (F.col("shard_id") == "shard-1")).select("write_epoch", "shard_id", "vector_id", "operation")
+
+
+@query("wal_audit", f"with {_LOG} select collection_id, count(*) as entries, count(*) filter (operation = 'upsert') as upserts, count(*) filter (operation = 'delete') as deletes, max(write_epoch) as max_epoch, count(distinct vector_id) as vectors from lg group by collection_id")
+def wal_audit(spark, d):
+    return audit.log_audit(log(spark, d))
+
+
+@query("wal_snapshot", f"with {_LOG}, l as (select collection_id, vector_id, arg_max(operation, write_epoch) as operation from lg group by all) select count(*) filter (operation = 'upsert') as live, count(*) filter (operation = 'delete') as deleted from l")
+def wal_snapshot(spark, d):
+    return audit.log_snapshot(log(spark, d))
+
+
+_NEWEST = "select * from lg qualify row_number() over (partition by shard_id, vector_id order by write_epoch desc) = 1"
+
+
+@query("lww_visible", f"with {_LOG} select shard_id, vector_id, write_epoch, vec_id from ({_NEWEST}) where not is_deleted")
+def lww_visible(spark, d):
+    return VIS.visible(log(spark, d)).select("shard_id", "vector_id", "write_epoch", "vec_id")
+
+
+@query("lww_aggregated", f"with {_LOG} select shard_id, vector_id, write_epoch, vec_id, is_deleted from ({_NEWEST})")
+def lww_aggregated(spark, d):
+    return VIS.newest_columns(log(spark, d), ["vec_id", "is_deleted"])
+
+
+@query("lww_visible_by_shard", f"with {_LOG} select shard_id, count(*) filter (not is_deleted) as live, count(*) filter (is_deleted) as deleted from ({_NEWEST}) group by shard_id")
+def lww_visible_by_shard(spark, d):
+    return VIS.newest(log(spark, d)).groupBy("shard_id").agg(F.count_if(~F.col("is_deleted")).alias("live"), F.count_if(F.col("is_deleted")).alias("deleted"))
+
+
+@query("mutable_watermark", f"with {_LOG} select shard_id, max(write_epoch) as watermark from lg where part = 4 group by shard_id")
+def mutable_watermark(spark, d):
+    return VIS.watermark(log(spark, d).where("part = 4"), ["shard_id"])
+
+
+@query("mutable_buffer", f"with {_LOG}, {_TAIL} select shard_id, vector_id, write_epoch, is_deleted from tail")
+def mutable_buffer(spark, d):
+    return tail(spark, d).select("shard_id", "vector_id", "write_epoch", "is_deleted")
+
+
+# ---- segments ---------------------------------------------------------------------------------
+
+
+@query("segment_manifests", f"with {_LOG}, {_SEG}, {_MAN} select * from man")
+def segment_manifests(spark, d):
+    return manifests(spark, d)
+
+
+@query("shard_live_fraction", f"with {_LOG}, {_SEG}, {_MAN} select shard_id, round(sum(live_row_count) filter (state = 'active') / sum(row_count) filter (state = 'active'), 9) as live_fraction, round(1 - sum(live_row_count) filter (state = 'active') / sum(row_count) filter (state = 'active'), 9) as delete_ratio from man group by shard_id")
+def shard_live_fraction(spark, d):
+    got = L.live_fractions(manifests(spark, d))
+    return got.select("shard_id", F.round("live_fraction", 9).alias("live_fraction"), F.round("delete_ratio", 9).alias("delete_ratio"))
+
+
+@query(
+    "collection_stats",
+    f"""with {_LOG}, {_SEG}, {_MAN}, {_TAIL} select (select count(distinct shard_id) from man) as shards, count(*) as segments, sum(live_row_count)::bigint as live_rows,
+round(1 - sum(live_row_count) / sum(row_count), 9) as delete_ratio, (select count(*) from tail) as mutable_rows from man where state = 'active'""",
+)
+def collection_stats(spark, d):
+    return L.collection_stats(manifests(spark, d), tail(spark, d)).withColumn("delete_ratio", F.round("delete_ratio", 9))
+
+
+_CHECKED = """m as (
+  select shard_id, segment_id, case when segment_id = 'seg-3' then 'shard-0' else shard_id end as stored, case when generation = 1 then 'retired' else state end as state, row_count,
+    case when segment_id = 'seg-2' and shard_id = 'shard-1' then row_count + 1 else live_row_count end as live, case when generation = 0 then null else 'x' end as sealed_at, case when generation = 2 then null else 'x' end as activated_at, generation
+  from man),
+act as (select distinct shard_id, s as segment_id from man, (select unnest(['seg-0', 'seg-1', 'seg-2', 'seg-3', 'seg-9']) as s))"""
+_RULES = """select 'error' as level, 'duplicate segment manifest' as message, stored as shard_id, segment_id from m qualify row_number() over (partition by stored, segment_id order by generation, state) > 1
+union all select 'error', 'shard mismatch', stored, segment_id from m where shard_id <> stored
+union all select 'error', 'live rows exceed row count', stored, segment_id from m where live > row_count
+union all select 'error', 'retired segment still active', stored, segment_id from m where state = 'retired' and exists (from act where act.shard_id = stored and act.segment_id = m.segment_id)
+union all select 'warn', 'sealed segment missing sealed_at', stored, segment_id from m where state in ('active', 'sealed') and sealed_at is null
+union all select 'warn', 'active segment missing activated_at', stored, segment_id from m where state = 'active' and activated_at is null
+union all select 'error', 'active segment missing manifest', shard_id, segment_id from act where not exists (from m where m.stored = act.shard_id and m.segment_id = act.segment_id)"""
+
+
+@query("manifest_violations", f"with {_LOG}, {_SEG}, {_MAN}, {_CHECKED} {_RULES}")
+def manifest_violations(spark, d):
+    """Manifests with planted faults: some stored under another shard, retired, overfull or without times; an active id without manifest."""
+    base = manifests(spark, d)
+    own = lambda g, c: F.when(F.col("generation") == g, F.lit(None).cast("string")).otherwise("x").alias(c)
+    faulty = base.select(
+        "shard_id", "segment_id", "generation", "row_count", F.lit("main").alias("collection_id"), F.when(F.col("segment_id") == "seg-3", "shard-0").otherwise(F.col("shard_id")).alias("stored_shard"),
+        F.when(F.col("generation") == 1, "retired").otherwise(F.col("state")).alias("state"),
+        F.when((F.col("segment_id") == "seg-2") & (F.col("shard_id") == "shard-1"), F.col("row_count") + 1).otherwise(F.col("live_row_count")).alias("live_row_count"), own(0, "sealed_at"), own(2, "activated_at"),
+    )
+    active = base.select("shard_id").distinct().select("shard_id", F.explode(F.array(*[F.lit(f"seg-{k}") for k in (0, 1, 2, 3, 9)])).alias("segment_id"))
+    return L.manifest_violations(faulty, active, "main")
+
+
+# ---- both sides ---------------------------------------------------------------------------------
+
+_SIDES = f"""{_LOG}, {_SEG}, {_TAIL}, {_V}, {_Q},
+dead as (select shard_id, vector_id from tail where is_deleted),
+sealed as (select s.* from seg s where not is_deleted and not exists (from dead where dead.shard_id = s.shard_id and dead.vector_id = s.vector_id)),
+sh as (select qid, s.vector_id, list_dot_product(e, query) as score, write_epoch, 'sealed' as source from sealed s join v on v.vector_id = s.vec_id, q),
+mh as (select qid, t.vector_id, list_dot_product(e, query) as score, write_epoch, 'mutable' as source from tail t join v on v.vector_id = t.vec_id, q where not is_deleted)"""
+_LATEST = "lat as (select * from (select * from sh union all select * from mh) qualify row_number() over (partition by qid, vector_id order by write_epoch desc, source) = 1)"
+
+
+def _hits(rows: DataFrame, spark, d) -> DataFrame:
+    v = vectors(spark, d).select(F.col("vector_id").alias("vec_id"), "embedding")
+    met = rows.join(v, "vec_id").join(F.broadcast(asked(spark, d)))
+    return met.select("qid", "vector_id", V.dot(F.col("embedding"), F.col("query")).alias("score"), "write_epoch")
+
+
+def _two_sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    m = tail(spark, d)
+    return _hits(VIS.live(m), spark, d), _hits(VIS.live(VIS.masked(segment_rows(spark, d), m)), spark, d)
+
+
+@query("tombstone_mask", f"with {_LOG}, {_SEG}, {_TAIL}, dead as (select shard_id, vector_id from tail where is_deleted) select shard_id, segment_id, vector_id, write_epoch from seg s where not exists (from dead where dead.shard_id = s.shard_id and dead.vector_id = s.vector_id)")
+def tombstone_mask(spark, d):
+    return VIS.masked(segment_rows(spark, d), tail(spark, d)).select("shard_id", "segment_id", "vector_id", "write_epoch")
+
+
+@query("hybrid_merge_latest", f"with {_SIDES}, {_LATEST} {_top('score', 'lat', 10, ', source')}")
+def hybrid_merge_latest(spark, d):
+    return _score(hybrid.merge_latest(*_two_sides(spark, d), 10, ["qid"])).select("qid", "rank", "vector_id", "score", "source")
+
+
+_COMPAT = """low as (select qid, vector_id, min(score) as score, 'sealed' as source from sh group by qid, vector_id),
+com as (select * from (select * from low union all select qid, vector_id, score, source from mh) qualify row_number() over (partition by qid, vector_id order by score desc, source) = 1)"""
+
+
+@query("hybrid_merge_compat", f"with {_SIDES}, {_COMPAT} {_top('score', 'com', 10, ', source')}")
+def hybrid_merge_compat(spark, d):
+    return _score(hybrid.merge_compat(*_two_sides(spark, d), 10, ["qid"])).select("qid", "rank", "vector_id", "score", "source")
+
+
+@query("hybrid_hit_sources", f"with {_SIDES}, {_LATEST}, top as ({_top('score', 'lat', 20, ', source')}) select qid, count(*) filter (source = 'mutable') as mutable_hits, count(*) filter (source = 'sealed') as sealed_hits from top group by qid")
+def hybrid_hit_sources(spark, d):
+    return hybrid.hit_sources(hybrid.merge_latest(*_two_sides(spark, d), 20, ["qid"]), ["qid"])
+
+
+@query("merge_candidates", f"with {_SIDES}, mx as (select qid, vector_id, max(score) as score from (select qid, vector_id, score from sh union all select qid, vector_id, score from mh) group by qid, vector_id) {_top('score', 'mx', 10)}")
+def merge_candidates(spark, d):
+    sides = [s.select("qid", "vector_id", "score") for s in _two_sides(spark, d)]
+    return _score(hybrid.merge_candidates(sides, 10, ["qid"])).select("qid", "rank", "vector_id", "score")
+
+
+@query(
+    "materialise_hits",
+    f"""with {_SIDES}, ids as (select qid, vector_id from mh where vector_id % 2 = 0 union select qid, vector_id from sh where vector_id % 3 = 0),
+sm as (select vector_id, vec_id from sealed qualify row_number() over (partition by vector_id order by part desc, write_epoch desc) = 1),
+x as (select ids.qid, ids.vector_id, coalesce(t.vec_id, sm.vec_id) as vec_id, case when t.vector_id is not null then 'mutable' else 'sealed' end as source
+  from ids left join (select * from tail where not is_deleted) t on t.vector_id = ids.vector_id left join sm on sm.vector_id = ids.vector_id where t.vector_id is not null or sm.vector_id is not null)
+{_top("list_dot_product(e, query)", "(select x.qid, x.vector_id, x.source, e, query from x join v on v.vector_id = x.vec_id join q on q.qid = x.qid)", 1000000, ", source")}""",
+)
+def materialise_hits(spark, d):
+    m, sealed = VIS.live(tail(spark, d)), VIS.live(VIS.masked(segment_rows(spark, d), tail(spark, d)))
+    mh, sh = _two_sides(spark, d)
+    ids = mh.where("vector_id % 2 = 0").select("qid", "vector_id").union(sh.where("vector_id % 3 = 0").select("qid", "vector_id")).distinct()
+    v = vectors(spark, d).select(F.col("vector_id").alias("vec_id"), "embedding", F.struct("region").alias("metadata"))
+    full = lambda rows: rows.select("vector_id", "vec_id").join(v, "vec_id").select("vector_id", "embedding", "metadata")
+    return _score(hybrid.materialise(ids, full(m), full(hybrid.sealed_map(sealed)), asked(spark, d))).select("qid", "rank", "vector_id", "score", "source")
+
+
+# ---- compaction and maintenance -------------------------------------------------------------------
+
+_LIMITS = L.CompactionLimits(max_total_rows=100)
+_SHARE = "case when row_count > 0 then 1.0::double - live_row_count::double / row_count else 0.0 end"
+
+
+@query("compact_all", f"with {_LOG}, {_SEG} select shard_id, vector_id, write_epoch from (select * from seg qualify row_number() over (partition by shard_id, vector_id order by write_epoch desc, segment_id, vector_id) = 1) where not is_deleted")
+def compact_all(spark, d):
+    return L.compacted(segment_rows(spark, d)).select("shard_id", "vector_id", "write_epoch")
+
+
+@query("compact_subset_safe", f"with {_LOG}, {_SEG} select shard_id, vector_id, write_epoch, is_deleted from seg where part in (1, 2) qualify row_number() over (partition by shard_id, vector_id order by write_epoch desc) = 1")
+def compact_subset_safe(spark, d):
+    return L.compacted(segment_rows(spark, d).where("part in (1, 2)"), False).select("shard_id", "vector_id", "write_epoch", "is_deleted")
+
+
+@query(
+    "compaction_plan",
+    f"""with {_LOG}, {_SEG}, {_MAN},
+pri as (select *, 2.0 * {_SHARE} + 1.0::double / (generation + 1) + 0.5 * least(row_count::double / 100, 1.0) as priority from man),
+run as (select *, row_number() over w as position, sum(row_count) over (w rows between unbounded preceding and current row) as rows_so_far from pri window w as (partition by shard_id order by priority desc, segment_id)),
+tak as (select *, count(*) over (partition by shard_id) as n, sum(row_count) over (partition by shard_id) as r, sum(live_row_count) over (partition by shard_id) as l from run where rows_so_far <= 100 or position = 1)
+select shard_id, segment_id, position::int as position, round(priority, 9) as priority, rows_so_far::bigint as rows_so_far, round((n - 1) + 2.0 * (1.0 - l::double / r) + r::double / 100, 9) as score from tak where n >= 2""",
+)
+def compaction_plan(spark, d):
+    return L.compaction_plan(manifests(spark, d), _LIMITS).withColumn("priority", F.round("priority", 9)).withColumn("score", F.round("score", 9))
+
+
+@query(
+    "compaction_trigger",
+    f"""with {_LOG}, {_SEG}, {_MAN}, t as (select shard_id, count(*) as segments, sum(row_count)::bigint as total_rows, 1 - sum(live_row_count)::double / sum(row_count) as ratio from man group by shard_id)
+select shard_id, segments, total_rows, round(ratio, 9) as delete_ratio, (segments >= 5 and ratio >= 0.1) or (segments >= 5 and total_rows >= 100) or segments > 5 as compact from t""",
+)
+def compaction_trigger(spark, d):
+    return L.should_compact(manifests(spark, d), L.TriggerLimits(5, 0.1, 100)).withColumn("delete_ratio", F.round("delete_ratio", 9))
+
+
+@query(
+    "maintenance_rank",
+    f"""with {_LOG}, {_SEG}, {_MAN}, {_TAIL},
+t as (select shard_id, count(*) as segments, sum(row_count)::bigint as total_rows, 1 - sum(live_row_count)::double / sum(row_count) as ratio from man group by shard_id),
+mr as (select shard_id, count(*) as mutable_rows from tail where not is_deleted group by shard_id)
+select shard_id, segments, total_rows, round(ratio, 9) as delete_ratio, coalesce(mutable_rows, 0) as mutable_rows,
+  round((segments - 1) + 2.0 * ratio + total_rows::double / 100000 + 0.5 * coalesce(mutable_rows, 0)::double / 100000, 9) as score from t left join mr using (shard_id)""",
+)
+def maintenance_rank(spark, d):
+    live = VIS.live(tail(spark, d)).groupBy("shard_id").agg(F.count("*").alias("mutable_rows"))
+    return L.maintenance_rank(manifests(spark, d), live).withColumn("delete_ratio", F.round("delete_ratio", 9)).withColumn("score", F.round("score", 9))
+
+
+@query("retire_segments", f"with {_LOG}, {_SEG}, {_MAN} select shard_id, list_aggregate(list_filter(list(segment_id order by segment_id), lambda s: s not in ('seg-1', 'seg-2')) || ['seg-out'], 'string_agg', ',') as active from man group by shard_id")
+def retire_segments(spark, d):
+    active = manifests(spark, d).groupBy("shard_id").agg(F.sort_array(F.collect_list("segment_id")).alias("active"))
+    new = L.retired(F.col("active"), F.array(F.lit("seg-1"), F.lit("seg-2")), F.lit("seg-out"))
+    return active.select("shard_id", F.array_join(new, ",").alias("active"))
+
+
+@query("garbage_segments", f"with {_LOG}, {_SEG}, {_MAN} select shard_id, segment_id from man where segment_id = 'seg-1' or (segment_id = 'seg-2' and shard_id <> 'shard-1')")
+def garbage_segments(spark, d):
+    """Segments 1 and 2 are retired, but shard-1 still lists its segment 2."""
+    m = manifests(spark, d).withColumn("state", F.when(F.col("generation").isin(1, 2), "retired").otherwise(F.col("state")))
+    active = m.where("state <> 'retired' or (segment_id = 'seg-2' and shard_id = 'shard-1')")
+    return L.collectable(m, active)
+
+
+# ---- the host -----------------------------------------------------------------------------------
+
+_COUNT = "((length(lower(text)) - length(replace(lower(text), '{0}', ''))) // {1})"
+_GROUP_SUMS = "[" + ", ".join("(" + " + ".join(_COUNT.format(t, len(t)) for t in g) + ")::double" for g in GROUPS) + "]"
+_EMB = f"""emb as (
+  select *, case when list_dot_product(g, g) = 0 then [1.0::double, 0.0, 0.0, 0.0] else list_transform(g, lambda x: x / sqrt({_SUM.format("list_transform(g, lambda y: y * y)")})) end as e
+  from (select *, {_GROUP_SUMS} as g from (select document_id, region, coalesce(text, '') as text, status from host)))"""
+
+
+@query("embed_text", f"with {_HOST}, {_EMB} select document_id, round(e[1], 6) as e1, round(e[2], 6) as e2, round(e[3], 6) as e3, round(e[4], 6) as e4 from emb")
+def embed_text(spark, d):
+    e = host(spark, d).withColumn("e", X.embed_text(F.col("text"), GROUPS))
+    return e.select("document_id", *[F.round(F.element_at("e", k), 6).alias(f"e{k}") for k in (1, 2, 3, 4)])
+
+
+@query("vector_ids", "select 'document:' || doc_id as vector_id, doc_id::varchar as document_id, null::varchar as other from documents")
+def vector_ids(spark, d):
+    ids = table(spark, d, "documents").select(X.vector_id_of(F.col("doc_id")).alias("vector_id"), F.col("doc_id").cast("string").alias("plain"))
+    return ids.select("vector_id", X.document_id_of(F.col("vector_id")).alias("document_id"), X.document_id_of(F.col("plain")).alias("other"))
+
+
+_KNOWN = "known as (select doc_id as document_id from documents where doc_id % 2 = 0 union select -1 - doc_id from documents where doc_id % 50 = 0)"
+
+
+@query("sync_actions", f"with {_HOST}, {_KNOWN} select k.document_id, case when h.status = 'published' then 'upsert' else 'delete' end as operation from known k left join host h on h.document_id = k.document_id")
+def sync(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    known = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("document_id")).union(docs.where("doc_id % 50 = 0").select((-1 - F.col("doc_id")).alias("document_id")))
+    return sync_actions(known, host(spark, d)).select("document_id", "operation")
+
+
+@query("known_ids", "select doc_id::varchar as document_id from documents where doc_id % 3 = 0 union select (doc_id + 100000)::varchar from documents where doc_id % 5 = 0")
+def known(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    rows = docs.where("doc_id % 5 = 0").select(X.vector_id_of(F.col("doc_id") + 100_000).alias("vector_id")).union(docs.select(F.concat(F.lit("other:"), "doc_id")))
+    return known_ids(docs.where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("document_id")), rows)
+
+
+@query("indexed_ids", "select doc_id::varchar as document_id from documents where doc_id % 7 = 0")
+def indexed(spark, d):
+    return indexed_ids(table(spark, d, "documents").where("doc_id % 7 = 0").select(X.vector_id_of(F.col("doc_id")).alias("vector_id")))
+
+
+@query("hydrate", f"with {_HOST}, hits as (select doc_id as document_id, row_number() over (order by n_chars desc, doc_id)::int as rank from documents qualify rank <= 50) select document_id, rank, region, status from hits join host using (document_id) where status = 'published'")
+def hydrate(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("n_chars").alias("score"), F.lit(0).alias("q"))
+    hits = K.top_k_scored(docs, 50, ["q"], key="document_id").select("document_id", "rank")
+    return hybrid.hydrate(hits, host(spark, d).select("document_id", "region", "status"))
+
+
+@query(
+    "sidecar_search",
+    f"with {_HOST}, {_EMB}, aq as (select document_id as qid, e as query from emb where document_id < 3), pub as (select document_id as vector_id, e from emb where status = 'published'), top as ({_top('list_dot_product(e, query)', 'pub, aq', 5)}) select qid, rank, vector_id as document_id, score, region from top join host on host.document_id = vector_id",
+)
+def sidecar_search(spark, d):
+    docs = host(spark, d)
+    rows = docs.where("status = 'published'").select(F.col("document_id").alias("vector_id"), X.embed_text(F.col("text"), GROUPS).alias("embedding"))
+    q = docs.where("document_id < 3").select(F.col("document_id").alias("qid"), X.embed_text(F.col("text"), GROUPS).alias("query"))
+    hits = K.top_k_native(rows, q, 5).withColumnRenamed("vector_id", "document_id")
+    return _score(hybrid.hydrate(hits, docs.select("document_id", "region", "status"))).select("qid", "rank", "document_id", "score", "region")
+
+
+@query("outbox_outcome", "select event_id, case when event_id < 700 then 'processed' when event_id = 700 then 'failed' else 'pending' end as status, (event_id <= 700)::int as attempts from events")
+def outbox_outcome(spark, d):
+    events = table(spark, d, "events").select("event_id", F.when(F.col("event_id").isin(700, 800), "explode").otherwise("upsert").alias("operation"))
+    return outcome(events).select("event_id", "status", "attempts")
+
+
+@query("rate_limiter")
+def rate_limiter(spark, d):
+    """At most 3 requests of a user in 10 minutes; sequential by nature, so it is tested against a plain loop instead of SQL."""
+    requests = table(spark, d, "events").select(F.col("user_id").alias("identifier"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return audit.rate_limited(requests.select("identifier", "seq", (F.col("us") / 1e6).alias("ts")), 3, 600.0)
+
+
+# ---- measures -----------------------------------------------------------------------------------
+
+_RECALL = f"""with {_V}, {_Q}, {_coded("residual")}, {_PQ}, ex as ({_top("list_dot_product(e, query)", "v, q", 10)}), ap as ({_top("list_dot_product(dec, query)", "deco, pq", 10)}),
+hit as (select ex.qid, count(*) filter (ap.vector_id is not null) as h from ex left join ap on ap.qid = ex.qid and ap.vector_id = ex.vector_id group by ex.qid), r as (select qid, h / 10.0::double as recall, h::double / (20 - h) as overlap from hit)"""
+
+
+def _recalls(spark, d) -> DataFrame:
+    exact = K.top_k_batch(vectors(spark, d), asked(spark, d), 10)
+    return audit.recall_table(exact, _compressed(spark, d, "residual", 10), 10)
+
+
+@query("recall_at_k", f"{_RECALL} select qid, round(recall, 9) as recall from r")
+def recall_at_k(spark, d):
+    return _recalls(spark, d).select("qid", F.round("recall", 9).alias("recall"))
+
+
+@query("topk_overlap", f"{_RECALL} select qid, round(overlap, 9) as overlap from r")
+def topk_overlap(spark, d):
+    return _recalls(spark, d).select("qid", F.round("overlap", 9).alias("overlap"))
+
+
+@query("mean_recall", f"{_RECALL} select round(avg(recall), 9) as mean_recall, round(avg(overlap), 9) as mean_overlap, count(*) as queries from r")
+def mean_recall(spark, d):
+    got = audit.mean_recall(_recalls(spark, d))
+    return got.select(F.round("mean_recall", 9).alias("mean_recall"), F.round("mean_overlap", 9).alias("mean_overlap"), "queries")
+
+
+@query(
+    "latency_percentiles",
+    """with s as (select event_type, list_sort(list(value)) as l, count(*) as n, avg(value) as mean, median(value) as median from events group by event_type)
+select event_type, n, round(mean, 6) as mean, round(median, 6) as median, l[greatest(1, floor(n * 0.5))::int] as p50, l[greatest(1, floor(n * 0.95))::int] as p95, l[greatest(1, floor(n * 0.99))::int] as p99 from s""",
+)
+def latency_percentiles(spark, d):
+    got = audit.latency_report(table(spark, d, "events"), ["event_type"], "value")
+    return got.withColumn("mean", F.round("mean", 6)).withColumn("median", F.round("median", 6))
+
+
+@query("storage_per_vector", f"with {_LOG}, {_SEG}, {_MAN} select shard_id, round(sum(row_count * 72)::double / sum(live_row_count), 9) as bytes_per_vector from man group by shard_id")
+def storage_per_vector(spark, d):
+    m = manifests(spark, d).groupBy("shard_id").agg(M.bytes_per_vector(F.col("row_count") * (DIM + 8), F.col("live_row_count")).alias("b"))
+    return m.select("shard_id", F.round("b", 9).alias("bytes_per_vector"))
+
+
+@query("cache_hit_rate", "select user_id % 4 as shard, round(count(*) filter (event_type = 'view')::double / count(*) filter (event_type in ('view', 'click')), 9) as hit_rate from events group by 1")
+def cache_hit_rate(spark, d):
+    e = table(spark, d, "events").where("event_type in ('view', 'click')")
+    one = lambda kind: (F.col("event_type") == kind).cast("int")
+    rates = e.groupBy(F.pmod("user_id", F.lit(4)).alias("shard")).agg(M.hit_rate(one("view"), one("click")).alias("r"))
+    return rates.select("shard", F.round("r", 9).alias("hit_rate"))
+
+
+@query("query_modes", "select * from (values ('exact-hybrid', false, false), ('compressed-hybrid', true, false), ('compressed-reranked-hybrid', true, true), ('exact-hybrid', false, true)) t(mode, approximate, rerank)")
+def query_modes(spark, d):
+    modes = [(X.mode_name(a, r), a, r) for a, r in ((False, False), (True, False), (True, True), (False, True))]
+    return spark.createDataFrame(modes, "mode string, approximate boolean, rerank boolean")
