@@ -36,7 +36,6 @@ from quiverlake.llm._common import cut_lineage
 from quiverlake.llm.components import connected_components
 
 HEAVY = 4096
-SALTS = 32
 #: (search, node) pairs that a worker holds at once.
 FRONTIER = 1 << 20
 
@@ -204,11 +203,9 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = cut_lineage(fingerprints(df, id_col, text_col, words))
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(links(nodes, radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    linked = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    linked = cut_lineage(roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()))
     least = linked.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    # A large group meets its id in SALTS parts.
-    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    named = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("fp", "component_id", F.lit(True).alias("linked"))
+    # Both sides of this join, and of the last one, come from storage, so that it can split a key that many rows have.
+    named = linked.join(cut_lineage(least), "root").select("fp", "component_id", F.lit(True).alias("linked"))
     classes = nodes.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    classes = cut_lineage(classes)  # read from storage, so that the join below can split a fingerprint that many texts have
-    return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(cut_lineage(classes), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
