@@ -2,7 +2,8 @@
 
 A filter maps keys to conditions: a bare value (equality) or a dict with any of
 ``eq``, ``in``, ``gte``, ``lte``; conditions of a key and keys are and-ed. A
-missing value matches only ``None``. Unknown operations are an error when the
+missing value matches only ``None`` (a comparison with it is null, which a
+filter drops, and so stays in a form that scans take over). Unknown operations are an error when the
 plan is built. An empty filter matches all rows.
 """
 
@@ -24,14 +25,14 @@ Resolve = Callable[[str], Column]
 def _in(c: Column, values) -> Column:
     known = [v for v in values if v is not None]
     hit = c.isin(known) if known else F.lit(False)
-    return hit | c.isNull() if len(known) < len(list(values)) else F.coalesce(hit, F.lit(False))
+    return hit | c.isNull() if len(known) < len(list(values)) else hit
 
 
 _OPS: dict[str, Callable[[Column, Any], Column]] = {
     "eq": lambda c, v: c.eqNullSafe(F.lit(v)),
     "in": _in,
-    "gte": lambda c, v: F.coalesce(c >= F.lit(v), F.lit(False)),
-    "lte": lambda c, v: F.coalesce(c <= F.lit(v), F.lit(False)),
+    "gte": lambda c, v: c >= F.lit(v),
+    "lte": lambda c, v: c <= F.lit(v),
 }
 
 

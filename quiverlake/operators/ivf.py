@@ -5,6 +5,7 @@ from __future__ import annotations
 from math import isqrt
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,7 +104,6 @@ def assign(rows: DataFrame, centroids: DataFrame, vector: str = "embedding", mos
         return rows.withColumn("cluster_id", nearest_column(F.col(vector), [(r[0], r[1]) for r in got]))
     ids, table = np.array([r[0] for r in got]), np.array([r[1] for r in got], np.float64)
     sent = rows.sparkSession.sparkContext.broadcast((ids, table))
-    import pandas as pd
 
     @F.pandas_udf("int")
     def nearest(v: pd.Series) -> pd.Series:

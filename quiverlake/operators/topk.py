@@ -47,7 +47,7 @@ def query_matrix(queries: DataFrame, most: int = MOST_QUERIES) -> tuple[list, np
     got = queries.select("qid", "query").limit(most + 1).collect()
     if len(got) > most:
         raise ValueError(f"more than {most} queries; take them in blocks")
-    return [r["qid"] for r in got], np.array([r["query"] for r in got], np.float64).reshape(len(got), -1)
+    return [r["qid"] for r in got], np.array([r["query"] for r in got], np.float64)
 
 
 def _block(rows: DataFrame, ids: list, matrix: np.ndarray, qid_type: DataType, k: int, vector: Column, key: str, metric: str) -> DataFrame:
