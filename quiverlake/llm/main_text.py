@@ -39,6 +39,7 @@ BOILER_WORD = frozenset(
     " paywall popup privacy promo promoted promotion ratings recommended related replies reply responses search share sharing sidebar signup sitemap skip social sponsor"
     " sponsored subscribe subscription tags teaser toolbar topbar tracking widget widgets".split()
 )
+BOILER_START = ("advert", "breadcrumb", "comment", "cookie", "footer", "newsletter", "sidebar", "sponsor", "subscri")
 ARTICLE_WORD = frozenset("article articlebody content entry main maintext post story text".split())
 
 _TOKEN = re.compile(
@@ -48,6 +49,16 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z0-9]+")
+_NOT_ITS_OWN = re.compile(r"\b(?:with|without|has|no)[-_]\w+")
+
+
+def _names(attributes: str) -> list[str]:
+    """Words of class, id and role, without those that only say what is beside the element."""
+    return [w for x in _NAMES.findall(attributes) for w in _WORDS.findall(_NOT_ITS_OWN.sub(" ", "".join(x).lower()))]
+
+
+def _off(names: list[str], attributes: str) -> bool:
+    return any(w in BOILER_WORD or w.startswith(BOILER_START) for w in names) or bool(_HIDDEN.search(attributes))
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_behind", "links_behind", "outside", "article", "heading")
 #: Labelled blocks: FEATURES, and whether the block is main text. Written for this table after common page layouts.
@@ -110,14 +121,14 @@ def blocks(page: str) -> list[tuple]:
     parts: list[str] = []
     linked: list[str] = []
     in_link, heading = False, ""
-    outside = article = headed = False
+    outside = article = headed = own_off = False
 
     def close():
         nonlocal parts, linked
         if parts:
             words = "".join(parts).split()
             if words:
-                out.append((" ".join(words), len(words), len("".join(linked).split()), outside or (headed and not heading), article, bool(heading)))
+                out.append((" ".join(words), len(words), len("".join(linked).split()), outside or own_off or (headed and not heading), article, bool(heading)))
             parts, linked = [], []
 
     def text(piece: str):
@@ -147,12 +158,13 @@ def blocks(page: str) -> list[tuple]:
             continue
         if tag in BLOCK or tag == "label":
             close()
-            in_link = False
+            in_link = own_off = False
         if tag in HEADING:
             heading = "" if m["end"] else tag
         elif tag in BLOCK:
             heading = ""
         if tag not in CONTAINER:
+            own_off = tag in BLOCK and not m["end"] and bool(m["attr"]) and _off(_names(m["attr"]), m["attr"])
             continue
         if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
@@ -160,11 +172,13 @@ def blocks(page: str) -> list[tuple]:
                     del stack[k:]
                     break
         else:
-            names = [w for x in _NAMES.findall(m["attr"]) for w in _WORDS.findall("".join(x).lower())]
-            main = tag in ("article", "main")
-            off = tag in BOILER_TAG or any(w in BOILER_WORD for w in names) or bool(_HIDDEN.search(m["attr"]))
-            if main and not _HIDDEN.search(m["attr"]) and not any(w.startswith("comment") for w in names):
-                off = False
+            names = _names(m["attr"])
+            main = tag in ("article", "main", "body")
+            if main:
+                off = bool(_HIDDEN.search(m["attr"])) or any(w.startswith("comment") for w in names)
+            else:
+                off = tag in BOILER_TAG or _off(names, m["attr"])
+            main = main and tag != "body"
             own = tag == "header" and any(t in ("article", "main") for t, *_ in stack)  # only its heading is the article's
             stack.append((tag, outside or (off and not own), article or main or any(w in ARTICLE_WORD for w in names), headed or own))
         outside, article, headed = stack[-1][1:] if stack else (False, False, False)

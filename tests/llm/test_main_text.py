@@ -23,6 +23,12 @@ def test_broken_pages():
     assert main_text("<article><p>" + '<a "' * 3000) is not None
 
 
+def test_names_of_elements():
+    keep = '<body class="with-sidebar"><article class="post no-comments"><p>Stays here.</p>'
+    for drop in ('<p class="notice">x</p>', '<div class="cookie-banner"><p>x</p></div>', '<ol class="commentlist"><li>x</li></ol>', '<p hidden>x</p>', '<div style="display: none">x</div>', '<article class="comment"><p>x</p></article>', '<ul class="share-buttons"><li>x</li></ul>'):
+        assert main_text(keep + drop + "<p>This too.</p></article></body>") == "Stays here.\nThis too.", drop
+
+
 def test_tree_fits_its_table():
     assert sum(judge(r[:-1]) != r[-1] for r in LABELLED) <= 1
 
