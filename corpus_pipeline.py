@@ -46,8 +46,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     only if all ids of their group are null, and then one does.
     """
     first = simhash_groups(docs, radius=NEAR_BITS).select(F.col("component_id").alias("__keep")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    # A plain equality keeps the join and the choice of one row on one partitioning, so that texts are shuffled once.
+    named = docs.filter(F.col("doc_id").isNotNull()).join(first.filter("__keep is not null"), F.col("doc_id") == F.col("__keep"), "left_semi")
+    nameless = docs.filter(F.col("doc_id").isNull()).join(first.filter("__keep is null"), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    return named.dropDuplicates(["doc_id"]).unionByName(nameless.dropDuplicates(["doc_id"]))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
