@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from quiverlake.functions import vectors as V
 
 ROUNDS = 20
+NO_CLUSTER = -1
 SEED = 42
 
 
@@ -92,11 +93,11 @@ def nearest_column(vector: Column, centroids: list[tuple[int, list[float]]]) ->
     """The id of the nearest of a bounded list of centroids, the first at ties."""
     table = F.array(*[F.struct(F.lit(int(c)).alias("c"), V.literal(v).alias("v")) for c, v in centroids])
     distances = F.transform(table, lambda t: F.struct(V.squared_l2(vector, t["v"]).alias("d"), t["c"].alias("c")))
-    return F.array_min(distances)["c"]
+    return F.coalesce(F.array_min(distances)["c"], F.lit(NO_CLUSTER))  # never null, so a join on it is not guarded by working it out once more
 
 
 def assign(rows: DataFrame, centroids: DataFrame, vector: str = "embedding", most: int = 4096) -> DataFrame:
-    """Adds cluster_id: the nearest centroid. The centroid table is at most ``most`` rows, which is checked."""
+    """Adds cluster_id: the nearest centroid, ``NO_CLUSTER`` for null vectors. The centroid table is at most ``most`` rows, which is checked."""
     got = centroids.select("cluster_id", "centroid").orderBy("cluster_id").limit(most + 1).collect()
     if len(got) > most:
         raise ValueError(f"more than {most} centroids")
@@ -108,8 +109,12 @@ def assign(rows: DataFrame, centroids: DataFrame, vector: str = "embedding", mos
     @F.pandas_udf("int")
     def nearest(v: pd.Series) -> pd.Series:
         names, c = sent.value
-        x = np.stack(v.to_numpy()).astype(np.float64)
-        return pd.Series(names[((c * c).sum(1) - 2 * x @ c.T).argmin(1)])
+        out = np.full(len(v), NO_CLUSTER)
+        there = v.notna().to_numpy()
+        if there.any():
+            x = np.stack(v[there].to_numpy()).astype(np.float64)
+            out[there] = names[((c * c).sum(1) - 2 * x @ c.T).argmin(1)]
+        return pd.Series(out)
 
     return rows.withColumn("cluster_id", nearest(F.col(vector)))
 

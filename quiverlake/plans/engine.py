@@ -33,6 +33,7 @@ class EngineOptions:
     ivf_probe_k: int = 2
     rerank_probe_k: int | None = None
     filter_threshold: float = FL.PRE_FILTER_AT
+    cached_segments: int = 0
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,7 @@ class Engine:
         self.metadata_type = collection.metadata_type() if collection.filter_schema else T.StructType([T.StructField("none", T.StringType())])
         self.id_type = T.StringType()
         self.log = WriteLog(self.storage, self.storage.path("log"), self.metadata_type, self.id_type)
-        self.store = SegmentStore(self.storage, self.storage.path("shards"))
+        self.store = SegmentStore(self.storage, self.storage.path("shards"), self.options.cached_segments)
         self.quantizer = quantizer(collection.quantizer)
 
     # ---- writing ----------------------------------------------------------------
@@ -344,6 +345,10 @@ class Engine:
         """How many log entries a shard's tail is rebuilt from; reading always goes through the log, so nothing is to be loaded."""
         return self.log.replay(self.store.load(shard_id).replay_from, shard_id).count()
 
+    def recover_all(self) -> dict[str, int]:
+        """``recover`` for every shard that has a log or a manifest."""
+        return {s: self.recover(s) for s in self.shards()}
+
     def violations(self) -> DataFrame:
         return lifecycle.manifest_violations(self.store.manifests(), self.store.active(), self.collection.collection_id)
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from quiverlake.functions.quantizers import Quantizer
 from quiverlake.operators import ivf
 from quiverlake.schema import MANIFEST
+from quiverlake.sources.cache import SegmentCache
 from quiverlake.sources.storage import Storage
 
 STORED_MANIFEST = T.StructType([*MANIFEST.fields, T.StructField("stored_shard", T.StringType())])
@@ -35,8 +36,9 @@ class ShardState:
 
 
 class SegmentStore:
-    def __init__(self, storage: Storage, folder: str):
+    def __init__(self, storage: Storage, folder: str, cached_segments: int = 0):
         self.storage, self.folder, self.spark = storage, folder, storage.spark
+        self.cache = SegmentCache(cached_segments)
 
     # ---- versions ------------------------------------------------------------
 
@@ -112,7 +114,8 @@ class SegmentStore:
         """
         out = None
         for pos, segment_id in enumerate(state.active):
-            one = self.spark.read.parquet(f"{self.path(shard_id, segment_id)}/rows")
+            path = f"{self.path(shard_id, segment_id)}/rows"
+            one = self.cache.get(path, lambda path=path: self.spark.read.parquet(path))
             if "cluster_id" not in one.columns:
                 one = one.withColumn("cluster_id", F.lit(None).cast("int"))
             one = one.select(
@@ -147,6 +150,7 @@ class SegmentStore:
         return bad
 
     def remove(self, shard_id: str, segment_id: str) -> bool:
+        self.cache.invalidate(self.path(shard_id, segment_id) + "/")
         return self.storage.remove(self.path(shard_id, segment_id))
 
 
