@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text's paragraphs are its lines, a long line in pieces of ``PIECE`` code
-points; the digest of a paragraph is its 64-bit xxHash, and a text stands for
+A text's paragraphs are its lines, a long line in pieces (``PIECES``: short ones
+at the beginning of the text, so that short texts have several); the digest of a paragraph is its 64-bit xxHash, and a text stands for
 the set of its digests. A sketch has three tables of cells. Each digest is in
 one cell of each table, where a cell keeps how many digests it has, their xor
 and the xor of a check value. Two sketches of one size subtract cell by cell:
@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Code points of a line that make one paragraph at most.
-PIECE = 256
+#: (from which code point of the text, code points of a line that make one paragraph at most).
+PIECES = ((1, 32), (257, 96), (1025, 256))
 #: Cells of one of the three tables in the sketch that is shown as fingerprint.
 SHOWN = 4
 TRIES, ROUNDS = 7, 40
@@ -39,8 +39,13 @@ _CELL = "struct<cell:int,n:int,key:bigint,chk:bigint>"
 
 def digests(text: Column) -> Column:
     """The distinct paragraph digests of a text."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^\\n]{{1,{PIECE}}}"), F.lit(0))
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+    text = F.coalesce(text, F.lit(""))
+    ends = [at for at, _ in PIECES[1:]] + [2**31 - 1]
+    zones = [
+        F.regexp_extract_all(F.substring(text, F.lit(at), F.lit(end - at)), F.lit(f"[^\\n]{{1,{most}}}"), F.lit(0))
+        for (at, most), end in zip(PIECES, ends, strict=True)
+    ]
+    return F.array_distinct(F.transform(F.concat(*zones), lambda p: F.xxhash64(p)))
 
 
 def _let(value: Column, body) -> Column:

@@ -8,7 +8,9 @@ from quiverlake.llm.fingerprints import difference, fingerprint_edits, likeness,
 
 
 def _keys(text):
-    return set(re.findall("[^\n]{1,256}", text or ""))
+    text = text or ""
+    zones = (text[:256], 32), (text[256:1024], 96), (text[1024:], 256)
+    return {p for zone, most in zones for p in re.findall("[^\n]{1,%d}" % most, zone)}
 
 
 def _like(a, b):
