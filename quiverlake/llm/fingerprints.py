@@ -148,7 +148,7 @@ def likeness(left: Column, right: Column) -> Column:
     return _let(difference(left, right), ratio).cast("double")
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str], rows: int = 4000, most: int = 16384) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, columns: list[str], rows: int = 1000, most: int = 16384) -> DataFrame:
     """Adds next_<column>: the value in the row that follows by descending id; after the last row comes the first.
 
     Ids are cut into ranges of about ``rows`` rows (``most`` ranges at most,
