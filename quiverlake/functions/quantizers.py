@@ -26,25 +26,29 @@ class Quantizer:
     levels: int = 127
     shift: int = 0
 
-    def scale(self, v: Column) -> Column:
-        top = F.array_max(F.transform(V.doubles(self.prepare(v)), lambda x: F.abs(x)))
+    def _scale(self, prepared: Column) -> Column:
+        top = F.array_max(F.transform(V.doubles(prepared), lambda x: F.abs(x)))
         return F.when(F.coalesce(top, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(top / float(self.levels))
 
     def encode(self, v: Column) -> Column:
-        """(codes array<tinyint>, scale double)."""
-        scale = self.scale(v)
-        step = scale.cast("float").cast("double")
+        """(codes array<tinyint>, scale double). The prepared vector and its scale are worked out once."""
+        low, high = F.lit(-float(self.levels)), F.lit(float(self.levels))
 
-        def code(x: Column) -> Column:
-            near = F.rint((x.cast("float").cast("double") / step).cast("float"))
-            return F.greatest(F.lit(-float(self.levels)), F.least(F.lit(float(self.levels)), near)).cast("tinyint")
+        def coded(p: Column) -> Column:
+            step = p["scale"].cast("float").cast("double")
+            code = lambda x: F.greatest(low, F.least(high, F.rint((x.cast("double") / step).cast("float")))).cast("tinyint")
+            return F.struct(F.transform(p["v"], code).alias("codes"), p["scale"].alias("scale"))
 
-        return F.struct(F.transform(self.prepare(v), code).alias("codes"), scale.alias("scale"))
+        return V.let(self.prepare(v).cast("array<float>"), lambda x: V.let(F.struct(x.alias("v"), self._scale(x).alias("scale")), coded))
 
     def decode(self, encoded: Column) -> Column:
         """Codes times scale, in float, in the prepared space."""
-        step = encoded["scale"].cast("float").cast("double")
-        return F.transform(encoded["codes"], lambda c: (c.cast("double") * step).cast("float"))
+
+        def spread(e: Column) -> Column:
+            step = e["scale"].cast("float").cast("double")
+            return F.transform(e["codes"], lambda c: (c.cast("double") * step).cast("float"))
+
+        return V.let(encoded, spread)
 
     def restored(self, encoded: Column) -> Column:
         """Decoded components at their own places."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quiverlake.functions.vectors import let, norm
+
 PREFIX = "document:"
 # Groups of words that count as one.
 DEFAULT_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -42,10 +44,12 @@ def group_counts(text: Column, groups=DEFAULT_GROUPS) -> Column:
 
 def embed_text(text: Column, groups=DEFAULT_GROUPS) -> Column:
     """Counts of each group's tokens, with unit length; a text without any has its weight in the first component."""
-    counts = group_counts(text, groups)
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
     first = F.lit([1.0] + [0.0] * (len(groups) - 1)).cast("array<double>")
-    return F.when(length == 0, first).otherwise(F.transform(counts, lambda x: x / length))
+
+    def scaled(counts: Column) -> Column:
+        return F.when(F.forall(counts, lambda x: x == 0), first).otherwise(let(F.struct(counts.alias("c"), norm(counts).alias("n")), lambda p: F.transform(p["c"], lambda x: x / p["n"])))
+
+    return let(group_counts(text, groups), scaled)
 
 
 def mode_name(approximate: bool, rerank: bool, suffix: str = "") -> str:

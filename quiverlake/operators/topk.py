@@ -99,7 +99,7 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int, vector: Column | No
         blocks = [queries]
     else:
         cut = F.ntile(parts).over(Window.orderBy("qid"))  # the query set only
-        numbered = queries.withColumn("__part", cut).persist()
+        numbered = queries.withColumn("__part", cut)
         blocks = [numbered.where(F.col("__part") == p + 1) for p in range(parts)]
     found = None
     for b in blocks:

@@ -76,7 +76,7 @@ class Engine:
         differ from the defaults operation, metadata, shard_id.
         """
         have = set(writes.columns)
-        rows, n = numbered(writes, order or [], self.last_epoch())
+        rows, n, held = numbered(writes, order or [], self.last_epoch())
         op = F.col("operation") if "operation" in have else F.when(F.col("embedding").isNull(), "delete").otherwise("upsert")
         meta = F.col("metadata").cast(self.metadata_type) if "metadata" in have and self.collection.filter_schema else F.lit(None).cast(self.metadata_type)
         embedding = checked_dim(F.col("embedding").cast("array<float>"), self.collection.dim)
@@ -86,7 +86,7 @@ class Engine:
                 F.col("vector_id").cast("string").alias("vector_id"), "write_epoch", F.when(op == "upsert", embedding).alias("embedding"), meta.alias("metadata"), F.current_timestamp().alias("ts"),
             )
         )
-        rows.unpersist()
+        held.unpersist()
         if self.options.flush_threshold:
             for shard in self.shards():
                 if self.tail(shard).count() >= self.options.flush_threshold:

@@ -9,8 +9,8 @@ from quiverlake.schema import log_schema
 from quiverlake.sources.storage import Storage
 
 
-def numbered(df: DataFrame, order: list[str], base: int, out: str = "write_epoch") -> tuple[DataFrame, int]:
-    """Adds base + 1, base + 2, ... in the given order, and returns how many rows there were.
+def numbered(df: DataFrame, order: list[str], base: int, out: str = "write_epoch") -> tuple[DataFrame, int, DataFrame]:
+    """Adds base + 1, base + 2, ... in the given order. Returns the rows, their number, and what to unpersist when done.
 
     Sorted by ranges; only the row count of each partition comes to the driver.
     """
@@ -24,9 +24,9 @@ def numbered(df: DataFrame, order: list[str], base: int, out: str = "write_epoch
         offsets[p] = at
         at += n
     if not offsets:
-        return tagged.withColumn(out, F.lit(0).cast("long")).drop("__mid"), 0
+        return tagged.withColumn(out, F.lit(0).cast("long")).drop("__mid"), 0, tagged
     start = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in offsets.items() for x in pair]), part)
-    return tagged.withColumn(out, (start + within).cast("long")).drop("__mid"), at - base - 1
+    return tagged.withColumn(out, (start + within).cast("long")).drop("__mid"), at - base - 1, tagged
 
 
 class WriteLog:
