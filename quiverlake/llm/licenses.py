@@ -46,6 +46,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
+    ("Proprietary", "All rights reserved."),
 )
 ANCHORS = "licen[sc]e|copyright|permission|redistribution|rights reserved"
 LICENSE_FILES = r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$"
