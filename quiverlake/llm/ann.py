@@ -5,9 +5,11 @@ by hash): coarse centroids of the unit vectors, codebooks of the residuals for
 each of ``parts`` slices, and the number of cells to probe, which is the
 smallest that holds 995 of 1000 true neighbours within the sample. Every vector
 is indexed. For a query and a cell, the score of a residual code is a sum of
-look-ups in the query's table (asymmetric distances); the best ``shortlist`` of
-each block of a cell are scored exactly on the original vectors, in double
-precision, and so ranked.
+look-ups in the query's table (asymmetric distances). It is off by at most the
+length of what the code leaves of the residual, which is kept with each entry;
+so an entry is passed over only if k + 1 others of its block are certainly
+better. All the rest, however many, are scored exactly on the original vectors,
+in double precision, and so ranked: within the probed cells nothing is lost.
 
 Equal vectors are one entry with its smallest ids, so that a vector with a
 third of all rows costs as much as any other. A cell is dealt to blocks of
@@ -32,6 +34,10 @@ from pyspark.sql.window import Window
 from quiverlake.llm._common import cut_lineage
 
 
+#: More than the rounding of a product of unit vectors.
+ROUNDING = 1e-9
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
@@ -96,6 +102,12 @@ class IvfPq:
         rest = (x - self.centroids[own]).reshape(len(x), parts, width)
         return own, np.stack([_nearest(np.ascontiguousarray(rest[:, p]), self.books[p]) for p in range(parts)], axis=1).astype(np.uint8)
 
+    def misses(self, x: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Length of what centroid and code leave of each unit vector: the most by which an approximate score is off."""
+        parts, _, width = self.books.shape
+        rest = (x - self.centroids[own]).reshape(len(x), parts, width) - self.books[np.arange(parts), codes]
+        return np.sqrt((rest * rest).sum(axis=(1, 2)))
+
     def cells_of(self, queries: np.ndarray) -> np.ndarray:
         return np.argsort(_distance(queries, self.centroids), axis=1)[:, : self.probes]
 
@@ -110,6 +122,14 @@ def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
+def survivors(rough: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
+    """Where a score that is off by at most ``off`` may be among the k best of its row, ties included."""
+    if k >= rough.shape[1]:
+        return np.ones(rough.shape, bool)
+    least = np.partition(rough - off, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
+    return rough + off >= least[:, None] - ROUNDING
+
+
 def _usable(vector: Column) -> Column:
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(vector, lambda x: x != 0)
@@ -121,7 +141,7 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 def nearest(
     df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-    sample: int = 20_000, parts: int = 16, shortlist: int = 256, block: int = 4096,
+    sample: int = 20_000, parts: int = 16, block: int = 4096,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows of each query row."""
     raw = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
@@ -144,8 +164,9 @@ def nearest(
         import pyarrow as pa
 
         for b in batches:
-            own, codes = model.encode(model.unit(_matrix(b.column("v"), dim)))
-            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("ids"), b.column("v"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["cid", "ids", "v", "cell", "code"])
+            x = model.unit(_matrix(b.column("v"), dim))
+            own, codes = model.encode(x)
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("ids"), b.column("v"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(model.misses(x, own, codes))], names=["cid", "ids", "v", "cell", "code", "off"])
 
     def probe(batches):
         import pyarrow as pa
@@ -157,7 +178,7 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([b.column("cid").take(take), b.column("v").take(take), pa.array(cells.ravel().astype(np.int32))], names=["cid", "v", "cell"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    entries = cut_lineage(classes.select("cid", "ids", "v").mapInArrow(index, f"cid long, ids array<{id_type}>, v array<double>, cell int, code binary"))
+    entries = cut_lineage(classes.select("cid", "ids", "v").mapInArrow(index, f"cid long, ids array<{id_type}>, v array<double>, cell int, code binary, off double"))
     blocks = {r[0]: -(-r[1] // block) for r in entries.groupBy("cell").count().collect()}
     many = F.element_at(F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]), F.col("cell"))
     asked = rows.filter("q").select(F.col("id").alias("query_id"), "v").distinct()
@@ -165,8 +186,8 @@ def nearest(
     query_classes = cut_lineage(query_classes)
     queries = classes.join(query_classes.select("cid").distinct(), "cid", "left_semi").select("cid", "v").mapInArrow(probe, "cid long, v array<double>, cell int")
     queries = queries.withColumn("blocks", many).filter("blocks is not null").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = entries.select("cell", F.pmod(F.xxhash64("cid"), many).cast("int").alias("block"), F.lit(0).alias("kind"), "cid", "v", "ids", "code")
-    right = queries.select("cell", "block", F.lit(1).alias("kind"), "cid", "v", F.lit(None).cast(f"array<{id_type}>").alias("ids"), F.lit(None).cast("binary").alias("code"))
+    left = entries.select("cell", F.pmod(F.xxhash64("cid"), many).cast("int").alias("block"), F.lit(0).alias("kind"), "cid", "v", "ids", "code", "off")
+    right = queries.select("cell", "block", F.lit(1).alias("kind"), "cid", "v", F.lit(None).cast(f"array<{id_type}>").alias("ids"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("off"))
     met = left.unionByName(right).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
 
     def search(batches):
@@ -176,7 +197,7 @@ def nearest(
 
         def answer(b):
             """The best of the held block for each query of a batch."""
-            vectors, codes, ids, least = ready
+            vectors, near, codes, off, ids, least = ready
             asks = _matrix(b.column("v"), dim)
             unit = model.unit(asks)
             cell = at[0]
@@ -187,13 +208,15 @@ def nearest(
                 rough = np.repeat(base[a : a + 64, None], len(vectors), axis=1)
                 for p in range(codes.shape[1]):
                     rough += table[a : a + 64, p][:, codes[:, p]]
-                n = min(shortlist, len(vectors))
-                top = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < len(vectors) else np.tile(np.arange(n), (len(rough), 1))
-                for q, near in enumerate(top):
-                    score = cosines(asks[a + q], vectors[near])
-                    order = np.lexsort((least[near], -score))[: k + 1]
+                may = survivors(rough, off, k + 1)
+                some = np.flatnonzero(may.any(axis=0))
+                close = np.where(may[:, some], unit[a : a + 64] @ near[some].T, -2.0)
+                for q, row in enumerate(survivors(close, 0.0, k + 1)):
+                    best = some[row]
+                    score = cosines(asks[a + q], vectors[best])
+                    order = np.lexsort((least[best], -score))[: k + 1]
                     out[0].extend([b.column("cid")[a + q].as_py()] * len(order))
-                    out[1].extend(ids[j] for j in near[order].tolist())
+                    out[1].extend(ids[j] for j in best[order].tolist())
                     out[2].extend(score[order].tolist())
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(id_arrow)), pa.array(out[2], pa.float64())], names=["cid", "ids", "score"])
 
@@ -213,7 +236,9 @@ def nearest(
                 if ready is None and held:
                     ids = [x for h in held for x in h.column("ids").to_pylist()]
                     codes = np.concatenate([np.frombuffer(b"".join(h.column("code").to_pylist()), np.uint8).reshape(h.num_rows, -1) for h in held])
-                    ready = np.concatenate([_matrix(h.column("v"), dim) for h in held]), codes, ids, np.array([x[0] for x in ids])
+                    off = np.concatenate([h.column("off").to_numpy() for h in held])
+                    vectors = np.concatenate([_matrix(h.column("v"), dim) for h in held])
+                    ready = vectors, model.unit(vectors), codes, off, ids, np.array([x[0] for x in ids])
                 if ready is not None:
                     yield answer(piece)
 

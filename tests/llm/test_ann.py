@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quiverlake.llm.ann import IvfPq, cosines, nearest
+from quiverlake.llm.ann import IvfPq, cosines, nearest, survivors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id long, v string, q boolean, cid int, cell int"
 
@@ -42,6 +42,34 @@ def test_recall_and_scores(spark, sf_dir):
     assert hot and all([i for i, _ in mine[q]] == [i for i, _ in want[q]] for q in hot)  # ties go to the smaller ids
 
 
+def test_thousands_of_near_copies(spark):
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=64)
+    rows = [(k, rng.normal(size=64).tolist()) for k in range(6000)]
+    rows += [(10_000 + 4000 * g + k, (one + noise * rng.normal(size=64)).tolist()) for g, noise in enumerate((1e-3, 1e-2)) for k in range(4000)]
+    got = {}
+    for r in nearest(_frame(spark, rows), F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = _exact(rows, 100)
+    for low, high in ((0, 10_000), (10_000, 14_000), (14_000, 18_000)):
+        group = [q for q in want if low <= q < high]
+        assert sum(len(got[q] & {i for i, _ in want[q]}) for q in group) / (5 * len(group)) >= 0.9, low
+
+
+def test_bounds_pass_over_no_true_neighbour():
+    rng = np.random.default_rng(9)
+    x = IvfPq.unit(np.concatenate([rng.normal(size=(1500, 32)), rng.normal(size=32) + 1e-2 * rng.normal(size=(1500, 32))]))
+    model = IvfPq.fit(x, 3000)
+    own, codes = model.encode(x)
+    table = model.table(x[::100])
+    rough = x[::100] @ model.centroids[own].T + sum(table[:, p][:, codes[:, p]] for p in range(codes.shape[1]))
+    exact = x[::100] @ x.T
+    off = model.misses(x, own, codes)
+    assert (np.abs(rough - exact) <= off + 1e-9).all()
+    best = np.argsort(-exact, axis=1)[:, :6]
+    assert np.take_along_axis(survivors(rough, off, 6), best, axis=1).all()
+
+
 def test_small_and_odd(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (50, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0]), (8, []), (None, [1.0, 1.0]), (9, [None, 1.0]), (1, [1.0, 0.1])]
