@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from quiverlake.llm._common import WORD
 from quiverlake.llm.language import fit_language, sure_language
 from quiverlake.llm.mixing import mix, words_taken
+from quiverlake.llm.near_copies import near_copy_groups
 from quiverlake.llm.packing import pack_documents
 from quiverlake.llm.quality import featurise, fit_quality, good_text
-from quiverlake.llm.simhash import simhash_groups
 
-#: Differing bits up to which texts are near-duplicates in the pipeline: at
-#: this radius the links reach nearly all pairs whose five-word shingles have a
-#: similarity of 0.8 or more, and no unrelated texts.
-NEAR_BITS = 6
+#: Differing bits up to which fingerprints make texts candidates for near-duplicates in the pipeline.
+NEAR_BITS = 8
+#: Similarity of five-word shingles from which candidates are near-duplicates.
+NEAR_LEAST = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Where several rows have that id, one of them stays. Rows with null id stay
     only if all ids of their group are null, and then one does.
     """
-    first = simhash_groups(docs, radius=NEAR_BITS).select(F.col("component_id").alias("__keep")).distinct()
+    first = near_copy_groups(docs, radius=NEAR_BITS, least=NEAR_LEAST).select(F.col("component_id").alias("__keep")).distinct()
     # A plain equality keeps the join and the choice of one row on one partitioning, so that texts are shuffled once.
     named = docs.filter(F.col("doc_id").isNotNull()).join(first.filter("__keep is not null"), F.col("doc_id") == F.col("__keep"), "left_semi")
     nameless = docs.filter(F.col("doc_id").isNull()).join(first.filter("__keep is null"), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")

@@ -36,6 +36,20 @@ def test_copies_go_and_clean_texts_stay(spark, docs, sf_dir):
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(60))
 
 
+def test_only_texts_with_like_shingles_go(spark, docs, sf_dir):
+    """More than a fifth of all shingles differ, though few bits of the fingerprint do."""
+    rng = random.Random(12)
+    base = ["w%d" % rng.randrange(3000) for _ in range(400)]
+
+    def edited(every):
+        return " ".join("x%d" % rng.randrange(10**9) if every and k % every == 7 else w for k, w in enumerate(base))
+
+    below = [(k, edited(40), "en", "a") for k in range(1, 40)]
+    alike = [(100 + k, edited(100), "en", "a") for k in range(40)]
+    got = {r["doc_id"] for r in _step(spark, "near_duplicates", docs([(0, edited(0), "en", "a"), *below, *alike], extra=True), sf_dir).collect()}
+    assert got == set(range(40))
+
+
 def test_odd_rows_through_all_stages(spark, docs, odd_rows, sf_dir):
     for rows in (odd_rows, []):
         d = docs(rows, extra=True)
