@@ -21,6 +21,8 @@ has words, nothing is taken.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,7 +95,7 @@ def mix(
     sizes = sized.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     placed = running_position(sizes.filter("size > 0"), ["place"], [F.xxhash64("id", F.lit(41)), F.col("id"), F.col("size")], F.col("size"), "__start")
     placed = placed.withColumn("__goal", F.round("target").cast("long"))
-    turns = placed.withColumn("__turn", F.explode(F.array(F.lit(0), F.lit(1))))
+    turns = placed.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(max(1, math.ceil(cap)) - 1))))
     turns = turns.withColumn("__from", F.col("__turn") * F.col("source_size") + F.col("__start"))
     turns = turns.withColumn("__to", F.least(F.col("__from") + F.col("size"), F.col("__goal"))).filter("__to > __from")
     spans = turns.withColumn("rank", F.explode(F.sequence(F.floor(F.col("__from") / block), F.floor((F.col("__to") - 1) / block))))

@@ -83,3 +83,9 @@ def test_reruns_agree_and_spans_fit(spark, docs):
 def test_empty(docs):
     assert words_taken(*mix(docs([]))).collect() == []
     assert [r["taken"] for r in words_taken(*mix(docs([(1, None), (2, "")]))).collect()] == [0, 0]
+
+
+def test_cap_beyond_two(spark, docs):
+    rows = [(k, "word " * 50, "en", "a") for k in range(10)]
+    got = words_taken(*mix(docs(rows, extra=True), share=3.5, cap=3.5)).collect()
+    assert sum(r["taken"] for r in got) == 1750 and {r["taken"] for r in got} <= set(range(150, 201))
