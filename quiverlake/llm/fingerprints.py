@@ -1,26 +1,32 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
-A text's paragraphs are its lines, a long line in pieces (``PIECES``: short ones
-at the beginning of the text, so that short texts have several); the digest of a paragraph is its 64-bit xxHash, and a text stands for
-the set of its digests. A sketch has three tables of cells. Each digest is in
-one cell of each table, where a cell keeps how many digests it has, their xor
-and the xor of a check value. Two sketches of one size subtract cell by cell:
-what the versions share goes, what differs stays. A cell that is left with one
-digest gives it away; taken out of its other cells, it lays others bare
-(peeling). If cells remain, the pair is tried again with tables of twice the
-size and other hash functions. The size starts from a sampled estimate of the
-difference (the digests whose low bits are zero). After the last try, which
-next to nothing reaches, the two sets are compared outright.
+A text's paragraphs are its lines, a long one in runs of at most ``WORDS`` words
+(of at most ``LETTERS`` code points each, longer ones being cut); the digest of a
+paragraph is its 64-bit xxHash, and a text stands for the set of its digests. A sketch has three
+tables of cells, as many in each as the next power of two from the number of
+digests on. Each digest is in one cell of each table, where a cell keeps how
+many digests it has, their xor and the xor of a check value. The fingerprint is
+this sketch, written out: ``digests/third:`` and the cells in use as
+``cell.n.key.check`` in hex.
+
+Two sketches of one size subtract cell by cell: what the versions share goes,
+what differs stays. A cell that is left with one digest gives it away; taken out
+of its other cells, it lays others bare (peeling). A pair is compared at the
+larger of its two sizes, the smaller sketch dealt out anew (its own digests are
+what peeling gives back). If cells remain, the pair is tried again with tables
+of twice the size and other hash functions, until nothing remains.
 
 The likeness of two texts is shared over all digests: with p and q recovered
-on either side, (|A| - p) / (|A| + q); two empty sets have 1.
+on either side, (|A| - p) / (|A| + q); two empty sets have 1. A text of one
+paragraph is all or nothing.
 
-DataFrame functions only; all work on a document is in its own row.
+DataFrame functions only; all work on a document is in its own row, and grows
+with its digests as sorting them does.
 
 Rows: null is the empty text, whose sketch has no cells. Texts of one digest
-set have one fingerprint. Documents with one id are ordered by text; null ids
-come last. A sole document is its own next one. Extra columns are not read. An
-empty table gives an empty result.
+set have one fingerprint. Documents with one id are ordered by their text's
+hash, then by text; null ids come last. A sole document is its own next one.
+Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,23 +35,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: (from which code point of the text, code points of a line that make one paragraph at most).
-PIECES = ((1, 32), (257, 96), (1025, 256))
-#: Cells of one of the three tables in the sketch that is shown as fingerprint.
-SHOWN = 4
-TRIES, ROUNDS = 7, 40
-_CELL = "struct<cell:int,n:int,key:bigint,chk:bigint>"
+#: Words of a line that make one paragraph at most, and code points of such a word.
+WORDS, LETTERS = 16, 24
+_WORD = rf"[^ \t\x0B\f\r\n]{{1,{LETTERS}}}"
+PARAGRAPH = rf"(?:{_WORD}[ \t\x0B\f\r]*+){{0,{WORDS - 1}}}{_WORD}"
+#: Cells of a table at least.
+LEAST = 16
+#: Sizes that are tried, each twice the one before; rounds of peeling in each.
+TRIES, ROUNDS = 24, 60
 
 
 def digests(text: Column) -> Column:
     """The distinct paragraph digests of a text."""
-    text = F.coalesce(text, F.lit(""))
-    ends = [at for at, _ in PIECES[1:]] + [2**31 - 1]
-    zones = [
-        F.regexp_extract_all(F.substring(text, F.lit(at), F.lit(end - at)), F.lit(f"[^\\n]{{1,{most}}}"), F.lit(0))
-        for (at, most), end in zip(PIECES, ends, strict=True)
-    ]
-    return F.array_distinct(F.transform(F.concat(*zones), lambda p: F.xxhash64(p)))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda p: F.xxhash64(p)))
 
 
 def _let(value: Column, body) -> Column:
@@ -57,45 +60,52 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(99)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def third_of(n: Column) -> Column:
+    """Cells of each table for so many digests."""
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(LEAST))))).cast("int")
+
+
 def _entries(keys: Column, sign: int, third: Column, seed: Column) -> Column:
     """The three cells of each key."""
 
-    def at(key: Column, table: int) -> Column:
+    def at(key: Column, chk: Column, table: int) -> Column:
         cell = F.pmod(F.xxhash64(key, F.lit(table), seed), third.cast("bigint")) + third * F.lit(table)
-        return F.struct(cell.cast("int").alias("cell"), F.lit(sign).alias("n"), key.alias("key"), _check(key).alias("chk"))
+        return F.struct(cell.cast("int").alias("cell"), F.lit(sign).alias("n"), key.alias("key"), chk.alias("chk"))
 
-    return F.flatten(F.transform(keys, lambda k: F.array(*[at(k, t) for t in range(3)])))
+    with_check = F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("c")))
+    return F.flatten(F.transform(with_check, lambda x: F.array(*[at(x["k"], x["c"], t) for t in range(3)])))
 
 
 def _sum(entries: Column) -> Column:
-    """Entries added up by cell, in the order of cells, without empty cells."""
+    """Entries added up by cell, in the order of cells, without empty cells: sorted, and one slice a cell."""
 
-    def shut(s: Column) -> Column:
-        gone = (s["n"] == 0) & (s["key"] == 0) & (s["chk"] == 0)
-        cell = F.struct(s["cell"].alias("cell"), s["n"].alias("n"), s["key"].alias("key"), s["chk"].alias("chk"))
-        return F.when(gone, s["out"]).otherwise(F.concat(s["out"], F.array(cell)))
+    def cells(s: Column) -> Column:
+        n = F.size(s)
+        heads = F.filter(F.sequence(F.lit(1), n), lambda p: (p == 1) | (F.get(s, p - 1)["cell"] != F.get(s, p - 2)["cell"]))
 
-    def state(out: Column, cell: Column, n: Column, key: Column, chk: Column) -> Column:
-        return F.struct(out.alias("out"), cell.alias("cell"), n.alias("n"), key.alias("key"), chk.alias("chk"))
+        def added(heads: Column) -> Column:
+            def cell(at: Column, k: Column) -> Column:
+                part = F.slice(s, at, F.coalesce(F.get(heads, k + 1), n + 1) - at)
+                first = F.element_at(part, 1)
+                more = lambda a, e: F.struct(a["cell"].alias("cell"), (a["n"] + e["n"]).alias("n"), a["key"].bitwiseXOR(e["key"]).alias("key"), a["chk"].bitwiseXOR(e["chk"]).alias("chk"))
+                return F.when(F.size(part) == 1, first).otherwise(F.aggregate(F.slice(part, F.lit(2), F.size(part)), first, more))
 
-    def add(s: Column, e: Column) -> Column:
-        same = state(s["out"], s["cell"], s["n"] + e["n"], s["key"].bitwiseXOR(e["key"]), s["chk"].bitwiseXOR(e["chk"]))
-        return F.when(s["cell"] == e["cell"], same).otherwise(state(shut(s), e["cell"], e["n"], e["key"], e["chk"]))
+            return F.filter(F.transform(heads, cell), lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0))
 
-    none = state(F.array().cast(f"array<{_CELL}>"), F.lit(-1), F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
-    return F.aggregate(F.array_sort(entries), none, add, shut)
+        return F.when(n == 0, s).otherwise(_let(heads, added))
 
+    return _let(F.sort_array(entries), cells)
 
-def sketch(keys: Column, third: int = SHOWN) -> Column:
-    """The cells of a sketch with three tables of ``third`` cells."""
-    return _sum(_entries(keys, 1, F.lit(third), F.lit(0)))
+
+def sketch(keys: Column, third: Column | None = None, seed: Column | None = None) -> Column:
+    """The cells of a set's sketch."""
+    return _sum(_entries(keys, 1, third_of(F.size(keys)) if third is None else third, F.lit(0) if seed is None else seed))
 
 
 def shown(keys: Column) -> Column:
-    """The sketch as text: the number of digests, then its cells in hex."""
-    digits = lambda c, n: F.lpad(F.hex(c), n, "0")
-    cells = F.transform(sketch(keys), lambda c: F.concat(digits(c["cell"], 2), digits(c["n"], 4), digits(c["key"], 16), digits(c["chk"], 8)))
-    return F.lower(F.concat(digits(F.size(keys), 4), F.array_join(cells, "")))
+    """The sketch as text."""
+    cells = F.transform(sketch(keys), lambda c: F.concat_ws(".", F.hex(c["cell"]), F.hex(c["n"]), F.hex(c["key"]), F.hex(c["chk"])))
+    return F.lower(F.concat(F.hex(F.size(keys)), F.lit("/"), F.hex(third_of(F.size(keys))), F.lit(":"), F.array_join(cells, ",")))
 
 
 def _peeled(left: Column, right: Column, third: Column, seed: Column) -> Column:
@@ -106,38 +116,36 @@ def _peeled(left: Column, right: Column, third: Column, seed: Column) -> Column:
 
     def step(s: Column) -> Column:
         bare = F.filter(s["rest"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["key"])))
-        found = F.array_distinct(F.transform(bare, lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"))))
 
-        def taken(found: Column) -> Column:
-            mine = F.transform(F.filter(found, lambda f: f["n"] == 1), lambda f: f["key"])
-            theirs = F.transform(F.filter(found, lambda f: f["n"] == -1), lambda f: f["key"])
-            rest = _sum(F.concat(s["rest"], _entries(mine, -1, third, seed), _entries(theirs, 1, third, seed)))
-            on = state(rest, s["plus"] + F.size(mine), s["minus"] + F.size(theirs), F.size(found) == 0)
-            return F.when(F.size(found) == 0, state(s["rest"], s["plus"], s["minus"], F.lit(True))).otherwise(on)
+        def found(bare: Column) -> Column:
+            side = lambda sign: F.array_distinct(F.transform(F.filter(bare, lambda c: c["n"] == sign), lambda c: c["key"]))
+            return F.struct(side(1).alias("mine"), side(-1).alias("theirs"))
+
+        def taken(f: Column) -> Column:
+            rest = _sum(F.concat(s["rest"], _entries(f["mine"], -1, third, seed), _entries(f["theirs"], 1, third, seed)))
+            return state(rest, s["plus"] + F.size(f["mine"]), s["minus"] + F.size(f["theirs"]), F.lit(False))
 
-        return _let(found, taken)
+        none = state(s["rest"], s["plus"], s["minus"], F.lit(True))
+        return _let(bare, lambda b: F.when(F.size(b) == 0, none).otherwise(_let(found(b), taken)))
 
     start = state(_sum(F.concat(_entries(left, 1, third, seed), _entries(right, -1, third, seed))), F.lit(0), F.lit(0), F.lit(False))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when(s["stuck"] | (F.size(s["rest"]) == 0), s).otherwise(step(s)))
 
 
 def difference(left: Column, right: Column) -> Column:
-    """(done, plus, minus) of two digest sets: peeled, with larger tables after each failure."""
-    some = lambda keys: F.filter(keys, lambda k: k.bitwiseAND(F.lit(3)) == 0)
-    sampled = _let(F.struct(some(left).alias("l"), some(right).alias("r")), lambda s: F.size(F.array_except(s["l"], s["r"])) + F.size(F.array_except(s["r"], s["l"])))
-    guess = F.greatest(F.lit(SHOWN), (F.greatest(sampled * 4, F.abs(F.size(left) - F.size(right))) * 6) / 10 + 3).cast("int")
+    """(tries, plus, minus) of two digest sets: peeled, with larger tables after each failure; an error if that never ends."""
 
-    def attempt(guess: Column) -> Column:
+    def attempt(third: Column) -> Column:
         def on(s: Column, k: Column) -> Column:
-            got = _peeled(left, right, guess * F.pow(F.lit(2), k).cast("int"), k)
-            new = _let(got, lambda g: F.struct((F.size(g["rest"]) == 0).alias("done"), g["plus"].alias("plus"), g["minus"].alias("minus")))
-            return F.when(s["done"], s).otherwise(new)
+            got = _peeled(left, right, third * F.pow(F.lit(2), F.least(k, F.lit(8))).cast("int"), k)
+            new = _let(got, lambda g: F.struct(F.when(F.size(g["rest"]) == 0, k + 1).otherwise(F.lit(0)).alias("tries"), g["plus"].alias("plus"), g["minus"].alias("minus")))
+            return F.when(s["tries"] > 0, s).otherwise(new)
 
-        start = F.struct(F.lit(False).alias("done"), F.lit(0).alias("plus"), F.lit(0).alias("minus"))
+        start = F.struct(F.lit(0).alias("tries"), F.lit(0).alias("plus"), F.lit(0).alias("minus"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), start, on)
 
-    outright = F.struct(F.lit(True).alias("done"), F.size(F.array_except(left, right)).alias("plus"), F.size(F.array_except(right, left)).alias("minus"))
-    return _let(_let(guess, attempt), lambda s: F.when(s["done"], s).otherwise(outright))
+    never = F.raise_error(F.lit("sketches do not peel")).cast("struct<tries:int,plus:int,minus:int>")
+    return _let(_let(F.greatest(third_of(F.size(left)), third_of(F.size(right))), attempt), lambda s: F.when(s["tries"] > 0, s).otherwise(never))
 
 
 def likeness(left: Column, right: Column) -> Column:
@@ -148,36 +156,46 @@ def likeness(left: Column, right: Column) -> Column:
     return _let(difference(left, right), ratio).cast("double")
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str], rows: int = 1000, most: int = 16384) -> DataFrame:
-    """Adds next_<column>: the value in the row that follows by descending id; after the last row comes the first.
+def with_next(df: DataFrame, id_col: str, text_col: str, rows: int = 1000, most: int = 16384, add: dict | None = None) -> DataFrame:
+    """(id, text, next_text), and name and next_name for each function of the text in ``add``.
 
-    Ids are cut into ranges of about ``rows`` rows (``most`` ranges at most,
-    the bound of what the driver holds). A range gets a copy of the row that
-    heads the one below it, so each window is of one range.
+    Next is the row that follows by descending id; after the last row comes the
+    first. Ids are cut into ranges of about ``rows`` rows (``most`` ranges at most,
+    the bound of what the driver holds). An id that fills several ranges, null
+    too, is apart from the others and cut by the hash of the text. A range gets a
+    copy of the row that heads the next one, so each window is of one range.
     """
-    spark = df.sparkSession
-    n = df.select(id_col).count()
-    parts = max(1, min(most, -(-n // rows)))
-    cuts = df.agg(F.percentile_approx(id_col, [k / parts for k in range(1, parts)] or [0.5], max(10_000, 4 * parts))).first()[0] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    id_ = F.col(id_col)
-    if cuts:
-        bounds, width = F.array(*[F.lit(c) for c in cuts]) if len(cuts) < 2 else F.lit(cuts), 1 << (len(cuts).bit_length() - 1)
+    spark, kind, id_ = df.sparkSession, df.schema[id_col].dataType.simpleString(), F.col("id")
+    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    n = base.count()
+    rows = max(rows, -(-n // most))
+    many = {r[0]: -(-r[1] // rows) for r in base.groupBy("id").count().where(F.col("count") > 2 * rows).collect()}  # most / 2 of them at most
+    parts = max(1, -(-n // rows))
+    cuts = base.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], max(10_000, 4 * parts))).first()[0] if parts > 1 else None
+    cuts = sorted({*(cuts or []), *(i for i in many if i is not None)})
+    at = F.lit(0)
+    if cuts:  # how many cuts are not above the id
+        bounds, width = F.lit(cuts).cast(f"array<{kind}>"), 1 << (len(cuts).bit_length() - 1)
         steps = F.array(*[F.lit(width >> k) for k in range(width.bit_length())])
-        beyond = lambda at: F.try_element_at(bounds, at) <= id_
-        part = F.aggregate(steps, F.lit(0), lambda at, w: F.when(F.coalesce(beyond(at + w), F.lit(False)), at + w).otherwise(at))
-        part = F.when(id_.isNull(), F.lit(-1)).otherwise(part)
-    else:
-        part = F.when(id_.isNull(), F.lit(-1)).otherwise(F.lit(0))
-    heads = sorted((r[0], r[1]) for r in df.select(part.alias("p"), id_.alias("i")).groupBy("p").agg(F.max("i")).collect())
-    above = [p for p, _ in heads[1:]] + [p for p, _ in heads[:1]]
-    to = spark.createDataFrame([(i, p) for (_, i), p in zip(heads, above, strict=True)], f"__head {df.schema[id_col].dataType.simpleString()}, __above int")
-    tagged = df.select(id_col, *columns).withColumn("__part", part)
-    tagged = tagged.join(F.broadcast(to), id_.eqNullSafe(F.col("__head")), "left")
-    both = F.array(F.struct(F.col("__part").alias("p"), F.lit(False).alias("copy")), F.struct(F.col("__above").alias("p"), F.lit(True).alias("copy")))
-    dealt = tagged.withColumn("__at", F.explode(F.filter(both, lambda x: x["p"].isNotNull()))).select(id_col, *columns, F.col("__at.p").alias("__p"), F.col("__at.copy").alias("__copy"))
-    down = Window.partitionBy("__p").orderBy("__copy", id_.desc_nulls_last(), *columns)
-    return dealt.select("*", *[F.lead(c).over(down).alias(f"next_{c}") for c in columns]).filter(~F.col("__copy")).drop("__p", "__copy")
+        at = F.aggregate(steps, F.lit(0), lambda at, w: F.when(F.coalesce(F.try_element_at(bounds, at + w) <= id_, F.lit(False)), at + w).otherwise(at))
+    slices = F.when(id_.isNull(), F.lit(many.get(None, 1)))
+    known = [F.lit(x) for i, c in many.items() if i is not None for x in (i, c)]
+    slices = slices.otherwise(F.coalesce(F.try_element_at(F.create_map(*known), id_), F.lit(1)) if known else F.lit(1))
+    part = F.when(id_.isNull(), -1).when(slices > 1, 2 * at).otherwise(2 * at + 1)
+    base = base.withColumn("part", part.cast("int")).withColumn("slice", F.floor(F.col("h") / F.lit(float(1 << 63)) * slices).cast("int"))
+    heads = base.groupBy("part", "slice").agg(F.max(F.struct("id", (-F.col("h")).alias("h"))).alias("m")).collect()
+    heads = sorted(((r["part"], r["slice"], r["m"]["id"], -r["m"]["h"]) for r in heads), key=lambda r: (-r[0], r[1]))
+    to = [(i, h, *heads[k - 1][:2]) for k, (_, _, i, h) in enumerate(heads)]
+    to = spark.createDataFrame(to, f"head {kind}, head_h long, to_part int, to_slice int")
+    met = base.join(F.broadcast(to), id_.eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h")), "left")
+    place = lambda part, slice_, copy: F.struct(F.col(part).alias("part"), F.col(slice_).alias("slice"), F.lit(copy).alias("copy"))
+    places = F.filter(F.array(place("part", "slice", False), place("to_part", "to_slice", True)), lambda x: x["part"].isNotNull())
+    dealt = met.select("id", "text", "h", F.explode(places).alias("at")).select("id", "text", "h", "at.part", "at.slice", "at.copy").repartition("part", "slice")
+    add = add or {}
+    dealt = dealt.select("*", *[f(F.col("text")).alias(name) for name, f in add.items()])
+    down = Window.partitionBy("part", "slice").orderBy("copy", id_.desc_nulls_last(), "h", "text")
+    columns = ["text", *add]
+    return dealt.select("id", *columns, "copy", *[F.lead(c).over(down).alias(f"next_{c}") for c in columns]).filter(~F.col("copy")).drop("copy")
 
 
 def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +205,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     beginning of the next document (all of it, if shorter).
     """
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pairs = with_next(texts.withColumn("keys", digests(F.col("text"))), "id", ["text", "keys"])
+    pairs = with_next(texts, "id", "text", add={"keys": digests})
     n = F.length("text").cast("long")
     cut = F.floor(n / 3)
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.substring(F.col("next_text"), F.lit(1), cut.cast("int")))
