@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quiverlake.functions import vectors as V
+from quiverlake.operators.topk import MOST_QUERIES, query_matrix, scores
 
 ROUNDS = 20
 NO_CLUSTER = -1
@@ -56,8 +58,7 @@ def lloyd(x: np.ndarray, n_clusters: int, seed: int = SEED, rounds: int = ROUNDS
 def build_per_segment(rows: DataFrame, n_clusters: int, vector: str = "embedding") -> DataFrame:
     """(segment_id, cluster_id, centroid) for each segment, by seeded k-means in one task a segment.
 
-    A segment is bounded by the flush threshold and by the compaction limit. For
-    larger sets take ``build_distributed``.
+    For sets beyond what a task should hold take ``build_distributed``.
     """
     segment_type = rows.schema["segment_id"].dataType.simpleString()
 
@@ -131,6 +132,79 @@ def probes(queries: DataFrame, centroids: DataFrame, probe_k: int, by: list[str]
     return scored.withColumn("probe", rank).where(F.col("probe") <= probe_k).select("qid", *by, "cluster_id", "probe", "d")
 
 
+def probe_lists(names: list[tuple], centroids: np.ndarray, queries: np.ndarray, probe_k: int) -> dict[tuple, np.ndarray]:
+    """The queries (their places) that probe each cluster. ``names``: (segment key, cluster id) of each centroid; ties to the smaller id."""
+    out: dict[tuple, np.ndarray] = {}
+    segments: dict = {}
+    for at, (segment, _) in enumerate(names):
+        segments.setdefault(segment, []).append(at)
+    for segment, at in segments.items():
+        at = sorted(at, key=lambda a: names[a][1])
+        c = centroids[at]
+        d = np.concatenate([((c[None] - queries[a : a + 64, None]) ** 2).sum(-1) for a in range(0, len(queries), 64)])
+        near = np.argsort(d, axis=1, kind="stable")[:, :probe_k]
+        for j, a in enumerate(at):
+            out[segment, names[a][1]] = np.flatnonzero((near == j).any(axis=1))
+    return out
+
+
+def top_k_probed(
+    rows: DataFrame, queries: DataFrame, centroids: DataFrame, probe_k: int, k: int, by: list[str], vector: Column, key: str = "vector_id", metric: str = "dot_product", most: int = MOST_QUERIES, most_centroids: int = 1 << 16
+) -> DataFrame:
+    """(qid, key, score): the k best rows a query and Arrow batch of the clusters that the query probes; rows of segments without clusters meet every query.
+
+    Queries and centroids go to the executors after a check of their numbers;
+    in each batch a cluster is one matrix product with the queries that probe
+    it. Clusters that no query probes are not read.
+    """
+    ids, matrix = query_matrix(queries, most)
+    got = centroids.select(*by, "cluster_id", "centroid").limit(most_centroids + 1).collect()
+    if len(got) > most_centroids:
+        raise ValueError(f"more than {most_centroids} centroids")
+    names = [("/".join(str(r[b]) for b in by), int(r["cluster_id"])) for r in got]
+    asked = probe_lists(names, np.array([r["centroid"] for r in got], np.float64), matrix, probe_k) if ids and got else {}
+    held = {s for s, _ in names}
+    wanted = sorted({c for (_, c), q in asked.items() if q.size})
+    sent = rows.sparkSession.sparkContext.broadcast((ids, matrix, asked, held))
+    qid_type = queries.schema["qid"].dataType
+    arrow_qid, key_type = to_arrow_type(qid_type), rows.schema[key].dataType.simpleString()
+
+    def score(batches):
+        import pyarrow as pa
+
+        ids, q, asked, held = sent.value
+        every = np.arange(len(ids))
+        for b in batches:
+            fine = b.column(1).is_valid()
+            b = b.filter(fine) if b.num_rows else b
+            if not b.num_rows or not len(ids):
+                continue
+            segment, cluster = b.column(2).dictionary_encode(), b.column(3).fill_null(NO_CLUSTER).to_numpy(zero_copy_only=False)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            code = segment.indices.to_numpy().astype(np.int64) * (1 << 32) + cluster
+            order = np.argsort(code, kind="stable")
+            cuts = np.flatnonzero(np.diff(code[order])) + 1
+            qi, ri, ss = [], [], []
+            for part in np.split(order, cuts):
+                name = segment.dictionary[int(segment.indices[int(part[0])].as_py())].as_py()
+                who = asked.get((name, int(cluster[part[0]])), every[:0]) if name in held else every
+                if not who.size:
+                    continue
+                s = scores(q[who], x[part], metric)
+                n = min(k, s.shape[1])
+                limit = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+                a, c = np.nonzero((s >= limit[:, None]) & (s > -np.inf))
+                qi.append(who[a])
+                ri.append(part[c])
+                ss.append(s[a, c])
+            if qi:
+                qi, ri, ss = (np.concatenate(z) for z in (qi, ri, ss))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in qi.tolist()], arrow_qid), b.column(0).take(pa.array(ri)), pa.array(ss)], names=["qid", key, "score"])
+
+    in_reach = rows.where(F.col("cluster_id").isNull() | F.col("cluster_id").isin(wanted)) if names else rows
+    return in_reach.select(key, vector.cast("array<double>").alias("v"), F.coalesce(F.concat_ws("/", *by), F.lit("")).alias("__segment"), F.col("cluster_id").cast("int").alias("cluster_id")).mapInArrow(score, f"qid {qid_type.simpleString()}, {key} {key_type}, score double")
+
+
 def probed_rows(rows: DataFrame, probe_table: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows of the probed clusters, once for each query; with files partitioned by cluster_id, other clusters are not read."""
     return rows.join(F.broadcast(probe_table.select("qid", *(by or []), "cluster_id")), [*(by or []), "cluster_id"])

@@ -50,6 +50,29 @@ def query_matrix(queries: DataFrame, most: int = MOST_QUERIES) -> tuple[list, np
     return [r["qid"] for r in got], np.array([r["query"] for r in got], np.float64)
 
 
+def query_blocks(queries: DataFrame, most: int = MOST_QUERIES) -> list[DataFrame]:
+    """The query set in blocks of at most about ``most``, dealt by hash; beyond ``most`` it is split until the largest block fits."""
+    n, parts = queries.limit(most + 1).count(), 1
+    if n <= most:
+        return [queries]
+    parts = -(-2 * queries.count() // most)
+    dealt = lambda p: F.pmod(F.xxhash64("qid"), F.lit(p)).cast("int")
+    while queries.groupBy(dealt(parts).alias("p")).count().agg(F.max("count")).first()[0] > most:
+        parts *= 2
+    return [queries.where(dealt(parts) == p) for p in range(parts)]
+
+
+def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """(queries, rows) scores by one matrix product; what is not finite counts as no score."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        s = q @ x.T
+        if metric == "cosine":
+            s = s / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((x * x).sum(1))
+        elif metric == "l2":
+            s = 2 * s - (x * x).sum(1) - (q * q).sum(1)[:, None]
+    return np.where(np.isfinite(s), s, -np.inf)
+
+
 def _block(rows: DataFrame, ids: list, matrix: np.ndarray, qid_type: DataType, k: int, vector: Column, key: str, metric: str) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast((np.asarray(ids, object), matrix))
     key_type = rows.schema[key].dataType.simpleString()
@@ -60,8 +83,6 @@ def _block(rows: DataFrame, ids: list, matrix: np.ndarray, qid_type: DataType, k
         import pyarrow as pa
 
         names, q = sent.value
-        if metric == "cosine":
-            q = q / np.sqrt((q * q).sum(1, keepdims=True))
         for b in batches:
             column = b.column(1)
             fine = column.is_valid()
@@ -71,14 +92,8 @@ def _block(rows: DataFrame, ids: list, matrix: np.ndarray, qid_type: DataType, k
             x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
             if x.shape[1] != q.shape[1]:
                 raise ValueError(f"vectors of {x.shape[1]} components, queries of {q.shape[1]}")
-            s = q @ x.T
-            if metric == "cosine":
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = s / np.sqrt((x * x).sum(1))
-            elif metric == "l2":
-                s = 2 * s - (x * x).sum(1) - (q * q).sum(1)[:, None]
+            s = scores(q, x, metric)
             n = min(k, s.shape[1])
-            s = np.where(np.isfinite(s), s, -np.inf)
             # Ties at the cut are all handed on; the exact order is made once, in the window behind.
             limit = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
             qi, ri = np.nonzero((s >= limit[:, None]) & (s > -np.inf))
@@ -93,16 +108,8 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int, vector: Column | No
     qid_type = queries.schema["qid"].dataType.simpleString()
     if k < 1:
         return rows.sparkSession.createDataFrame([], f"qid {qid_type}, rank int, {key} {rows.schema[key].dataType.simpleString()}, score double")
-    n = queries.count()
-    parts = max(1, -(-n // most))
-    if parts == 1:
-        blocks = [queries]
-    else:
-        cut = F.ntile(parts).over(Window.orderBy("qid"))  # the query set only
-        numbered = queries.withColumn("__part", cut)
-        blocks = [numbered.where(F.col("__part") == p + 1) for p in range(parts)]
     found = None
-    for b in blocks:
+    for b in query_blocks(queries, most):
         ids, matrix = query_matrix(b, most)
         one = _block(rows, ids, matrix, queries.schema["qid"].dataType, k, vector, key, metric) if ids else None
         found = one if found is None else found.unionByName(one) if one is not None else found

@@ -31,6 +31,13 @@ def visible(rows: DataFrame, key: list[str] | None = None, order: list[Column] |
     return live(newest(rows, key, order))
 
 
+def hidden(narrow: DataFrame, place: list[str], key: list[str] | None = None, order: list[Column] | None = None) -> DataFrame:
+    """The places of rows that a newer write of their key, or their own deletion, hides. ``narrow``: key, place, epoch and is_deleted only."""
+    by = Window.partitionBy(*(key or KEY)).orderBy(*(order or [F.col("write_epoch").desc()]))
+    marked = narrow.withColumn("__n", F.row_number().over(by))
+    return marked.where((F.col("__n") > 1) | F.col("is_deleted")).select(*(key or KEY), *place)
+
+
 def tombstones(rows: DataFrame, key: list[str] | None = None) -> DataFrame:
     return rows.where("is_deleted").select(*(key or KEY)).distinct()
 

@@ -23,6 +23,7 @@ from quiverlake.sources.storage import Storage
 
 EXACT, EXACTISH, COMPRESSED, RERANKED = "exact", "exactish", "compressed", "reranked"
 LATEST, COMPAT = "latest", "compat"
+KEY = "__key"
 
 
 @dataclass(frozen=True)
@@ -117,29 +118,48 @@ class Engine:
     def sealed(self, shard_id: str, state: ShardState | None = None) -> DataFrame | None:
         return self.store.read(state or self.store.load(shard_id), shard_id, self.metadata_type, self.id_type)
 
-    def _rows(self, states: dict[str, ShardState]) -> tuple[DataFrame, DataFrame | None]:
+    def _rows(self, states: dict[str, ShardState]) -> tuple[DataFrame | None, DataFrame | None]:
+        """The tails and the sealed rows of shards; None where there are none, as the folders tell."""
         mutable = sealed = None
         for shard, state in states.items():
-            m, s = self.tail(shard, state), self.sealed(shard, state)
-            mutable = m if mutable is None else mutable.unionByName(m)
+            m = self.tail(shard, state) if self.log.has(state.replay_from, shard) else None
+            s = self.sealed(shard, state)
+            mutable = m if mutable is None else mutable if m is None else mutable.unionByName(m)
             sealed = s if sealed is None else sealed if s is None else sealed.unionByName(s)
         return mutable, sealed
 
+    def _no_tail(self) -> DataFrame:
+        return self.spark.createDataFrame([], T.StructType([*[f for f in self.log.schema if f.name in ("shard_id", "vector_id", "embedding", "metadata", "write_epoch")], T.StructField("is_deleted", T.BooleanType())]))
+
     def _snapshot(self, shard_id: str | None) -> dict[str, ShardState]:
         """One version of each shard, for all steps of a query."""
         return {s: self.store.load(s) for s in ([shard_id] if shard_id else self.shards() or [DEFAULT_SHARD])}
 
-    def _tagged(self, mutable: DataFrame, sealed: DataFrame | None) -> DataFrame:
+    def _tagged(self, mutable: DataFrame | None, sealed: DataFrame | None) -> DataFrame:
         q = self.quantizer
-        m = mutable.withColumn("source", F.lit(hybrid.MUTABLE)).withColumn("segment_pos", F.lit(1 << 30)).withColumn("segment_id", F.lit(None).cast("string")).withColumn("cluster_id", F.lit(None).cast("int")).withColumn("docno", F.lit(0))
+        if mutable is None and sealed is not None:
+            return sealed.withColumn("source", F.lit(hybrid.SEALED))
+        m = self._no_tail() if mutable is None else mutable
+        m = m.withColumn("source", F.lit(hybrid.MUTABLE)).withColumn("segment_pos", F.lit(1 << 30)).withColumn("segment_id", F.lit(None).cast("string")).withColumn("cluster_id", F.lit(None).cast("int")).withColumn("docno", F.lit(0))
         m = m.withColumn("__e", F.when(F.col("embedding").isNotNull(), q.encode(F.col("embedding")))).withColumn("codes", F.col("__e.codes")).withColumn("scale", F.col("__e.scale")).drop("__e")
         return m if sealed is None else m.unionByName(sealed.withColumn("source", F.lit(hybrid.SEALED)))
 
     def visible(self, shard_id: str | None = None, filters: dict | None = None, states: dict[str, ShardState] | None = None) -> DataFrame:
-        """Live rows: the newest version of each id over the tail and all segments, then the filter."""
-        mutable, sealed = self._rows(states or self._snapshot(shard_id))
-        rows = VIS.visible(self._tagged(mutable, sealed), VIS.KEY, [F.col("write_epoch").desc(), F.col("segment_pos").desc()])
-        return FL.apply_filter(rows, filters, lambda k: F.col(f"metadata.{k}"))
+        """Live rows: the newest version of each id over the tail and all segments, then the filter.
+
+        Which rows are hidden is found on keys and epochs alone; vectors are not
+        shuffled for it. A shard with one segment and no tail has no older versions.
+        """
+        states = states or self._snapshot(shard_id)
+        mutable, sealed = self._rows(states)
+        rows = self._tagged(mutable, sealed)
+        if mutable is None and all(len(s.active) <= 1 for s in states.values()):
+            seen = VIS.live(rows)
+        else:
+            place = ["write_epoch", "segment_pos"]
+            gone = VIS.hidden(rows.select(*VIS.KEY, *place, "is_deleted"), place, VIS.KEY, [F.col("write_epoch").desc(), F.col("segment_pos").desc()])
+            seen = rows.join(gone, [*VIS.KEY, *place], "left_anti")
+        return FL.apply_filter(seen, filters, lambda k: F.col(f"metadata.{k}"))
 
     # ---- searching --------------------------------------------------------------
 
@@ -165,39 +185,33 @@ class Engine:
         if mode not in (EXACT, EXACTISH, COMPRESSED, RERANKED):
             raise ValueError(f"unknown mode {mode!r}")
         states = self._snapshot(shard_id)
-        if visibility == COMPAT:
-            rows = None
-            mutable, sealed = self._rows(states)
-            m = FL.apply_filter(VIS.live(mutable), filters, lambda k: F.col(f"metadata.{k}"))
-            s = None if sealed is None else FL.apply_filter(VIS.live(VIS.masked(sealed, mutable)), filters, lambda k: F.col(f"metadata.{k}"))
-            parts = [self._tagged(FL.restrict(m, candidates), None), None if s is None else FL.restrict(s, candidates)]
-        else:
-            rows = FL.restrict(self.visible(shard_id, filters, states), candidates)
-        if search_budget is not None:
-            cut = lambda r: _both(r.where("source = 'mutable'"), K.first_rows(r.where("source = 'sealed'"), search_budget, ["shard_id", "segment_id"], ["docno"]))
-            rows = cut(rows) if rows is not None else None
-            if rows is None and parts[1] is not None:
-                parts[1] = K.first_rows(parts[1], search_budget, ["shard_id", "segment_id"], ["docno"])
+        metric, meta = self.collection.metric, lambda k: F.col(f"metadata.{k}")
+        # An id is one within its shard, so hits are known by both all the way.
+        keyed = lambda r: r.withColumn(KEY, F.struct("vector_id", "shard_id"))
+        budget = lambda r: r if search_budget is None else r.where("source = 'mutable'").unionByName(K.first_rows(r.where("source = 'sealed'"), search_budget, ["shard_id", "segment_id"], ["docno"]))
         limit = hybrid.candidate_budget(top_k, candidate_k) if mode == RERANKED else top_k
         wide = (self.options.rerank_probe_k or 2 * probe_k) if mode == RERANKED and probe_k else probe_k
         score = lambda r: self._scored(r, queries, limit, mode, states, wide)
-        if rows is not None:
-            found = score(rows)
-            source = rows.select("vector_id", "source", "metadata", "embedding", "shard_id")
-        else:
-            source = parts[0].select("vector_id", "source", "metadata", "embedding", "shard_id")
-            if parts[1] is None:
-                found = score(parts[0])
+        columns = [KEY, "source", "metadata", "embedding"]
+        if visibility == COMPAT:
+            mutable, sealed = self._rows(states)
+            tail = self._no_tail() if mutable is None else mutable
+            m = keyed(self._tagged(FL.restrict(FL.apply_filter(VIS.live(tail), filters, meta), candidates), None))
+            source = m.select(*columns)
+            if sealed is None:
+                found = score(m)
             else:
-                s = parts[1].withColumn("source", F.lit(hybrid.SEALED))
-                found = hybrid.merge_compat(score(parts[0]), score(s), limit, ["qid"])
-                last = hybrid.sealed_map(s).join(parts[0].select("vector_id"), "vector_id", "left_anti")
-                source = source.unionByName(last.select("vector_id", "source", "metadata", "embedding", "shard_id"))
+                s = VIS.live(sealed if mutable is None else VIS.masked(sealed, mutable))
+                s = budget(keyed(FL.restrict(FL.apply_filter(s, filters, meta), candidates).withColumn("source", F.lit(hybrid.SEALED))))
+                found = hybrid.merge_compat(score(m), score(s), limit, ["qid"], KEY)
+                source = source.unionByName(hybrid.sealed_map(s, KEY).join(m.select(KEY), KEY, "left_anti").select(*columns))
+        else:
+            rows = budget(keyed(FL.restrict(self.visible(shard_id, filters, states), candidates)))
+            found, source = score(rows), rows.select(*columns)
         if mode == RERANKED:
-            found = hybrid.rerank(found, source, queries, top_k)
-        by_id = source.select("vector_id", "source", "metadata", "shard_id")
-        hits = found.select("qid", "vector_id", "score").join(by_id, "vector_id")
-        return K.top_k_scored(hits, top_k, ["qid"]).select("qid", "rank", "vector_id", "score", "source", "shard_id", "metadata")
+            found = hybrid.rerank(found, source, queries, top_k, metric=metric, key=KEY)
+        hits = found.select("qid", KEY, "score").join(source.select(KEY, "source", "metadata"), KEY)
+        return K.top_k_scored(hits, top_k, ["qid"], KEY).select("qid", "rank", f"{KEY}.vector_id", "score", "source", f"{KEY}.shard_id", "metadata")
 
     def _scored(self, rows: DataFrame, queries: DataFrame, k: int, mode: str, states: dict[str, ShardState], probe_k: int | None) -> DataFrame:
         q = self.quantizer
@@ -205,25 +219,21 @@ class Engine:
         metric = self.collection.metric
         if mode in (EXACT, EXACTISH):
             vector = F.col("embedding") if mode == EXACT else F.when(F.col("source") == hybrid.MUTABLE, F.col("embedding")).otherwise(q.restored(coded))
-            return K.top_k_batch(rows, queries, k, vector, metric=metric)
-        asked = queries.select("qid", q.prepare(F.col("query")).alias("query"))
-        rows = rows.withColumn("__v", q.decode(coded))
-        centroids = None
-        if probe_k:
-            for shard, state in states.items():
-                one = self.store.centroids(state, shard)
-                if one is not None:
-                    one = one.withColumn("shard_id", F.lit(shard))
-                    centroids = one if centroids is None else centroids.unionByName(one)
-        if centroids is None:
-            return K.top_k_batch(rows, asked, k, F.col("__v"), metric=metric)
-        clustered = centroids.select("shard_id", "segment_id").distinct()
-        near = ivf.probes(asked, centroids, probe_k, ["shard_id", "segment_id"])
-        probed = ivf.probed_rows(rows, near, ["shard_id", "segment_id"]).join(asked, "qid")
-        probed = probed.select("qid", "vector_id", K.METRICS[metric](F.col("__v"), F.col("query")).alias("score"))
-        rest = rows.join(F.broadcast(clustered), ["shard_id", "segment_id"], "left_anti")
-        plain = K.top_k_batch(rest, asked, k, F.col("__v"), metric=metric).select("qid", "vector_id", "score")
-        return K.top_k_scored(probed.unionByName(plain), k, ["qid"])
+            return K.top_k_batch(rows, queries, k, vector, KEY, metric)
+        asked = queries.select("qid", q.prepare(F.col("query")).cast("array<double>").alias("query"))
+        vector, centroids = q.decode(coded), None
+        for shard, state in states.items() if probe_k else ():
+            one = self.store.centroids(state, shard)
+            if one is not None:
+                one = one.withColumn("shard_id", F.lit(shard))
+                centroids = one if centroids is None else centroids.unionByName(one)
+        if centroids is None or k < 1:
+            return K.top_k_batch(rows, asked, k, vector, KEY, metric)
+        found = None
+        for block in K.query_blocks(asked):
+            one = ivf.top_k_probed(rows, block, centroids, probe_k, k, ["shard_id", "segment_id"], vector, KEY, metric)
+            found = one if found is None else found.unionByName(one)
+        return K.top_k_scored(found, k, ["qid"], KEY)
 
     def explain_query(self, queries: DataFrame, **how) -> DataFrame:
         """One row a query: hits by source, and the plan as JSON."""
@@ -360,6 +370,7 @@ class Engine:
 
     def stats(self) -> dict[str, Any]:
         mutable, _ = self._rows(self._snapshot(None))
+        mutable = self._no_tail() if mutable is None else mutable
         row = lifecycle.collection_stats(self.store.manifests(), mutable).first().asDict()
         return row | {"storage_bytes": self.storage.size(self.storage.root)}
 
@@ -368,7 +379,3 @@ class Engine:
 
     def log_snapshot(self) -> DataFrame:
         return audit.log_snapshot(self.log.replay())
-
-
-def _both(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b)

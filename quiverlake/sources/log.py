@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ def numbered(df: DataFrame, order: list[str], base: int, out: str = "write_epoch
     """Adds base + 1, base + 2, ... in the given order. Returns the rows, their number, and what to unpersist when done.
 
     Sorted by ranges; only the row count of each partition comes to the driver.
+    Ties are settled by a hash of the whole row, so that a partition that is
+    lost and made again has its rows in the same places.
     """
-    ranged = df.repartitionByRange(*order) if order else df
-    tagged = ranged.sortWithinPartitions(*order) if order else ranged
+    total = [*order, F.xxhash64(*df.columns)]
+    tagged = df.repartitionByRange(*total).sortWithinPartitions(*total)
     tagged = tagged.withColumn("__mid", F.monotonically_increasing_id()).persist()
     part, within = F.shiftrightunsigned("__mid", 33), F.col("__mid").bitwiseAND((1 << 33) - 1)
     counts = sorted((r[0], r[1]) for r in tagged.groupBy(part.alias("p")).count().collect())
@@ -44,11 +48,15 @@ class WriteLog:
             if not name.startswith("shard=") or (shard_id is not None and name != f"shard={shard_id}"):
                 continue
             for batch in self.storage.names(f"{self.folder}/{name}"):
-                if batch.startswith("batch-") and self.storage.exists(f"{self.folder}/{name}/{batch}/_SUCCESS"):
+                if batch.startswith("batch-"):
                     low, high = batch.split("-")[1:3]
                     out.append((name.removeprefix("shard="), int(low), int(high), f"{self.folder}/{name}/{batch}"))
         return out
 
+    def has(self, after: int, shard_id: str) -> bool:
+        """Whether a shard has a batch with a later epoch."""
+        return any(high > after for _, _, high, _ in self._batches(shard_id))
+
     def shards(self) -> list[str]:
         return sorted({b[0] for b in self._batches()})
 
@@ -56,12 +64,18 @@ class WriteLog:
         return max((b[2] for b in self._batches()), default=0)
 
     def append(self, rows: DataFrame) -> None:
-        """Writes rows that have their epochs; one batch folder a shard. A batch counts once it is complete."""
+        """Writes rows that have their epochs; one batch folder a shard, which is there as a whole or not at all."""
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).persist()
         try:
-            for r in rows.groupBy("shard_id").agg(F.min("write_epoch").alias("a"), F.max("write_epoch").alias("b")).collect():
-                out = f"{self.folder}/shard={r['shard_id']}/batch-{r['a']:020d}-{r['b']:020d}"
-                rows.where(F.col("shard_id") == r["shard_id"]).write.mode("overwrite").parquet(out)
+            spans = {r["shard_id"]: (r["a"], r["b"]) for r in rows.groupBy("shard_id").agg(F.min("write_epoch").alias("a"), F.max("write_epoch").alias("b")).collect()}
+            if not spans:
+                return
+            # One job for all shards, in a folder that no reader looks at; a shard's part then moves to its place as a whole.
+            draft = f"{self.folder}/.draft-{min(a for a, _ in spans.values()):020d}-{uuid.uuid4().hex}"
+            rows.withColumn("__shard", F.col("shard_id")).write.partitionBy("__shard").parquet(draft)
+            for shard, (a, b) in sorted(spans.items(), key=lambda s: s[1]):
+                self.storage.move(f"{draft}/{self.storage.partition_name('__shard', shard)}", f"{self.folder}/shard={shard}/batch-{a:020d}-{b:020d}")
+            self.storage.remove(draft)
         finally:
             rows.unpersist()
 
@@ -83,7 +97,9 @@ class WriteLog:
                 rest = rows.where(F.col("write_epoch") > upto)
                 first = rest.agg(F.min("write_epoch")).first()[0]
                 gone += rows.where(F.col("write_epoch") <= upto).count()
-                rest.write.mode("overwrite").parquet(f"{self.folder}/shard={shard_id}/batch-{first:020d}-{high:020d}")
+                draft = f"{self.folder}/.draft-{uuid.uuid4().hex}"
+                rest.write.parquet(draft)
+                self.storage.move(draft, f"{self.folder}/shard={shard_id}/batch-{first:020d}-{high:020d}")
             else:
                 gone += rows.count()
             self.storage.remove(path)

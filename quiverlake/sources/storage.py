@@ -42,27 +42,46 @@ class Storage:
         fs, p = self._at(path)
         return fs.exists(p) and fs.delete(p, True)
 
+    def move(self, source: str, target: str) -> None:
+        """Renames a folder to a name that is not there yet."""
+        fs, a = self._at(source)
+        _, b = self._at(target)
+        fs.mkdirs(b.getParent())
+        if fs.exists(b) or not fs.rename(a, b):
+            raise RuntimeError(f"cannot move {source} to {target}")
+
+    def partition_name(self, column: str, value: str) -> str:
+        """The folder that ``partitionBy`` gives a value."""
+        return self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(column, value)
+
     def read_json(self, path: str) -> Any:
         fs, p = self._at(path)
         stream = fs.open(p)
         try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
 
     def create_json(self, path: str, value: Any) -> bool:
-        """Writes a file that must not exist yet: to a name of its own, then renamed. False if another writer was first."""
+        """Creates a file that must not exist yet. False if another writer was first.
+
+        The file system's exclusive create is the arbiter, with no check before
+        it. Readers take a file that is not whole yet for one that is not there.
+        """
         fs, p = self._at(path)
-        if fs.exists(p):
-            return False
         fs.mkdirs(p.getParent())
-        draft = self._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".draft-{self._jvm.java.util.UUID.randomUUID().toString()}")
-        stream = fs.create(draft, False)
+        try:
+            stream = fs.create(p, False)
+        except Exception as e:  # py4j wraps what Java throws
+            if fs.exists(p):
+                return False
+            raise e
         try:
             stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         finally:
             stream.close()
-        if fs.rename(draft, p):
-            return True
-        fs.delete(draft, False)
-        return False
+        return True
