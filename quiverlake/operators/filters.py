@@ -96,3 +96,28 @@ def postings(df: DataFrame, keys: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])
     long = df.select(F.explode(pairs).alias("p")).select("p.key", "p.value").where("value is not null")
     return long.groupBy("key", "value").agg(F.count("*").alias("n"))
+
+
+def posting_rows(df: DataFrame, keys: list[str], id_col: str = "vector_id") -> DataFrame:
+    """(key, value, id): the posting lists as rows, so that a value with most of the ids is no single row. Null values have none."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])
+    return df.select(F.col(id_col).alias("id"), F.explode(pairs).alias("p")).select("p.key", "p.value", "id").where("value is not null").distinct()
+
+
+def save_postings(df: DataFrame, keys: list[str], path: str, id_col: str = "vector_id") -> None:
+    """A filter index on storage: one folder a key, sorted by value so that a look-up skips row groups."""
+    posting_rows(df, keys, id_col).repartition("key", "value").sortWithinPartitions("key", "value").write.partitionBy("key").parquet(path)
+
+
+def lookup(index: DataFrame, filters: Mapping[str, Any]) -> DataFrame:
+    """The ids that a filter of ``eq`` and ``in`` conditions on non-null values selects, from posting rows alone."""
+    found = None
+    for key, op, value in conditions(filters):
+        if op not in ("eq", "in"):
+            raise ValueError(f"postings do not answer {op!r}")
+        values = [str(v) for v in (value if op == "in" else [value])]
+        one = index.where((F.col("key") == key) & F.col("value").isin(values)).select("id").distinct()
+        found = one if found is None else found.join(one, "id", "left_semi")
+    if found is None:
+        raise ValueError("an empty filter has no postings")
+    return found

@@ -22,6 +22,27 @@ def newest_columns(rows: DataFrame, columns: list[str], key: list[str] | None =
     return rows.groupBy(*key).agg(last.alias("__r"), F.max("write_epoch").alias("write_epoch")).select(*key, "write_epoch", *[F.col(f"__r.{c}").alias(c) for c in columns])
 
 
+def buffered(log: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """The write buffer that a log leaves: of each key the newest write, the time of its first, and metadata that a deletion keeps.
+
+    An aggregate with map-side combining; ``log`` as in ``schema.log_schema``.
+    """
+    last = F.max_by(F.struct("embedding", "operation", "ts"), F.col("write_epoch"))
+    kept = F.max_by(F.struct("metadata"), F.when(F.col("operation") == "upsert", F.col("write_epoch")))
+    state = log.groupBy(*(key or KEY)).agg(F.max("write_epoch").alias("write_epoch"), F.min_by("ts", "write_epoch").alias("created_at"), last.alias("l"), kept.alias("m"))
+    deleted = F.col("l.operation") == "delete"
+    return state.select(
+        *(key or KEY), "write_epoch", "created_at", F.col("l.ts").alias("updated_at"), deleted.alias("is_deleted"), F.when(~deleted, F.col("l.embedding")).alias("embedding"), F.col("m.metadata").alias("metadata")
+    )
+
+
+def removed(rows: DataFrame, keys: DataFrame, key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows without those keys, the rows that go); keys that are not there do not matter."""
+    key = key or KEY
+    gone = keys.select(*key).distinct()
+    return rows.join(gone, key, "left_anti"), rows.join(gone, key, "left_semi")
+
+
 def live(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("is_deleted"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 from typing import Any
@@ -48,6 +49,32 @@ class QueryPlan:
     versions: dict[str, int]
 
 
+@dataclass(frozen=True)
+class Inspection:
+    """What ``Engine.inspect`` saw. Times are in milliseconds, of whole jobs over all queries."""
+
+    plan: QueryPlan
+    filters_applied: bool
+    mutable_live_count: int
+    active_segments: dict[str, list[str]]
+    result_count: int
+    mutable_hit_count: int
+    sealed_hit_count: int
+    pre_filter_candidate_count: int
+    post_filter_candidate_count: int
+    candidate_generation_count: int
+    plan_ms: float
+    search_ms: float
+    rerank_ms: float
+    total_ms: float
+
+    def payload(self, notes: dict[str, str] | None = None) -> dict[str, Any]:
+        """For export as JSON: the counts, the plan, and notes if there are any."""
+        out = asdict(self)
+        plan = out.pop("plan")
+        return {"inspection": out | {"mode": f"{self.plan.mode}-engine", "top_k": self.plan.top_k, "rerank_candidate_k": self.plan.candidate_k}, "plan": plan} | ({"notes": dict(notes)} if notes else {})
+
+
 class Engine:
     """One collection below a root folder. All state is on storage: a new engine on the same root goes on where the last one was."""
 
@@ -59,6 +86,7 @@ class Engine:
         self.log = WriteLog(self.storage, self.storage.path("log"), self.metadata_type, self.id_type)
         self.store = SegmentStore(self.storage, self.storage.path("shards"), self.options.cached_segments)
         self.quantizer = quantizer(collection.quantizer)
+        self.last_trace: Inspection | None = None
 
     # ---- writing ----------------------------------------------------------------
 
@@ -115,6 +143,10 @@ class Engine:
         usable = log.where((F.col("operation") == "delete") | F.col("embedding").isNotNull())
         return VIS.newest(usable).select("shard_id", "vector_id", "embedding", "metadata", "write_epoch", (F.col("operation") == "delete").alias("is_deleted"))
 
+    def buffer(self, shard_id: str) -> DataFrame:
+        """The tail with the times of an id's first and last write, and with the metadata that a deletion keeps."""
+        return VIS.buffered(self.log.replay(self.store.load(shard_id).replay_from, shard_id))
+
     def sealed(self, shard_id: str, state: ShardState | None = None) -> DataFrame | None:
         return self.store.read(state or self.store.load(shard_id), shard_id, self.metadata_type, self.id_type)
 
@@ -245,6 +277,28 @@ class Engine:
         counted = queries.select("qid").join(sources, "qid", "left").fillna(0, ["mutable_hits", "sealed_hits"])
         return counted.withColumn("plan", F.lit(json.dumps(asdict(plan), sort_keys=True)))
 
+    def inspect(self, queries: DataFrame, top_k: int = 10, mode: str = EXACT, filters: dict | None = None, shard_id: str | None = None, candidate_k: int | None = None, **how) -> tuple[list, Inspection]:
+        """The hits of a search as rows, and how it came to them: plan, rows before and after the filter, hits by side, times of the stages."""
+        began = time.perf_counter()
+        states = self._snapshot(shard_id)
+        plan = self.plan(top_k, mode, filters, candidate_k, how.get("probe_k"), how.get("visibility", LATEST), shard_id)
+        rows = self.visible(shard_id, None, states)
+        side = lambda s: F.count_if(F.col("source") == s)
+        seen = rows.agg(side(hybrid.MUTABLE).alias("mutable"), side(hybrid.SEALED).alias("sealed"), F.count_if(FL.predicate(filters, lambda k: F.col(f"metadata.{k}"))).alias("after")).first()
+        planned = time.perf_counter()
+        stage = dict(shard_id=shard_id, filters=filters, **how)
+        n = len(self.search(queries, plan.candidate_k or top_k, COMPRESSED if mode == RERANKED else mode, **stage).select("qid").collect())
+        searched = time.perf_counter()
+        hits = self.search(queries, top_k, mode, candidate_k=candidate_k, **stage).orderBy("qid", "rank").collect()
+        ended = time.perf_counter()
+        of = lambda s: sum(h["source"] == s for h in hits)
+        ms = lambda a, b: round(1000 * (b - a), 3)
+        self.last_trace = Inspection(
+            plan, bool(filters), seen["mutable"], {s: list(st.active) for s, st in states.items()}, len(hits), of(hybrid.MUTABLE), of(hybrid.SEALED), seen["mutable"] + seen["sealed"], seen["after"],
+            n, ms(began, planned), ms(planned, searched), ms(searched, ended) if mode == RERANKED else 0.0, ms(began, ended),
+        )
+        return hits, self.last_trace
+
     # ---- lifecycle --------------------------------------------------------------
 
     def _now(self) -> str:

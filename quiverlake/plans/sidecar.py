@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverlake.functions import text as X
-from quiverlake.operators import hybrid
-from quiverlake.operators import visibility as VIS
+from quiverlake.operators import hybrid, lifecycle
 from quiverlake.plans.engine import RERANKED, Engine, EngineOptions
 from quiverlake.schema import DEFAULT_SHARD, Collection
 
 KNOWN_OPERATIONS = ("upsert", "repair", "backfill", "delete", "unpublish")
+COMPACTION = lifecycle.CompactionLimits(min_segment_count=2, max_total_rows=1000)
 METADATA = {"region": "keyword", "status": "keyword", "source_table": "keyword"}
 
 
@@ -52,6 +52,23 @@ class Sidecar:
         )
         return self.engine.append(writes, ["vector_id"])
 
+    def write_source(self, documents: DataFrame) -> None:
+        """Writes host documents only."""
+        self.host.upsert(documents)
+
+    def write(self, documents: DataFrame) -> int:
+        """Writes host documents and syncs them."""
+        self.host.upsert(documents)
+        return self.sync(documents.select("document_id"))
+
+    def unpublish(self, ids: DataFrame) -> int:
+        self.host.set_status(ids, "unpublished")
+        return self.sync(ids)
+
+    def delete(self, ids: DataFrame) -> int:
+        self.host.delete(ids)
+        return self.sync(ids)
+
     def repair(self, ids: DataFrame | None = None) -> int:
         return self.sync(self.known() if ids is None else ids)
 
@@ -62,7 +79,9 @@ class Sidecar:
         """Ids of the host and of the index, tombstoned ones too."""
         states = self.engine._snapshot(None)
         mutable, sealed = self.engine._rows(states)
-        rows = mutable.select("vector_id") if sealed is None else mutable.select("vector_id").union(sealed.select("vector_id"))
+        rows = self.spark.createDataFrame([], "vector_id string")
+        for side in (mutable, sealed):
+            rows = rows if side is None else rows.union(side.select("vector_id"))
         return known_ids(self.host.documents(), rows)
 
     def flush(self) -> list[str]:
@@ -70,8 +89,8 @@ class Sidecar:
         done = [self.engine.flush(s, truncate_log=True) for s in self.engine.shards()]
         return [m["segment_id"] for m in done if m]
 
-    def compact(self) -> list[str]:
-        done = [self.engine.compact(s) for s in self.engine.shards()]
+    def compact(self, limits: lifecycle.CompactionLimits = COMPACTION) -> list[str]:
+        done = [self.engine.compact(s, limits=limits) for s in self.engine.shards()]
         return [m["segment_id"] for m in done if m]
 
     # ---- searching ---------------------------------------------------------------
@@ -84,11 +103,32 @@ class Sidecar:
 
     def search(self, queries: DataFrame, top_k: int = 3, region: str | None = None) -> DataFrame:
         """Candidates with the host's documents; what the host has not published is left out."""
-        hits = self.candidates(queries, top_k, region).withColumn("document_id", X.document_id_of(F.col("vector_id")))
-        return hybrid.hydrate(hits.select("qid", "rank", "document_id", "score"), self.host.documents())
+        return self.hydrate(self.candidates(queries, top_k, region))
+
+    def hydrate(self, hits: DataFrame) -> DataFrame:
+        """Hits with the published documents they stand for."""
+        named = hits.withColumn("document_id", X.document_id_of(F.col("vector_id")))
+        return hybrid.hydrate(named.select("qid", "rank", "document_id", "score"), self.host.documents())
 
     def drift(self) -> DataFrame:
         """Ids whose index state is not what the host says: (document_id, should, is)."""
-        live = indexed_ids(VIS.live(self.engine.visible())).withColumn("is", F.lit("indexed"))
+        live = indexed_ids(self.engine.visible()).withColumn("is", F.lit("indexed"))
         want = sync_actions(self.known(), self.host.documents()).select("document_id", F.when(F.col("operation") == "upsert", "indexed").otherwise("absent").alias("should"))
         return want.join(live, "document_id", "left").withColumn("is", F.coalesce("is", F.lit("absent"))).where("should <> `is`")
+
+
+#: Three documents to try things out with.
+DEMO = (
+    ("1", "Choosing a database", "When sql in postgres is enough, and when it is not.", "us"),
+    ("2", "Testing a script", "A short python script, and pytest around it.", "us"),
+    ("3", "Songs for the road", "One playlist with music for a long drive.", "ca"),
+)
+
+
+def demo(spark: SparkSession, root: str) -> Sidecar:
+    """A sidecar over a host with the demo documents, synced."""
+    from quiverlake.sources.host import ParquetHost
+
+    side = Sidecar(spark, f"{root}/index", ParquetHost(spark, f"{root}/host"), options=EngineOptions(ivf_auto_threshold=None))
+    side.write(spark.createDataFrame(list(DEMO), "document_id string, title string, body string, region string"))
+    return side

@@ -23,6 +23,43 @@ def _grid(spark: SparkSession, n: int, components: list[Column], metadata: dict[
     )
 
 
+# The two smallest datasets, as (items, queries).
+TINY = (
+    [("a", [1.0, 0.0], ("us", "gold")), ("b", [0.0, 1.0], ("ca", "silver")), ("c", [0.8, 0.2], ("us", "platinum")), ("d", [0.2, 0.8], ("ca", "gold"))],
+    [[0.9, 0.1], [0.1, 0.9], [0.75, 0.25]],
+)
+FILTER = (
+    [("p1", [1.0, 0.0], ("payments", 3)), ("p2", [0.9, 0.1], ("payments", 1)), ("r1", [0.0, 1.0], ("risk", 3)), ("r2", [0.1, 0.9], ("risk", 1))],
+    [[0.95, 0.05], [0.05, 0.95]],
+)
+
+
+def _given(spark: SparkSession, data: tuple, metadata: str) -> tuple[DataFrame, DataFrame]:
+    items, queries = data
+    return spark.createDataFrame(items, f"vector_id string, embedding array<float>, metadata struct<{metadata}>"), spark.createDataFrame(list(enumerate(queries)), "qid int, query array<double>")
+
+
+def tiny(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return _given(spark, TINY, "region:string, tier:string")
+
+
+def filtered(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return _given(spark, FILTER, "product:string, priority:int")
+
+
+def xlarge(spark: SparkSession, n: int = 512) -> DataFrame:
+    """The lattice with 32 points a side and three families."""
+    i = F.col("id")
+    family = F.element_at(F.array(*[F.lit(x) for x in ("alpha", "beta", "gamma")]), F.pmod(i, F.lit(3)).cast("int") + 1)
+    rows = _grid(spark, n, [F.pmod(i, F.lit(32)) / 31, F.pmod(11 * i, F.lit(32)) / 31], {"bucket": F.pmod(i, F.lit(8)).cast("int"), "family": family})
+    return rows.withColumn("vector_id", F.concat(F.lit("doc-"), F.substring("vector_id", 2, 20)))
+
+
+def scale(spark: SparkSession, n: int, dim: int = 128, clusters: int = 20, seed: int = 42) -> DataFrame:
+    """``gaussian`` at any size, made on the executors, in batches of a thousand."""
+    return gaussian(spark, n, dim, clusters, seed=seed).withColumn("metadata", F.struct("metadata.cluster", F.floor(F.substring("vector_id", 2, 20).cast("long") / 1000).cast("int").alias("batch")))
+
+
 def lattice(spark: SparkSession, n: int = 256, side: int = 16, stride: int = 7, buckets: int = 4) -> DataFrame:
     """Points (i mod side, stride * i mod side) over side - 1: few distinct vectors, many ties."""
     i = F.col("id")

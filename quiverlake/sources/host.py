@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,18 @@ class ParquetHost:
         gone = ids.select(F.col("document_id").cast("string").alias("document_id")).distinct()
         self._write(gone.select("document_id", *[F.lit(None).cast("string").alias(c) for c in DOCUMENT.names[1:]]), True)
 
+    def get(self, ids: DataFrame) -> DataFrame:
+        return self.documents().join(ids.select("document_id").distinct(), "document_id", "left_semi")
+
+    def listed(self) -> DataFrame:
+        """All ids in order."""
+        return self.documents().select("document_id").orderBy("document_id")
+
+    def truncate(self) -> None:
+        """Removes all documents and their versions."""
+        for n in self.storage.names(self.path):
+            self.storage.remove(f"{self.path}/{n}")
+
     def documents(self, include_unpublished: bool = True) -> DataFrame:
         columns = F.struct(*DOCUMENT.names, "removed")
         last = self._versions().groupBy("document_id").agg(F.max_by(columns, F.col("version")).alias("d")).select("d.*").where("not removed").drop("removed")
@@ -64,8 +77,71 @@ class JdbcHost:
         return f"insert into {self.table} ({', '.join(DOCUMENT.names)}) values (?, ?, ?, ?, ?) on conflict (document_id) do update set {changed}"
 
     def documents(self, include_unpublished: bool = True) -> DataFrame:
-        got = self.spark.read.jdbc(self.url, self.table, properties=self.properties).select(*DOCUMENT.names)
+        got = self.spark.read.jdbc(self.url, self.table, properties=self.properties).select(*[F.col(c).alias(c) for c in DOCUMENT.names])
         return got if include_unpublished else got.where("status = 'published'")
 
-    def append(self, documents: DataFrame) -> None:
-        documents.select(*DOCUMENT.names).write.jdbc(self.url, self.table, mode="append", properties=self.properties)
+    # ---- writing: executors fill a table of their own, and one transaction on the driver takes it over ----
+
+    def _run(self, *statements: tuple[str, ...]) -> int:
+        """Statements in one transaction, each with its string parameters; returns the rows that the last one changed."""
+        jvm = self.spark._jvm
+        known = jvm.java.util.Properties()
+        for k, v in self.properties.items():
+            known.setProperty(k, v)
+        c = jvm.java.sql.DriverManager.getConnection(self.url, known)
+        try:
+            c.setAutoCommit(False)
+            n = 0
+            for sql, *values in statements:
+                s = c.prepareStatement(sql)
+                for k, v in enumerate(values, 1):
+                    s.setString(k, v)
+                n = s.executeUpdate()
+                s.close()
+            c.commit()
+            return n
+        except Exception:
+            c.rollback()
+            raise
+        finally:
+            c.close()
+
+    def _create(self, rows: DataFrame, name: str, mode: str) -> None:
+        short = ", ".join(f"{c} VARCHAR(256)" for c in rows.columns if c in ("document_id", "region", "status"))
+        rows.write.option("createTableColumnTypes", short).jdbc(self.url, name, mode=mode, properties=self.properties)
+
+    def _staged(self, rows: DataFrame, *statements: str) -> int:
+        stage = f"{self.table}_stage_{uuid.uuid4().hex[:12]}"
+        self._create(rows, stage, "error")
+        try:
+            return self._run(*[(s.format(t=self.table, s=stage, all=", ".join(f'"{c}"' for c in DOCUMENT.names)),) for s in statements])
+        finally:
+            self._run((f"drop table {stage}",))
+
+    def ensure_table(self) -> None:
+        """Creates the table if it is not there, with the database's own type for long text."""
+        self._create(self.spark.createDataFrame([], DOCUMENT), self.table, "ignore")
+
+    def upsert(self, documents: DataFrame) -> int:
+        """New documents are inserted and known ones replaced; of several rows with an id one counts."""
+        full = documents.withColumn("status", F.coalesce("status", F.lit("published"))) if "status" in documents.columns else documents.withColumn("status", F.lit("published"))
+        rows = full.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DOCUMENT]).dropDuplicates(["document_id"])
+        return self._staged(rows, 'delete from {t} where "document_id" in (select "document_id" from {s})', "insert into {t} ({all}) select {all} from {s}")
+
+    def set_status(self, ids: DataFrame, status: str) -> int:
+        if not re.fullmatch(r"[a-z_]+", status):
+            raise ValueError(f"not a status: {status!r}")
+        return self._staged(ids.select(F.col("document_id").cast("string").alias("document_id")).distinct(), f"update {{t}} set \"status\" = '{status}' where \"document_id\" in (select \"document_id\" from {{s}})")
+
+    def delete(self, ids: DataFrame) -> int:
+        return self._staged(ids.select(F.col("document_id").cast("string").alias("document_id")).distinct(), 'delete from {t} where "document_id" in (select "document_id" from {s})')
+
+    def get(self, document_id: str) -> DataFrame:
+        """One document; the condition goes to the database."""
+        return self.documents().where(F.col("document_id") == document_id)
+
+    def listed(self) -> DataFrame:
+        return self.documents().select("document_id").orderBy("document_id")
+
+    def truncate(self) -> int:
+        return self._run((f"delete from {self.table}",))

@@ -178,6 +178,12 @@ class SegmentStore:
                 raise
             return None
 
+    def footprint(self, shard_id: str) -> list[dict[str, Any]]:
+        """Files and bytes of each active segment, as a full read would open them, and the vectors it would decode."""
+        state = self.load(shard_id)
+        sizes = ((s, *self.storage.count(self.path(shard_id, s))) for s in state.active)
+        return [{"segment_id": s, "files": files, "bytes": size, "vectors": state.segments[s]["live_row_count"]} for s, files, size in sizes]
+
     def remove(self, shard_id: str, segment_id: str) -> bool:
         self.cache.invalidate(self.path(shard_id, segment_id) + "/")
         return self.storage.remove(self.path(shard_id, segment_id))

@@ -38,6 +38,14 @@ class Storage:
         fs, p = self._at(path)
         return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
+    def count(self, path: str) -> tuple[int, int]:
+        """Files and bytes below a folder."""
+        fs, p = self._at(path)
+        if not fs.exists(p):
+            return 0, 0
+        got = fs.getContentSummary(p)
+        return got.getFileCount(), got.getLength()
+
     def remove(self, path: str) -> bool:
         fs, p = self._at(path)
         return fs.exists(p) and fs.delete(p, True)

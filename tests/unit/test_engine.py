@@ -1,11 +1,13 @@
 """The engine against a model that is a dictionary, and the cases that define its contract."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quiverlake.operators import lifecycle as L
+from quiverlake.operators import visibility as VIS
 from quiverlake.plans.engine import COMPAT, COMPRESSED, EXACT, EXACTISH, RERANKED, Engine, EngineOptions
 from quiverlake.schema import Collection
 
@@ -129,6 +131,83 @@ def test_shards_are_apart(spark, make):
     assert ids(engine, spark, [1, 0]) == ["a"]
 
 
+@pytest.mark.parametrize("metric", ["dot_product", "cosine", "l2"])
+def test_one_id_in_several_shards(spark, tmp_path, metric):
+    """All modes and both visibilities against a dictionary, with the same ids in three shards."""
+    rng = random.Random(14)
+    engine = Engine(spark, str(tmp_path), Collection("c", 3, {"n": "int"}, metric), EngineOptions(ivf_auto_threshold=None, ivf_n_clusters=2))
+    model, sealed = {}, {}
+    for step in range(2):
+        rows = [(k, f"shard-{k % 3}", f"v{k % 4}", [rng.uniform(0.1, 1) * (1 + k) for _ in range(3)]) for k in range(12)]
+        rows = [(*r, {"n": r[0]}) for r in rows if step == 0 or r[0] % 5]
+        if step:
+            rows.append((99, "shard-1", "v1", None, None))
+        engine.append(spark.createDataFrame(rows, "seq int, shard_id string, vector_id string, embedding array<float>, metadata struct<n: long>"), ["seq"])
+        for _, s, v, e, _ in rows:
+            model[s, v] = e
+        if step == 0:
+            for s in engine.shards():
+                engine.flush(s)
+            sealed = dict(model)
+    model = {k: e for k, e in model.items() if e}
+    q = [1.0, 0.3, 0.2]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    measure = {"dot_product": dot, "cosine": lambda a, b: dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5, "l2": lambda a, b: -sum((x - y) ** 2 for x, y in zip(a, b, strict=True))}[metric]
+    want = sorted(((-measure(e, q), v, s) for (s, v), e in model.items()))
+    for mode in (EXACT, EXACTISH, COMPRESSED, RERANKED):
+        for probe in (None, 2):
+            got = [(r["vector_id"], r["shard_id"], r["score"]) for r in engine.search(ask(spark, q), 5, mode, probe_k=probe).orderBy("rank").collect()]
+            assert len({g[:2] for g in got}) == 5
+            if mode in (EXACT, RERANKED):
+                assert [g[:2] for g in got] == [(v, s) for _, v, s in want[:5]]
+                assert [g[2] for g in got] == pytest.approx([-w for w, *_ in want[:5]], abs=1e-5)
+    # Compat: of an id in a shard the better of its sealed and mutable score counts, unless the tail deletes it.
+    best = {k: max(measure(e, q) for e in (model[k], sealed.get(k, model[k]))) for k in model}
+    want = sorted((-x, v, s) for (s, v), x in best.items())
+    got = engine.search(ask(spark, q), 5, EXACT, visibility=COMPAT).orderBy("rank").collect()
+    assert [(r["vector_id"], r["shard_id"]) for r in got] == [(v, s) for _, v, s in want[:5]]
+    assert [r["score"] for r in got] == pytest.approx([-w for w, *_ in want[:5]], abs=1e-5)
+
+
+def test_inspection(spark, make):
+    engine = make()
+    engine.upsert([("a", [1, 0], {"region": "us", "n": 1}), ("b", [0.9, 0], {"region": "ca", "n": 2}), ("c", [0.8, 0], {"region": "us", "n": 3})])
+    engine.flush()
+    engine.upsert([("d", [0.7, 0], {"region": "us", "n": 4})])
+    hits, seen = engine.inspect(ask(spark, [1, 0]), 1, RERANKED, {"region": "us"})
+    assert [h["vector_id"] for h in hits] == ["a"] and engine.last_trace is seen
+    assert (seen.mutable_live_count, seen.pre_filter_candidate_count, seen.post_filter_candidate_count, seen.candidate_generation_count) == (1, 4, 3, 3)
+    assert (seen.mutable_hit_count, seen.sealed_hit_count, seen.result_count) == (0, 1, 1) and seen.total_ms >= seen.rerank_ms > 0
+    out = json.loads(json.dumps(seen.payload({"collection": "c"})))
+    assert out["inspection"]["mode"] == "compressed-reranked-hybrid-engine" and out["inspection"]["rerank_candidate_k"] == 4 and out["notes"] == {"collection": "c"}
+    (foot,) = engine.store.footprint("shard-0")
+    assert foot["vectors"] == 3 and foot["files"] > 0 and foot["bytes"] > 0
+
+
+def test_buffer_keeps_first_time_and_metadata(spark, make):
+    engine = make()
+    engine.upsert([("a", [1, 0], {"region": "us", "n": 1}), ("b", [0, 1], {"region": "ca", "n": 2})])
+    engine.upsert([("a", [0.5, 0], {"region": "eu", "n": 3})])
+    engine.delete(["a", "z"])
+    rows = {r["vector_id"]: r for r in engine.buffer("shard-0").collect()}
+    assert rows["a"]["is_deleted"] and rows["a"]["embedding"] is None and rows["a"]["metadata"]["region"] == "eu" and rows["a"]["created_at"] < rows["a"]["updated_at"]
+    assert rows["z"]["metadata"] is None and not rows["b"]["is_deleted"]
+    kept, gone = VIS.removed(engine.buffer("shard-0"), spark.createDataFrame([("shard-0", "a"), ("shard-0", "none")], "shard_id string, vector_id string"))
+    assert sorted(r["vector_id"] for r in kept.collect()) == ["b", "z"] and [r["vector_id"] for r in gone.collect()] == ["a"]
+
+
+def test_format_version_is_checked(spark, make):
+    engine = make()
+    engine.upsert([("a", [1, 0], None)])
+    engine.flush()
+    state = engine.store.load("shard-0")
+    (segment,) = state.active
+    state.segments[segment]["format_version"] = 99
+    engine.store.publish("shard-0", state)
+    with pytest.raises(ValueError, match="format"):
+        engine.visible()
+
+
 def test_flush_without_rows_and_auto_flush(spark, make):
     assert make().flush() is None
     engine = make(flush_threshold=3)

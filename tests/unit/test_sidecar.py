@@ -2,8 +2,9 @@ import json
 
 import pytest
 
+from quiverlake import settings
 from quiverlake.plans.engine import Engine, EngineOptions
-from quiverlake.plans.sidecar import Sidecar
+from quiverlake.plans.sidecar import Sidecar, demo
 from quiverlake.schema import Collection
 from quiverlake.sources.host import JdbcHost, ParquetHost
 from quiverlake.sources.log import as_json_lines, from_json_lines
@@ -46,20 +47,69 @@ def test_flow(spark, side):
 
 
 def test_outbox_as_a_stream(spark, side, tmp_path):
-    path, check = f"{tmp_path}/outbox", f"{tmp_path}/check"
-    event = lambda *rows: spark.createDataFrame([(*r, None) for r in rows], outbox.EVENT)
-    outbox.enqueue(event((1, "1", "upsert"), (2, "3", "backfill")), path)
-    outbox.start(side, path, check).awaitTermination()
+    box, check = outbox.Outbox(spark, f"{tmp_path}/outbox"), f"{tmp_path}/check"
+    put = lambda *rows: box.enqueue(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "n int, document_id string, operation string"), ["n"])
+    state = lambda: {r["event_id"]: (r["status"], r["attempts"]) for r in box.events().collect()}
+    assert box.pending().count() == 0 and put(("1", "upsert"), ("3", "backfill")) == 2
+    outbox.start(side, box, check).awaitTermination()
     assert sorted(r["vector_id"] for r in side.engine.visible().collect()) == ["document:1", "document:3"]
-    side.host.set_status(_ids(spark, "3"), "unpublished")
-    outbox.enqueue(event((3, "3", "unpublish")), path)
-    outbox.start(side, path, check).awaitTermination()
+    assert state() == {1: ("processed", 1), 2: ("processed", 1)}
+    assert outbox.unpublish_with_event(side, box, _ids(spark, "3")) == 3
+    outbox.start(side, box, check).awaitTermination()
     before = side.engine.last_epoch()
-    outbox.start(side, path, check).awaitTermination()
+    outbox.start(side, box, check).awaitTermination()
     assert side.engine.last_epoch() == before and [r["vector_id"] for r in side.engine.visible().collect()] == ["document:1"]
+    assert put(("2", "upsert"), ("2", "explode"), ("1", "delete")) == 6
     with pytest.raises(outbox.UnknownOperation):
-        outbox.process(side, event((4, "2", "upsert"), (5, "2", "explode"), (6, "1", "delete")))
+        outbox.process(side, box)
     assert sorted(r["vector_id"] for r in side.engine.visible().collect()) == ["document:1", "document:2"]
+    assert [state()[k] for k in (4, 5, 6)] == [("processed", 1), ("failed", 1), ("pending", 0)]
+    assert outbox.process(side, box) == 1 and outbox.process(side, box) == 0  # goes on behind the failed one
+    assert box.events().where("event_id = 5").first()["error"] == "unknown operation explode"
+    box.retry(box.events().where("event_id = 5"))
+    assert state()[5] == ("pending", 2)
+    put(("1", "explode"), ("2", "repair"))
+    outbox.start(side, box, check).awaitTermination()  # a stream marks failures and does not end
+    assert [state()[k] for k in (5, 7, 8)] == [("failed", 3), ("failed", 1), ("processed", 1)]
+
+
+def test_host_write_with_event(spark, side, tmp_path):
+    box = outbox.Outbox(spark, f"{tmp_path}/box")
+    new = spark.createDataFrame([("9", "New", "sql song", "ca")], "document_id string, title string, body string, region string")
+    assert outbox.write_with_event(side, box, new) == 1
+    assert side.engine.visible().count() == 0 and json.loads(box.pending().first()["payload"]) == {"status": "published"}
+    assert outbox.drain(side, box) == 1 and _search(spark, side, "song", region="ca") == ["9"]
+    side.delete(_ids(spark, "9"))
+    assert side.engine.visible().count() == 0 and side.host.get(_ids(spark, "9")).count() == 0
+    side.write(new)
+    side.unpublish(_ids(spark, "9"))
+    assert side.engine.visible().count() == 0
+    assert [r["document_id"] for r in side.host.listed().collect()] == ["1", "2", "3", "9"]
+    side.host.truncate()
+    assert side.host.documents().count() == 0
+
+
+def test_demo(spark, tmp_path):
+    assert _search(spark, demo(spark, f"{tmp_path}/demo"), "postgres", top_k=1) == ["1"]
+
+
+def test_jdbc_host(spark, tmp_path):
+    """Against the embedded database that comes with Spark."""
+    host = JdbcHost(spark, f"jdbc:derby:{tmp_path}/db;create=true", "docs", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    host.ensure_table()
+    host.ensure_table()
+    new = lambda *rows: spark.createDataFrame(list(rows), "document_id string, title string, body string, region string")
+    host.upsert(new(("1", "a", "x", "us"), ("2", "b", "y", "ca")))
+    host.upsert(new(("2", "c", "z", "ca"), ("3", "it's", "w", "us")))
+    assert {r["document_id"]: (r["title"], r["status"]) for r in host.documents().collect()} == {"1": ("a", "published"), "2": ("c", "published"), "3": ("it's", "published")}
+    assert host.set_status(_ids(spark, "2", "9"), "unpublished") == 1 and [r["document_id"] for r in host.documents(False).orderBy("document_id").collect()] == ["1", "3"]
+    assert host.delete(_ids(spark, "1")) == 1 and host.get("1").count() == 0 and host.get("3").first()["body"] == "w"
+    assert [r["document_id"] for r in host.listed().collect()] == ["2", "3"]
+    side = Sidecar(spark, f"{tmp_path}/jdbc-index", host, options=EngineOptions(ivf_auto_threshold=None))
+    side.backfill()
+    assert [r["vector_id"] for r in side.engine.visible().collect()] == ["document:3"]
+    host.truncate()
+    assert host.documents().count() == 0
 
 
 def test_write_stream_and_auto_flush(spark, tmp_path):
@@ -103,3 +153,15 @@ def test_jdbc_names(spark):
         JdbcHost(spark, "jdbc:x", "a; drop table b")
     host = JdbcHost(spark, "jdbc:x", "public.documents")
     assert "on conflict (document_id)" in host.upsert_sql() and "create table" in host.ddl()
+    with pytest.raises(ValueError):
+        host.set_status(None, "x' or 1=1")
+
+
+def test_settings():
+    got = settings.settings({"QUIVERLAKE_TENANTS": " a:x , b: y,", "QUIVERLAKE_RATE_LIMIT": "5", "QUIVERLAKE_IVF_AUTO_THRESHOLD": "none", "OTHER": "1"})
+    assert [(t.api_key, t.collection_id) for t in got.tenants] == [("a", "x"), ("b", "y")]
+    assert (got.rate_limit, got.ivf_auto_threshold, got.options().flush_threshold) == (5, None, 10_000)
+    assert (got.collection_of("b"), got.collection_of("c"), settings.settings({}).collection_of(None)) == ("y", None, "documents")
+    for bad in ("a", "a:", ":b"):
+        with pytest.raises(ValueError):
+            settings.parse_tenants(bad)
