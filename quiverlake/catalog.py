@@ -33,7 +33,7 @@ ORACLE_SQL: dict[str, str] = {}
 REGIONS = ("us", "ca", "uk", "eu")
 GROUPS = (("le", "la"), ("de", "des"), ("en", "ein"), ("el", "los"))
 DIM = 64
-N_QUERIES = 5
+EVERY = 100  # the query set: each row whose id is divisible by it
 
 
 def query(name: str, sql: str | None = None):
@@ -60,12 +60,12 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("vector_id"), "embedding", "label", region.alias("region"), F.pmod("vec_id", F.lit(3)).alias("tier"))
 
 
-def asked(spark: SparkSession, d: str, n: int = N_QUERIES) -> DataFrame:
-    return table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), V.doubles(F.col("embedding")).alias("query"))
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), V.doubles(F.col("embedding")).alias("query"))
 
 
 def first_query(spark: SparkSession, d: str) -> list[float]:
-    return asked(spark, d, 1).first()["query"]
+    return asked(spark, d).where("qid = 0").first()["query"]
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +108,7 @@ def _score(df: DataFrame) -> DataFrame:
 
 _REGION = "['us', 'ca', 'uk', 'eu'][vec_id % 4 + 1]"
 _V = f"v as (select vec_id as vector_id, embedding as f, embedding::double[] as e, label, {_REGION} as region, vec_id % 3 as tier from embeddings)"
-_Q = f"q as (select vec_id as qid, embedding::double[] as query from embeddings where vec_id < {N_QUERIES})"
+_Q = f"q as (select vec_id as qid, embedding::double[] as query from embeddings where vec_id % {EVERY} = 0)"
 _LOG = """lg as (
   select event_id + 1 as write_epoch, user_id as vector_id, 'shard-' || (user_id % 4) as shard_id, case when event_type = 'error' then 'delete' else 'upsert' end as operation,
     'c' || (user_id % 3) as collection_id, event_id % m as vec_id, least(4, (event_id * 5) // n)::int as part, event_type = 'error' as is_deleted
@@ -265,7 +265,7 @@ def _compressed(spark, d, kind: str, k: int) -> DataFrame:
     return K.top_k_batch(vectors(spark, d), asked(spark, d).select("qid", V.doubles(q.prepare(F.col("query"))).alias("query")), k, q.decode(q.encode(F.col("embedding"))))
 
 
-_PQ = "pq as (select c.vector_id as qid, list_transform(c.p, lambda x: x::double) as query from deco c where c.vector_id < 5)"
+_PQ = f"pq as (select c.vector_id as qid, list_transform(c.p, lambda x: x::double) as query from deco c where c.vector_id % {EVERY} = 0)"
 
 
 @query("compressed_topk", f"with {_V}, {_coded('normalized')}, {_PQ} {_top('list_dot_product(dec, query)', 'deco, pq', 10)}")
@@ -308,7 +308,7 @@ def ivf_probe(spark, d):
 def ivf_topk(spark, d):
     q = asked(spark, d)
     rows = ivf.assign(vectors(spark, d), centroids(spark, d)).select("vector_id", "cluster_id", "embedding")
-    met = ivf.probed_rows(rows, ivf.probes(q, centroids(spark, d), 3)).join(F.broadcast(q), "qid")
+    met = ivf.probed_rows(rows, ivf.probes(q, centroids(spark, d), 3)).join(F.broadcast(K.checked(q)), "qid")
     scored = met.select("qid", "vector_id", V.dot(F.col("embedding"), F.col("query")).alias("score"))
     return _score(K.top_k_scored(scored, 10, ["qid"])).select("qid", "rank", "vector_id", "score")
 
@@ -437,7 +437,7 @@ _LATEST = "lat as (select * from (select * from sh union all select * from mh) q
 
 def _hits(rows: DataFrame, spark, d) -> DataFrame:
     v = vectors(spark, d).select(F.col("vector_id").alias("vec_id"), "embedding")
-    met = rows.join(v, "vec_id").join(F.broadcast(asked(spark, d)))
+    met = rows.join(v, "vec_id").join(F.broadcast(K.checked(asked(spark, d))))
     return met.select("qid", "vector_id", V.dot(F.col("embedding"), F.col("query")).alias("score"), "write_epoch")
 
 
@@ -478,7 +478,7 @@ def merge_candidates(spark, d):
 
 @query(
     "materialise_hits",
-    f"""with {_SIDES}, ids as (select qid, vector_id from mh where vector_id % 2 = 0 union select qid, vector_id from sh where vector_id % 3 = 0),
+    f"""with {_SIDES}, ids as (select qid, vector_id from mh union select qid, case when vector_id % 5 = 0 then -1 - vector_id else vector_id end from sh),
 sm as (select vector_id, vec_id from sealed qualify row_number() over (partition by vector_id order by part desc, write_epoch desc) = 1),
 x as (select ids.qid, ids.vector_id, coalesce(t.vec_id, sm.vec_id) as vec_id, case when t.vector_id is not null then 'mutable' else 'sealed' end as source
   from ids left join (select * from tail where not is_deleted) t on t.vector_id = ids.vector_id left join sm on sm.vector_id = ids.vector_id where t.vector_id is not null or sm.vector_id is not null)
@@ -487,7 +487,8 @@ x as (select ids.qid, ids.vector_id, coalesce(t.vec_id, sm.vec_id) as vec_id, ca
 def materialise_hits(spark, d):
     m, sealed = VIS.live(tail(spark, d)), VIS.live(VIS.masked(segment_rows(spark, d), tail(spark, d)))
     mh, sh = _two_sides(spark, d)
-    ids = mh.where("vector_id % 2 = 0").select("qid", "vector_id").union(sh.where("vector_id % 3 = 0").select("qid", "vector_id")).distinct()
+    foreign = F.when(F.col("vector_id") % 5 == 0, -1 - F.col("vector_id")).otherwise(F.col("vector_id"))  # ids that neither side knows
+    ids = mh.select("qid", "vector_id").union(sh.select("qid", foreign)).distinct()
     v = vectors(spark, d).select(F.col("vector_id").alias("vec_id"), "embedding", F.struct("region").alias("metadata"))
     full = lambda rows: rows.select("vector_id", "vec_id").join(v, "vec_id").select("vector_id", "embedding", "metadata")
     return _score(hybrid.materialise(ids, full(m), full(hybrid.sealed_map(sealed)), asked(spark, d))).select("qid", "rank", "vector_id", "score", "source")
@@ -495,7 +496,6 @@ def materialise_hits(spark, d):
 
 # ---- compaction and maintenance -------------------------------------------------------------------
 
-_LIMITS = L.CompactionLimits(max_total_rows=100)
 _SHARE = "case when row_count > 0 then 1.0::double - live_row_count::double / row_count else 0.0 end"
 
 
@@ -512,13 +512,13 @@ def compact_subset_safe(spark, d):
 @query(
     "compaction_plan",
     f"""with {_LOG}, {_SEG}, {_MAN},
-pri as (select *, 2.0 * {_SHARE} + 1.0::double / (generation + 1) + 0.5 * least(row_count::double / 100, 1.0) as priority from man),
+pri as (select *, 2.0 * {_SHARE} + 1.0::double / (generation + 1) + 0.5 * least(row_count::double / 50000, 1.0) as priority from man),
 run as (select *, row_number() over w as position, sum(row_count) over (w rows between unbounded preceding and current row) as rows_so_far from pri window w as (partition by shard_id order by priority desc, segment_id)),
-tak as (select *, count(*) over (partition by shard_id) as n, sum(row_count) over (partition by shard_id) as r, sum(live_row_count) over (partition by shard_id) as l from run where rows_so_far <= 100 or position = 1)
-select shard_id, segment_id, position::int as position, round(priority, 9) as priority, rows_so_far::bigint as rows_so_far, round((n - 1) + 2.0 * (1.0 - l::double / r) + r::double / 100, 9) as score from tak where n >= 2""",
+tak as (select *, count(*) over (partition by shard_id) as n, sum(row_count) over (partition by shard_id) as r, sum(live_row_count) over (partition by shard_id) as l from run where rows_so_far <= 50000 or position = 1)
+select shard_id, segment_id, position::int as position, round(priority, 9) as priority, rows_so_far::bigint as rows_so_far, round((n - 1) + 2.0 * (1.0 - l::double / r) + r::double / 50000, 9) as score from tak where n >= 2""",
 )
 def compaction_plan(spark, d):
-    return L.compaction_plan(manifests(spark, d), _LIMITS).withColumn("priority", F.round("priority", 9)).withColumn("score", F.round("score", 9))
+    return L.compaction_plan(manifests(spark, d)).withColumn("priority", F.round("priority", 9)).withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -579,26 +579,28 @@ def vector_ids(spark, d):
     return ids.select("vector_id", X.document_id_of(F.col("vector_id")).alias("document_id"), X.document_id_of(F.col("plain")).alias("other"))
 
 
-_KNOWN = "known as (select doc_id as document_id from documents where doc_id % 2 = 0 union select -1 - doc_id from documents where doc_id % 50 = 0)"
+_KNOWN = "known as (select case when doc_id % 50 = 7 then -1 - doc_id else doc_id end as document_id from documents)"
 
 
 @query("sync_actions", f"with {_HOST}, {_KNOWN} select k.document_id, case when h.status = 'published' then 'upsert' else 'delete' end as operation from known k left join host h on h.document_id = k.document_id")
 def sync(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    known = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("document_id")).union(docs.where("doc_id % 50 = 0").select((-1 - F.col("doc_id")).alias("document_id")))
+    known = table(spark, d, "documents").select(F.when(F.col("doc_id") % 50 == 7, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("document_id"))
     return sync_actions(known, host(spark, d)).select("document_id", "operation")
 
 
-@query("known_ids", "select doc_id::varchar as document_id from documents where doc_id % 3 = 0 union select (doc_id + 100000)::varchar from documents where doc_id % 5 = 0")
+@query("known_ids", "select doc_id::varchar as document_id from documents union select (doc_id + case when doc_id % 5 = 0 then 1000000000 else 0 end)::varchar from documents")
 def known(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
-    rows = docs.where("doc_id % 5 = 0").select(X.vector_id_of(F.col("doc_id") + 100_000).alias("vector_id")).union(docs.select(F.concat(F.lit("other:"), "doc_id")))
-    return known_ids(docs.where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("document_id")), rows)
+    gone = F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id"))  # ids that only the index knows
+    rows = docs.select(X.vector_id_of(gone).alias("vector_id")).union(docs.select(F.concat(F.lit("other:"), "doc_id")))
+    return known_ids(docs.select(F.col("doc_id").cast("string").alias("document_id")), rows)
 
 
-@query("indexed_ids", "select doc_id::varchar as document_id from documents where doc_id % 7 = 0")
+@query("indexed_ids", "select doc_id::varchar as document_id from documents where doc_id % 7 <> 0")
 def indexed(spark, d):
-    return indexed_ids(table(spark, d, "documents").where("doc_id % 7 = 0").select(X.vector_id_of(F.col("doc_id")).alias("vector_id")))
+    """A seventh of the ids lacks the prefix of documents."""
+    named = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("other:"), "doc_id")).otherwise(X.vector_id_of(F.col("doc_id")))
+    return indexed_ids(table(spark, d, "documents").select(named.alias("vector_id")))
 
 
 @query("hydrate", f"with {_HOST}, hits as (select doc_id as document_id, row_number() over (order by n_chars desc, doc_id)::int as rank from documents qualify rank <= 50) select document_id, rank, region, status from hits join host using (document_id) where status = 'published'")
@@ -610,12 +612,12 @@ def hydrate(spark, d):
 
 @query(
     "sidecar_search",
-    f"with {_HOST}, {_EMB}, aq as (select document_id as qid, e as query from emb where document_id < 3), pub as (select document_id as vector_id, e from emb where status = 'published'), top as ({_top('list_dot_product(e, query)', 'pub, aq', 5)}) select qid, rank, vector_id as document_id, score, region from top join host on host.document_id = vector_id",
+    f"with {_HOST}, {_EMB}, aq as (select document_id as qid, e as query from emb where document_id % {EVERY} = 0), pub as (select document_id as vector_id, e from emb where status = 'published'), top as ({_top('list_dot_product(e, query)', 'pub, aq', 5)}) select qid, rank, vector_id as document_id, score, region from top join host on host.document_id = vector_id",
 )
 def sidecar_search(spark, d):
     docs = host(spark, d)
     rows = docs.where("status = 'published'").select(F.col("document_id").alias("vector_id"), X.embed_text(F.col("text"), GROUPS).alias("embedding"))
-    q = docs.where("document_id < 3").select(F.col("document_id").alias("qid"), X.embed_text(F.col("text"), GROUPS).alias("query"))
+    q = docs.where(F.col("document_id") % EVERY == 0).select(F.col("document_id").alias("qid"), X.embed_text(F.col("text"), GROUPS).alias("query"))
     hits = K.top_k_native(rows, q, 5).withColumnRenamed("vector_id", "document_id")
     return _score(hybrid.hydrate(hits, docs.select("document_id", "region", "status"))).select("qid", "rank", "document_id", "score", "region")
 

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quiverlake.functions import vectors as V
-from quiverlake.operators.topk import MOST_QUERIES, query_matrix, scores
+from quiverlake.operators.topk import MOST_QUERIES, best, query_matrix
 
 ROUNDS = 20
 NO_CLUSTER = -1
@@ -190,13 +190,10 @@ def top_k_probed(
                 who = asked.get((name, int(cluster[part[0]])), every[:0]) if name in held else every
                 if not who.size:
                     continue
-                s = scores(q[who], x[part], metric)
-                n = min(k, s.shape[1])
-                limit = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-                a, c = np.nonzero((s >= limit[:, None]) & (s > -np.inf))
+                a, c, s = best(q[who], x[part], metric, k)
                 qi.append(who[a])
                 ri.append(part[c])
-                ss.append(s[a, c])
+                ss.append(s)
             if qi:
                 qi, ri, ss = (np.concatenate(z) for z in (qi, ri, ss))
                 yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in qi.tolist()], arrow_qid), b.column(0).take(pa.array(ri)), pa.array(ss)], names=["qid", key, "score"])

@@ -73,6 +73,30 @@ def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.where(np.isfinite(s), s, -np.inf)
 
 
+def best(q: np.ndarray, x: np.ndarray, metric: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows a query, and of all that tie with them; the order is made once, in the window behind.
+
+    The matrix product only finds them: what it gives for a pair depends on
+    where in the matrix it is, by a rounding. Their scores are summed once more pair
+    by pair, so that equal vectors have equal scores.
+    """
+    s = scores(q, x, metric)
+    n = min(k, s.shape[1])
+    limit = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+    with np.errstate(invalid="ignore"):
+        near = np.where(np.isfinite(limit), limit - 1e-9 * np.maximum(1.0, np.abs(limit)), limit)
+    qi, ri = np.nonzero((s >= near[:, None]) & (s > -np.inf))
+    out = np.empty(qi.size)
+    for at in range(0, qi.size, 65_536):
+        a, b = q[qi[at : at + 65_536]], x[ri[at : at + 65_536]]
+        if metric == "l2":
+            out[at : at + 65_536] = -((a - b) ** 2).sum(1)
+        else:
+            dot = (a * b).sum(1)
+            out[at : at + 65_536] = dot if metric == "dot_product" else dot / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+    return qi, ri, out
+
+
 def _block(rows: DataFrame, ids: list, matrix: np.ndarray, qid_type: DataType, k: int, vector: Column, key: str, metric: str) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast((np.asarray(ids, object), matrix))
     key_type = rows.schema[key].dataType.simpleString()
@@ -92,12 +116,8 @@ def _block(rows: DataFrame, ids: list, matrix: np.ndarray, qid_type: DataType, k
             x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
             if x.shape[1] != q.shape[1]:
                 raise ValueError(f"vectors of {x.shape[1]} components, queries of {q.shape[1]}")
-            s = scores(q, x, metric)
-            n = min(k, s.shape[1])
-            # Ties at the cut are all handed on; the exact order is made once, in the window behind.
-            limit = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-            qi, ri = np.nonzero((s >= limit[:, None]) & (s > -np.inf))
-            yield pa.RecordBatch.from_arrays([pa.array(names[qi].tolist(), arrow_qid), keys.take(pa.array(ri)), pa.array(s[qi, ri])], names=["qid", key, "score"])
+            qi, ri, s = best(q, x, metric, k)
+            yield pa.RecordBatch.from_arrays([pa.array(names[qi].tolist(), arrow_qid), keys.take(pa.array(ri)), pa.array(s)], names=["qid", key, "score"])
 
     return rows.select(key, vector.cast("array<double>").alias("v")).mapInArrow(score, f"qid {qid_type}, {key} {key_type}, score double")
 
@@ -118,6 +138,13 @@ def top_k_batch(rows: DataFrame, queries: DataFrame, k: int, vector: Column | No
     return _ranked(found, k, ["qid"], key).select("qid", "rank", key, "score")
 
 
+def checked(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
+    """The query set, after a check of its size, for plans that send it to all executors."""
+    if queries.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} queries; take them in blocks")
+    return queries
+
+
 def top_k_native(rows: DataFrame, queries: DataFrame, k: int, key: str = "vector_id", vector: str = "embedding", metric: str = "dot_product", most: int = MOST_QUERIES) -> DataFrame:
     """The same on the JVM: rows meet the broadcast queries in an array, within the checked size."""
     n = queries.count()
