@@ -6,6 +6,7 @@ import time
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quiverlake.operators import audit
 from quiverlake.plans.engine import COMPRESSED, EXACTISH, RERANKED, Engine, EngineOptions
@@ -33,7 +34,7 @@ def run_paths(engine: Engine, queries: DataFrame, top_k: int = 10, probe_k: int
         times = []
         for _ in range(max(1, repeat)):
             began = time.perf_counter()
-            hits = engine.search(queries, top_k, mode, probe_k=probes, **how).select("qid", "rank", "vector_id").collect()
+            hits = engine.search(queries, top_k, mode, probe_k=probes, **how).select("qid", "rank", F.concat_ws("@", "vector_id", "shard_id").alias("vector_id")).collect()
             times.append(time.perf_counter() - began)
         found = queries.sparkSession.createDataFrame(hits, f"qid {queries.schema['qid'].dataType.simpleString()}, rank int, vector_id string")
         exact = found if exact is None else exact
@@ -79,8 +80,6 @@ def run_scenario(spark: SparkSession, root: str, s: Scenario, top_k: int = 10, q
 
 def compare_quantizers(spark: SparkSession, root: str, s: Scenario, names: list[str], top_k: int = 10) -> DataFrame:
     """One scenario with each quantiser."""
-    from pyspark.sql import functions as F
-
     out = None
     for name in names:
         one = run_scenario(spark, f"{root}/{name}", s, top_k, name).withColumn("quantizer", F.lit(name))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -93,3 +94,13 @@ class Storage:
         finally:
             stream.close()
         return True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors both see: ``spark.checkpoint.dir``, or on one machine only a temporary one."""
+    got = spark.conf.get("spark.checkpoint.dir", None)
+    if got:
+        return got.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set, and executors may not see the driver's folders")
+    return tempfile.mkdtemp(prefix="quiverlake-")
