@@ -12,10 +12,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quiverlake.functions import vectors as V
-from quiverlake.operators.topk import MOST_QUERIES, best, query_matrix
+from quiverlake.operators.topk import MOST_QUERIES, Running, best, query_matrices
 
 ROUNDS = 20
 NO_CLUSTER = -1
+#: Centroids that a search sends to the executors at most.
+MOST_CENTROIDS = 1 << 16
 SEED = 42
 
 
@@ -149,57 +151,56 @@ def probe_lists(names: list[tuple], centroids: np.ndarray, queries: np.ndarray,
 
 
 def top_k_probed(
-    rows: DataFrame, queries: DataFrame, centroids: DataFrame, probe_k: int, k: int, by: list[str], vector: Column, key: str = "vector_id", metric: str = "dot_product", most: int = MOST_QUERIES, most_centroids: int = 1 << 16
-) -> DataFrame:
-    """(qid, key, score): the k best rows a query and Arrow batch of the clusters that the query probes; rows of segments without clusters meet every query.
-
-    Queries and centroids go to the executors after a check of their numbers;
-    in each batch a cluster is one matrix product with the queries that probe
-    it. Clusters that no query probes are not read.
+    rows: DataFrame, queries: DataFrame, names: list[tuple[str, int]], centroids: np.ndarray, probe_k: int, k: int, by: list[str], vector: Column, key: str = "vector_id", metric: str = "dot_product",
+    most: int = MOST_QUERIES, carry: tuple[str, ...] = (),
+) -> DataFrame | None:
+    """(qid, key, carried columns, score): a task's k best rows a query, of the clusters that the query probes; rows of segments without clusters meet every query.
+
+    ``names``: (``by`` joined by a slash, cluster id) of each row of ``centroids``,
+    at most ``MOST_CENTROIDS``. In each Arrow batch a cluster is one matrix
+    product with the queries that probe it; clusters that none probes are not read.
     """
-    ids, matrix = query_matrix(queries, most)
-    got = centroids.select(*by, "cluster_id", "centroid").limit(most_centroids + 1).collect()
-    if len(got) > most_centroids:
-        raise ValueError(f"more than {most_centroids} centroids")
-    names = [("/".join(str(r[b]) for b in by), int(r["cluster_id"])) for r in got]
-    asked = probe_lists(names, np.array([r["centroid"] for r in got], np.float64), matrix, probe_k) if ids and got else {}
-    held = {s for s, _ in names}
-    wanted = sorted({c for (_, c), q in asked.items() if q.size})
-    sent = rows.sparkSession.sparkContext.broadcast((ids, matrix, asked, held))
+    if len(names) > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
+    columns, found = [key, *carry], None
     qid_type = queries.schema["qid"].dataType
-    arrow_qid, key_type = to_arrow_type(qid_type), rows.schema[key].dataType.simpleString()
-
-    def score(batches):
-        import pyarrow as pa
-
-        ids, q, asked, held = sent.value
-        every = np.arange(len(ids))
-        for b in batches:
-            fine = b.column(1).is_valid()
-            b = b.filter(fine) if b.num_rows else b
-            if not b.num_rows or not len(ids):
-                continue
-            segment, cluster = b.column(2).dictionary_encode(), b.column(3).fill_null(NO_CLUSTER).to_numpy(zero_copy_only=False)
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            code = segment.indices.to_numpy().astype(np.int64) * (1 << 32) + cluster
-            order = np.argsort(code, kind="stable")
-            cuts = np.flatnonzero(np.diff(code[order])) + 1
-            qi, ri, ss = [], [], []
-            for part in np.split(order, cuts):
-                name = segment.dictionary[int(segment.indices[int(part[0])].as_py())].as_py()
-                who = asked.get((name, int(cluster[part[0]])), every[:0]) if name in held else every
-                if not who.size:
+    arrow_qid = to_arrow_type(qid_type)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+    for ids, matrix in query_matrices(queries, most):
+        if not ids:
+            continue
+        asked = probe_lists(names, centroids, matrix, probe_k)
+        wanted = sorted({c for (_, c), q in asked.items() if q.size})
+        sent = rows.sparkSession.sparkContext.broadcast((ids, matrix, asked, {s for s, _ in names}))
+
+        def score(batches, sent=sent):
+            ids, q, asked, held = sent.value
+            every, out = np.arange(len(ids)), Running(k, len(ids), key)
+            for b in batches:
+                b = b.filter(b.column(0).is_valid()) if b.num_rows else b
+                if not b.num_rows:
                     continue
-                a, c, s = best(q[who], x[part], metric, k)
-                qi.append(who[a])
-                ri.append(part[c])
-                ss.append(s)
-            if qi:
-                qi, ri, ss = (np.concatenate(z) for z in (qi, ri, ss))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in qi.tolist()], arrow_qid), b.column(0).take(pa.array(ri)), pa.array(ss)], names=["qid", key, "score"])
-
-    in_reach = rows.where(F.col("cluster_id").isNull() | F.col("cluster_id").isin(wanted)) if names else rows
-    return in_reach.select(key, vector.cast("array<double>").alias("v"), F.coalesce(F.concat_ws("/", *by), F.lit("")).alias("__segment"), F.col("cluster_id").cast("int").alias("cluster_id")).mapInArrow(score, f"qid {qid_type.simpleString()}, {key} {key_type}, score double")
+                segment, cluster = b.column(1).dictionary_encode(), b.column(2).fill_null(NO_CLUSTER).to_numpy(zero_copy_only=False)
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                code = segment.indices.to_numpy().astype(np.int64) * (1 << 32) + cluster
+                order = np.argsort(code, kind="stable")
+                hits = []
+                for part in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                    name = segment.dictionary[int(segment.indices[int(part[0])].as_py())].as_py()
+                    who = asked.get((name, int(cluster[part[0]])), every[:0]) if name in held else every
+                    if who.size:
+                        qi, ri, s = best(q[who], x[part], metric, k)
+                        hits.append((who[qi], part[ri], s))
+                if hits:
+                    qi, ri, s = (np.concatenate(z) for z in zip(*hits, strict=True))
+                    out.add(qi, b.select(columns).take(ri), s)
+            yield from out.out(ids, arrow_qid)
+
+        reach = rows.where(F.col("cluster_id").isNull() | F.col("cluster_id").isin(wanted)) if names else rows
+        one = reach.select(vector.cast("array<double>").alias("__x"), F.coalesce(F.concat_ws("/", *by), F.lit("")).alias("__segment"), F.col("cluster_id").cast("int").alias("__cluster"), *columns)
+        one = one.mapInArrow(score, f"qid {qid_type.simpleString()}, {kinds}, score double")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def probed_rows(rows: DataFrame, probe_table: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -3,14 +3,14 @@
 One query: scores as a column expression, then sort and limit, which Spark runs
 as a bounded heap a task (TakeOrderedAndProject). A batch of queries goes to
 the executors as one matrix, if it is within ``MOST_QUERIES``; each Arrow batch
-of rows is scored by one matrix product and gives its k best rows a query, so
+of rows is scored by one matrix product, and a task gives its k best rows a query, so
 that what is shuffled does not depend on the number of rows but on the number
-of batches. More queries are taken in blocks of that size.
+of tasks. More queries are taken in blocks of that size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -42,24 +42,20 @@ def top_k_scored(scored: DataFrame, k: int, by: list[str], key: str = "vector_id
     return _ranked(scored.where("score is not null"), k, by, key)
 
 
-def query_matrix(queries: DataFrame, most: int = MOST_QUERIES) -> tuple[list, np.ndarray]:
-    """Ids and vectors of a query set, after a check of its size."""
-    got = queries.select("qid", "query").limit(most + 1).collect()
-    if len(got) > most:
-        raise ValueError(f"more than {most} queries; take them in blocks")
-    return [r["qid"] for r in got], np.array([r["query"] for r in got], np.float64)
-
-
-def query_blocks(queries: DataFrame, most: int = MOST_QUERIES) -> list[DataFrame]:
-    """The query set in blocks of at most about ``most``, dealt by hash; beyond ``most`` it is split until the largest block fits."""
-    n, parts = queries.limit(most + 1).count(), 1
-    if n <= most:
-        return [queries]
+def query_matrices(queries: DataFrame, most: int = MOST_QUERIES) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and vectors of the query set, in blocks of at most ``most``, dealt by hash where there are more."""
+    read = lambda df: df.select("qid", "query").limit(most + 1).collect()
+    matrix = lambda got: ([r["qid"] for r in got], np.array([r["query"] for r in got], np.float64))
+    got = read(queries)
+    if len(got) <= most:
+        yield matrix(got)
+        return
     parts = -(-2 * queries.count() // most)
     dealt = lambda p: F.pmod(F.xxhash64("qid"), F.lit(p)).cast("int")
     while queries.groupBy(dealt(parts).alias("p")).count().agg(F.max("count")).first()[0] > most:
         parts *= 2
-    return [queries.where(dealt(parts) == p) for p in range(parts)]
+    for p in range(parts):
+        yield matrix(read(queries.where(dealt(parts) == p)))
 
 
 def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -74,7 +70,7 @@ def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
 
 
 def best(q: np.ndarray, x: np.ndarray, metric: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the k best rows a query, and of all that tie with them; the order is made once, in the window behind.
+    """(query, row, score) of the k best rows a query, and of all that tie with them.
 
     The matrix product only finds them: what it gives for a pair depends on
     where in the matrix it is, by a rounding. Their scores are summed once more pair
@@ -97,45 +93,87 @@ def best(q: np.ndarray, x: np.ndarray, metric: str, k: int) -> tuple[np.ndarray,
     return qi, ri, out
 
 
-def _block(rows: DataFrame, ids: list, matrix: np.ndarray, qid_type: DataType, k: int, vector: Column, key: str, metric: str) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast((np.asarray(ids, object), matrix))
-    key_type = rows.schema[key].dataType.simpleString()
-    arrow_qid = to_arrow_type(qid_type)
-    qid_type = qid_type.simpleString()
+class Running:
+    """The k best rows of each query that a task has seen, by score and then by key; so a task gives k rows a query, however many it reads or tie."""
 
-    def score(batches):
+    def __init__(self, k: int, queries: int, key: str):
+        self.k, self.key, self.most, self.held, self.rows = k, key, max(1 << 16, 4 * k * queries), [], 0
+
+    def add(self, qi: np.ndarray, rows, score: np.ndarray) -> None:
+        """``rows``: a record batch with the key first."""
         import pyarrow as pa
 
+        if qi.size:
+            self.held.append(pa.Table.from_batches([rows]).append_column("__qi", pa.array(qi.astype(np.int64))).append_column("score", pa.array(score)))
+            self.rows += qi.size
+            if self.rows > self.most:
+                self.held = [self.kept()]
+                self.rows = self.held[0].num_rows
+
+    def kept(self):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = pa.concat_tables(self.held).combine_chunks()
+        key = table[self.key]
+        parts = [pc.struct_field(key, [j]) for j in range(key.type.num_fields)] if pa.types.is_struct(key.type) else [key]
+        order = pa.table({"q": table["__qi"], "s": table["score"]} | {f"k{j}": c for j, c in enumerate(parts)})
+        table = table.take(pc.sort_indices(order, sort_keys=[("q", "ascending"), ("s", "descending"), *((f"k{j}", "ascending") for j in range(len(parts)))]))
+        q = table["__qi"].to_numpy()
+        first = np.concatenate([[True], q[1:] != q[:-1]])
+        place = np.arange(q.size) - np.maximum.accumulate(np.where(first, np.arange(q.size), 0))
+        return table.filter(pa.array(place < self.k))
+
+    def out(self, ids: list, qid_type) -> Iterator:
+        """Record batches: qid, the columns of the rows, score."""
+        import pyarrow as pa
+
+        if self.held:
+            table = self.kept()
+            qid = pa.array(ids, qid_type).take(table["__qi"].combine_chunks())
+            columns = [c for c in table.column_names if c not in ("__qi", "score")]
+            done = pa.Table.from_arrays([qid, *[table[c] for c in columns], table["score"]], names=["qid", *columns, "score"])
+            yield from done.combine_chunks().to_batches(max_chunksize=1 << 16)
+
+
+def _block(rows: DataFrame, ids: list, matrix: np.ndarray, qid_type: DataType, k: int, vector: Column, key: str, metric: str, carry: tuple[str, ...]) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+    columns = [key, *carry]
+    arrow_qid = to_arrow_type(qid_type)
+
+    def score(batches):
         names, q = sent.value
+        found = Running(k, len(names), key)
         for b in batches:
-            column = b.column(1)
-            fine = column.is_valid()
-            keys, column = b.column(0).filter(fine), column.filter(fine)
-            if not len(column):
+            b = b.filter(b.column(0).is_valid()) if b.num_rows else b
+            if not b.num_rows:
                 continue
-            x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             if x.shape[1] != q.shape[1]:
                 raise ValueError(f"vectors of {x.shape[1]} components, queries of {q.shape[1]}")
             qi, ri, s = best(q, x, metric, k)
-            yield pa.RecordBatch.from_arrays([pa.array(names[qi].tolist(), arrow_qid), keys.take(pa.array(ri)), pa.array(s)], names=["qid", key, "score"])
+            found.add(qi, b.select(columns).take(ri), s)
+        yield from found.out(names, arrow_qid)
 
-    return rows.select(key, vector.cast("array<double>").alias("v")).mapInArrow(score, f"qid {qid_type}, {key} {key_type}, score double")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+    return rows.select(vector.cast("array<double>").alias("__x"), *columns).mapInArrow(score, f"qid {qid_type.simpleString()}, {kinds}, score double")
 
 
-def top_k_batch(rows: DataFrame, queries: DataFrame, k: int, vector: Column | None = None, key: str = "vector_id", metric: str = "dot_product", most: int = MOST_QUERIES) -> DataFrame:
-    """(qid, rank, key, score) for a table of (qid, query), by matrix products."""
+def top_k_batch(
+    rows: DataFrame, queries: DataFrame, k: int, vector: Column | None = None, key: str = "vector_id", metric: str = "dot_product", most: int = MOST_QUERIES, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(qid, rank, key, carried columns, score) for a table of (qid, query), by matrix products."""
     vector = F.col("embedding") if vector is None else vector
-    qid_type = queries.schema["qid"].dataType.simpleString()
-    if k < 1:
-        return rows.sparkSession.createDataFrame([], f"qid {qid_type}, rank int, {key} {rows.schema[key].dataType.simpleString()}, score double")
+    qid_type = queries.schema["qid"].dataType
     found = None
-    for b in query_blocks(queries, most):
-        ids, matrix = query_matrix(b, most)
-        one = _block(rows, ids, matrix, queries.schema["qid"].dataType, k, vector, key, metric) if ids else None
-        found = one if found is None else found.unionByName(one) if one is not None else found
+    for ids, matrix in query_matrices(queries, most) if k >= 1 else ():
+        if ids:
+            one = _block(rows, ids, matrix, qid_type, k, vector, key, metric, carry)
+            found = one if found is None else found.unionByName(one)
     if found is None:
-        return rows.sparkSession.createDataFrame([], f"qid {qid_type}, rank int, {key} {rows.schema[key].dataType.simpleString()}, score double")
-    return _ranked(found, k, ["qid"], key).select("qid", "rank", key, "score")
+        kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in (key, *carry))
+        return rows.sparkSession.createDataFrame([], f"qid {qid_type.simpleString()}, rank int, {kinds}score double")
+    return _ranked(found, k, ["qid"], key).select("qid", "rank", key, *carry, "score")
 
 
 def checked(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -224,11 +225,11 @@ class Engine:
         limit = hybrid.candidate_budget(top_k, candidate_k) if mode == RERANKED else top_k
         wide = (self.options.rerank_probe_k or 2 * probe_k) if mode == RERANKED and probe_k else probe_k
         score = lambda r: self._scored(r, queries, limit, mode, states, wide)
-        columns = [KEY, "source", "metadata", "embedding"]
         if visibility == COMPAT:
             mutable, sealed = self._rows(states)
             tail = self._no_tail() if mutable is None else mutable
             m = keyed(self._tagged(FL.restrict(FL.apply_filter(VIS.live(tail), filters, meta), candidates), None))
+            columns = [KEY, "source", "metadata", "embedding"]
             source = m.select(*columns)
             if sealed is None:
                 found = score(m)
@@ -237,35 +238,35 @@ class Engine:
                 s = budget(keyed(FL.restrict(FL.apply_filter(s, filters, meta), candidates).withColumn("source", F.lit(hybrid.SEALED))))
                 found = hybrid.merge_compat(score(m), score(s), limit, ["qid"], KEY)
                 source = source.unionByName(hybrid.sealed_map(s, KEY).join(m.select(KEY), KEY, "left_anti").select(*columns))
+            if mode == RERANKED:
+                found = hybrid.rerank(found, source, queries, top_k, metric=metric, key=KEY)
+            hits = K.top_k_scored(found.select("qid", KEY, "score").join(source.select(KEY, "source", "metadata"), KEY), top_k, ["qid"], KEY)
         else:
+            # A hit carries its source and metadata from where it is scored; only reranking reads vectors again.
             rows = budget(keyed(FL.restrict(self.visible(shard_id, filters, states), candidates)))
-            found, source = score(rows), rows.select(*columns)
-        if mode == RERANKED:
-            found = hybrid.rerank(found, source, queries, top_k, metric=metric, key=KEY)
-        hits = found.select("qid", KEY, "score").join(source.select(KEY, "source", "metadata"), KEY)
-        return K.top_k_scored(hits, top_k, ["qid"], KEY).select("qid", "rank", f"{KEY}.vector_id", "score", "source", f"{KEY}.shard_id", "metadata")
+            hits = score(rows)
+            if mode == RERANKED:
+                hits = hybrid.rerank(hits, rows, queries, top_k, metric=metric, key=KEY, carry=("source", "metadata"))
+        return hits.select("qid", "rank", f"{KEY}.vector_id", "score", "source", f"{KEY}.shard_id", "metadata")
 
     def _scored(self, rows: DataFrame, queries: DataFrame, k: int, mode: str, states: dict[str, ShardState], probe_k: int | None) -> DataFrame:
         q = self.quantizer
-        coded = F.struct("codes", "scale")
+        coded, carry = F.struct("codes", "scale"), ("source", "metadata")
         metric = self.collection.metric
         if mode in (EXACT, EXACTISH):
             vector = F.col("embedding") if mode == EXACT else F.when(F.col("source") == hybrid.MUTABLE, F.col("embedding")).otherwise(q.restored(coded))
-            return K.top_k_batch(rows, queries, k, vector, KEY, metric)
+            return K.top_k_batch(rows, queries, k, vector, KEY, metric, carry=carry)
         asked = queries.select("qid", q.prepare(F.col("query")).cast("array<double>").alias("query"))
-        vector, centroids = q.decode(coded), None
-        for shard, state in states.items() if probe_k else ():
-            one = self.store.centroids(state, shard)
-            if one is not None:
-                one = one.withColumn("shard_id", F.lit(shard))
-                centroids = one if centroids is None else centroids.unionByName(one)
-        if centroids is None or k < 1:
-            return K.top_k_batch(rows, asked, k, vector, KEY, metric)
-        found = None
-        for block in K.query_blocks(asked):
-            one = ivf.top_k_probed(rows, block, centroids, probe_k, k, ["shard_id", "segment_id"], vector, KEY, metric)
-            found = one if found is None else found.unionByName(one)
-        return K.top_k_scored(found, k, ["qid"], KEY)
+        names, centroids = [], []
+        for shard, state in states.items() if probe_k and k > 0 else ():
+            for segment_id, table in self.store.centroid_tables(state, shard).items():
+                names += [(f"{shard}/{segment_id}", c) for c in range(len(table))]
+                centroids.append(table)
+        if names:
+            found = ivf.top_k_probed(rows, asked, names, np.concatenate(centroids), probe_k, k, ["shard_id", "segment_id"], q.decode(coded), KEY, metric, carry=carry)
+            if found is not None:
+                return K.top_k_scored(found, k, ["qid"], KEY)
+        return K.top_k_batch(rows, asked, k, q.decode(coded), KEY, metric, carry=carry)
 
     def explain_query(self, queries: DataFrame, **how) -> DataFrame:
         """One row a query: hits by source, and the plan as JSON."""

@@ -13,6 +13,7 @@ import hashlib
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,7 @@ class SegmentStore:
     def __init__(self, storage: Storage, folder: str, cached_segments: int = 0):
         self.storage, self.folder, self.spark = storage, folder, storage.spark
         self.cache = SegmentCache(cached_segments)
+        self._centroids: dict[tuple[str, str], np.ndarray] = {}
 
     # ---- versions ------------------------------------------------------------
 
@@ -146,6 +148,18 @@ class SegmentStore:
         paths = [f"{self.path(shard_id, s)}/centroids" for s in state.active if state.segments[s].get("n_clusters")]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def centroid_tables(self, state: ShardState, shard_id: str) -> dict[str, np.ndarray]:
+        """The centroids of the active clustered segments, by cluster id. A segment never changes, so what was read is kept."""
+        for segment_id in state.active:
+            at = (shard_id, segment_id)
+            if state.segments[segment_id].get("n_clusters") and at not in self._centroids:
+                got = self.spark.read.parquet(f"{self.path(shard_id, segment_id)}/centroids").select("cluster_id", "centroid").orderBy("cluster_id").limit(ivf.MOST_CENTROIDS + 1).collect()
+                self._centroids[at] = np.array([r["centroid"] for r in got], np.float64)
+        here = {s for s in state.active if (shard_id, s) in self._centroids}
+        for at in [a for a in self._centroids if a[0] == shard_id and a[1] not in here]:
+            del self._centroids[at]
+        return {s: self._centroids[shard_id, s] for s in state.active if s in here}
+
     def checksum(self, shard_id: str, segment_id: str) -> str:
         """SHA-256 over the number of rows and two order-free sums of row hashes: one streaming pass on the executors, whatever the size of a file."""
         out = []
