@@ -6,7 +6,7 @@ Document frequencies count all documents that may be learnt from. The weights
 are fitted by follow-the-regularised-leader with elastic-net penalties (the L1
 part leaves most at zero) on a bounded sample of labelled documents, at most
 ``per_label`` of a language and ``most_rows`` in all, drawn by a hash of the
-id. A fifth of the sample is set apart to fit the temperature that calibrates
+row. A fifth of the sample is set apart to fit the temperature that calibrates
 the probabilities. Whole texts are read, in learning and in prediction.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0; so is all
@@ -146,7 +146,7 @@ def fit_language(
     labels = sorted(labelled)
     if not labels:
         return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 1), np.float32), np.ones(1 << BITS, np.float32))
-    texts = rows.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 40)).alias("h"))
+    texts = rows.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)).alias("h"))
 
     def frequencies(batches):
         import pyarrow as pa
@@ -174,7 +174,9 @@ def fit_language(
             yield pa.RecordBatch.from_arrays([b.column("label"), b.column("h"), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([c.tobytes() for _, c in got], pa.binary())], names=["label", "h", "index", "counts"])
 
     label_type = df.schema[label_col].dataType.simpleString()
-    drawn = texts.filter(F.col("h") < F.element_at(limit, F.col("label"))).mapInArrow(features, f"label {label_type}, h long, index binary, counts binary").collect()
+    drawn = texts.filter(F.col("h") < F.element_at(limit, F.col("label"))).mapInArrow(features, f"label {label_type}, h long, index binary, counts binary")
+    # Rows alike fall to one place: however many there are, the driver gets no more than twice the bound.
+    drawn = drawn.orderBy("h", "label").limit(2 * most_rows).collect()
     place = {v: k for k, v in enumerate(labels)}
     sample = []
     for r in sorted(drawn, key=lambda r: (r["h"], r["label"], bytes(r["index"]))):

@@ -7,7 +7,7 @@ expectation-maximisation finds from these counts how often each heuristic casts
 each vote on good and on bad texts, and the share of good ones. The posterior
 of a document's pattern is its soft label. Soft labels train a logistic scorer
 on hashed features of a bounded sample of ``most_rows`` documents, drawn by a
-hash of the id; the scorer then scores every document.
+hash of the row; the scorer then scores every document.
 
 A text is read once: its votes and its hashed features (a few hundred bytes)
 go to the shared checkpoint folder, and all later passes read those.
@@ -121,39 +121,46 @@ def hashed(text: str, measured: dict[str, float]) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class LabelModel:
-    """Share of good texts, and the accuracy of each labeller where it votes."""
+    """Share of good texts, and how often each labeller casts each vote on bad and on good ones: ``rates[class, labeller, vote]``."""
 
     share: float
-    accuracy: np.ndarray
+    rates: np.ndarray
 
     @classmethod
-    def fit(cls, patterns: dict[str, int], rounds: int = 200, prior: float = 0.9, strength: float = 0.02) -> LabelModel:
+    def start(cls, votes: np.ndarray) -> np.ndarray:
+        """First guess of each pattern's chance to be good: bad votes against good ones, even without any."""
+        against, in_favour = (votes == 0).sum(1), (votes == 1).sum(1)
+        return np.where(against > in_favour, 0.1, np.where(in_favour > against, 0.9, 0.5))
+
+    @classmethod
+    def fit(cls, patterns: dict[str, int], rounds: int = 500, pseudo: float = 1.0) -> LabelModel:
         """Expectation-maximisation over counts of vote patterns.
 
-        Accuracies have a beta prior with mean ``prior``, as strong as
-        ``strength`` of the corpus, and stay between 0.7 and 0.995.
+        A labeller has rates of its own for good and for bad texts, no vote
+        being one of the three; ``pseudo`` votes of each kind keep them above
+        zero. The classes are told apart by the first guess alone: good is where
+        votes for good prevail.
         """
-        model = cls(0.85, np.full(len(LABELLERS), prior))
         known = {p: n for p, n in sorted(patterns.items()) if p}
         if not known:
-            return model
+            return cls(0.5, np.full((2, len(LABELLERS), 3), 1 / 3))
         votes = np.array([[int(c) for c in p] for p in known])
         weight = np.array(list(known.values()), float)
-        pseudo = strength * weight.sum()
+        cast = np.stack([votes == v for v in range(3)], axis=2).astype(float)
+        good, model = cls.start(votes), None
         for _ in range(rounds):
-            good = model.posterior(votes)
-            right = np.where(votes == 1, good[:, None], np.where(votes == 0, 1 - good[:, None], 0.0))
-            cast = ((votes < 2) * weight[:, None]).sum(0)
-            accuracy = np.clip(((right * weight[:, None]).sum(0) + prior * pseudo) / (cast + pseudo), 0.7, 0.995)
-            moved = np.abs(accuracy - model.accuracy).max()
-            model = cls(float(np.clip((weight * good).sum() / weight.sum(), 0.3, 0.95)), accuracy)
-            if moved < 1e-9:
+            mass = np.stack([weight * (1 - good), weight * good])
+            rates = np.einsum("cp,plv->clv", mass, cast) + pseudo
+            model = cls(float((mass[1].sum() + pseudo) / (weight.sum() + 2 * pseudo)), rates / rates.sum(2, keepdims=True))
+            was, good = good, model.posterior(votes)
+            if np.abs(good - was).max() < 1e-9:
                 break
         return model
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        trust = np.log(self.accuracy / (1 - self.accuracy))
-        odds = np.where(votes == 1, trust, np.where(votes == 0, -trust, 0.0)).sum(1) + np.log(self.share / (1 - self.share))
+        """The chance of each row of votes to be on a good text."""
+        of = np.log(self.rates)[:, np.arange(votes.shape[1]), votes].sum(2)
+        odds = of[1] - of[0] + np.log(self.share / (1 - self.share))
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
     def of(self, pattern: str) -> float:
@@ -219,8 +226,10 @@ def fit_quality(features: DataFrame, most_rows: int = 8000) -> QualityModel:
     patterns = {r["votes"]: r["n"] for r in features.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     labels = LabelModel.fit(patterns)
     share = min(1.0, most_rows / max(1, sum(patterns.values())))
-    pick = (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))) & F.col("id").isNotNull() & (F.col("votes") != "")
-    drawn = sorted(features.filter(pick).collect(), key=lambda r: (str(r["id"]), r["votes"], bytes(r["index"]), bytes(r["x"])))
+    place = F.pmod(F.xxhash64("id", "index", "x"), F.lit(1 << 40))
+    pick = (place < F.lit(int(share * (1 << 40)))) & F.col("id").isNotNull() & (F.col("votes") != "")
+    # Rows alike fall to one place: however many there are, the driver gets no more than twice the bound.
+    drawn = features.filter(pick).withColumn("place", place).orderBy("place", "id").limit(2 * most_rows).collect()
     good = {p: labels.of(p) for p in patterns}
     weights, bias = train([(*_unpack(r["index"], r["x"]), good[r["votes"]]) for r in drawn])
     return QualityModel(labels, weights, bias)
