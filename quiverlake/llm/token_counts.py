@@ -28,8 +28,10 @@ from pyspark.sql import DataFrame
 
 #: Chunks longer than this go one at a time, as waves over few chunks are slow.
 LONG = 48
-#: Distinct chunks that a Python worker keeps before it starts afresh.
-KEEP = 600_000
+#: What a Python worker keeps before it starts afresh: distinct chunks, prefixes of them (4 bytes each), and verdicts on pairs.
+KEEP, KEEP_PREFIXES, KEEP_PAIRS = 600_000, 16_000_000, 1_000_000
+#: Code points that are worked on at once, if they are of several texts.
+AT_ONCE = 4_000_000
 SPACE = "▁"
 
 
@@ -50,10 +52,12 @@ class PrefixCounter:
         self.surface.append("")
         self.ids = {self.surface[i]: i for i in range(n) if not special(i)}
         self._build_trie()
+        self._forget_pairs()
+        self.forget()
+
+    def _forget_pairs(self) -> None:
         self.pairs: dict[int, bool] = {}
         self.pair_keys = np.full(1 << 16, -1, np.int64)
-        self.pair_count = 0
-        self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
@@ -247,8 +251,10 @@ class PrefixCounter:
     def tables(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
         """For each text: its chunks, their rows in the store, and the counts after each chunk."""
         split = [chunks_of(t) for t in texts]
-        if len(self.index) > KEEP:
+        if len(self.index) > KEEP or self.starts[-1] > KEEP_PREFIXES:
             self.forget()
+        if len(self.pairs) > KEEP_PAIRS:
+            self._forget_pairs()
         index = self.index
         fresh = {c for s in split for c in s if c not in index}
         if fresh:
@@ -310,6 +316,21 @@ def counter(model: str) -> PrefixCounter:
     return _COUNTERS[model]
 
 
+def bounded(batch, column: int, most: int = AT_ONCE, rows: int = 1000):
+    """Slices of a batch with at most ``rows`` rows whose texts have at most ``most`` code points, or one text."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
+    at, held = 0, 0
+    for k, n in enumerate(size):
+        if k > at and (held + n > most or k - at >= rows):
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += n
+    if at < len(size):
+        yield batch.slice(at)
+
+
 def token_counts(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", limit: int = 4096
 ) -> DataFrame:
@@ -325,8 +346,7 @@ def token_counts(
 
         c = counter(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in bounded(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 n_tokens, fit = c.counts(texts, limit)
                 n_bytes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]

@@ -1,7 +1,9 @@
 import random
 
+import pyarrow as pa
 import pytest
 
+from quiverlake.llm import token_counts as module
 from quiverlake.llm.token_counts import PrefixCounter, token_counts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -51,3 +53,21 @@ def test_store_is_renewed(counter, library, monkeypatch):
     monkeypatch.setattr("quiverlake.llm.token_counts.KEEP", 3)
     for t in _texts(3, 60):
         assert counter.counts([t], 5)[0] == [len(library.encode(t))]
+
+
+def test_caches_are_bounded(monkeypatch):
+    """Small bounds change nothing but what is kept."""
+    texts = [t for k in range(40) for t in ("word%d " % k * 30, "x" * (100 + k), "a%d,b c" % k)]
+    c = PrefixCounter(public_tokenizers.path("piece_bpe_32k.model"))
+    want = c.counts(texts, 20)
+    monkeypatch.setattr(module, "KEEP_PREFIXES", 500)
+    monkeypatch.setattr(module, "KEEP_PAIRS", 50)
+    got = [c.counts([t], 20) for t in texts]
+    assert ([n[0] for n, _ in got], [f[0] for _, f in got]) == want
+    assert c.starts[-1] < 2000 and len(c.pairs) < 2000
+
+
+def test_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 10, None, "b" * 100, "c", "d" * 8, "", "e" * 50])], names=["i", "t"])
+    parts = [p.column(0).to_pylist() for p in module.bounded(batch, 1, most=20, rows=3)]
+    assert parts == [[0, 1], [2], [3, 4, 5], [6]]
