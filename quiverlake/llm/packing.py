@@ -1,6 +1,7 @@
 """Packing documents into batches by optimal length buckets.
 
-The histogram of lengths over the whole corpus has a bin for each length up to
+Lengths are tokens of a public byte-level vocabulary, counted exactly over whole
+texts in one narrow pass. The histogram of lengths over the whole corpus has a bin for each length up to
 ``FINE`` and, beyond, bins whose width is at most a 256th of the length; so its
 size grows with the logarithm of the longest document only. A dynamic programme
 over it chooses the bounds of at most ``buckets`` buckets that make the padding
@@ -10,6 +11,9 @@ from sums over slices of a bucket, so a bucket with most of the rows is no
 single task. No document is cut or dropped; one longer than the budget is a
 batch of its own.
 
+Bounds are optimal to the bins: exactly up to ``FINE`` tokens, and beyond among
+bounds that end a bin.
+
 Rows: a null or empty text has length 0 and goes to the first bucket. Rows with
 one id are packed each on its own; null ids too. Extra columns are not read. An
 empty table gives an empty result.
@@ -21,13 +25,41 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiverlake.llm._common import WORD, cut_lineage, running_position
+from quiverlake.llm._common import cut_lineage, running_position
 
 FINE = 1024
+#: The vocabulary that lengths are counted in: a name among the public tokenizers, or a path.
+VOCABULARY = "byte_bpe_50k.tiktoken"
+_ENCODERS: dict = {}
+
+
+def encoder(vocabulary: str = VOCABULARY):
+    """The encoder of a rank file, one a Python worker. Special strings in texts are ordinary text."""
+    if vocabulary not in _ENCODERS:
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary), "rb") as f:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
+        _ENCODERS[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[vocabulary]
+
+
+def token_lengths(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(id, length): tokens of each whole text, 0 for null."""
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
 
+        e = encoder(vocabulary)
+        for b in batches:
+            n = [len(e.encode_ordinary(t.as_py() or "")) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["id", "length"])
 
-def word_length(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, length long")
 
 
 def _bin(length: Column) -> Column:
@@ -79,6 +111,6 @@ def pack(lengths: DataFrame, budget: int = 65_536, buckets: int = 16) -> DataFra
     return ranked.select("id", "length", "bucket", "bound", F.floor(F.col("rank") / fit).cast("long").alias("batch"), F.pmod("rank", fit).cast("int").alias("place"))
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 65_536, buckets: int = 16) -> DataFrame:
-    """Packs texts by their number of words."""
-    return pack(df.select(F.col(id_col).alias("id"), word_length(F.col(text_col)).alias("length")), budget, buckets).withColumnRenamed("id", id_col)
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 65_536, buckets: int = 16, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Packs texts by their number of tokens; ``budget``: tokens of a batch, padding included."""
+    return pack(token_lengths(df, id_col, text_col, vocabulary), budget, buckets).withColumnRenamed("id", id_col)
