@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,19 +19,50 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder of the cluster.
-
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is taken.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Materialise ``df`` in the shared folder of the cluster."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quiverlake-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where that is unset, a temporary folder on one machine (as in tests), and an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set, and executors may not see the driver's folders")
+    return tempfile.mkdtemp(prefix="quiverlake-llm-")
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Writes ``df`` as a table in the shared folder; the table, and its path for ``remove``.
+
+    Unlike a checkpoint it does not bring along what Spark knows of the plan
+    behind it; in a loop that renames columns, those constraints grow exponentially.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own that no column of ``df`` has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def running_position(
     df: DataFrame, group: list[str], order: list[Column], weight: Column, out: str, slices: int = 1024, slice_of: Column | None = None
 ) -> DataFrame:

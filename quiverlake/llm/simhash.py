@@ -11,9 +11,10 @@ shard has a BK-tree: a node's children are keyed by their Hamming distance to
 it, and a search follows only edges within the radius of the distance at hand.
 The method's broadcast of whole shard trees would grow with the corpus, so a
 shard's members meet in one task by a shuffle instead, where all trees of the
-task are built and searched side by side, level by level. A shard beyond
-``HEAVY`` nodes is split again by a third of its remaining bits, and with that
-has at most 2**22 nodes whatever the corpus.
+task are built and searched side by side, level by level. The number of blocks
+that a shard fixes grows with the corpus, and a shard beyond ``HEAVY`` nodes is
+split again by parts of its remaining bits: at radius 2 it then has at most
+2**22 nodes whatever the corpus.
 A shard reports a spanning forest of its links, not all pairs, and
 ``connected_components`` joins the forests. Nothing is capped.
 
@@ -30,7 +31,6 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quiverlake.llm._common import cut_lineage
 from quiverlake.llm.components import connected_components
@@ -159,13 +159,23 @@ def _thirds(mask: int, radius: int) -> list[int]:
     return [sum(1 << k for k in free[p :: radius + 1]) for p in range(radius + 1)]
 
 
-def links(nodes: DataFrame, radius: int = 2, keep: int = 2) -> DataFrame:
+def blocks_kept(nodes: int, radius: int) -> int:
+    """How many of ``keep + radius`` blocks a shard fixes: as many as bring an even shard of so many nodes within half of ``HEAVY``, two at least."""
+    keep = 2
+    while keep < 8 and nodes >> (64 * keep // (keep + radius)) > HEAVY // 2:
+        keep += 1
+    return keep
+
+
+def links(nodes: DataFrame, radius: int = 2, keep: int | None = None) -> DataFrame:
     """(u, v): for distinct fingerprints ``fp``, edges whose components are those of all links within the radius."""
+    keep = blocks_kept(nodes.count(), radius) if keep is None else keep
     masks = _choices(radius, keep)
     fp = F.col("fp")
     shards = F.array(*[F.struct(F.lit(t).alias("t"), fp.bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     dealt = nodes.select(fp, F.explode(shards).alias("s")).select("fp", "s.t", "s.key")
-    dealt = dealt.withColumn("n", F.count("*").over(Window.partitionBy("t", "key"))).filter("n > 1")
+    # The join can split a shard that is far larger than others; a window could not.
+    dealt = dealt.join(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["t", "key"])
     parts = F.element_at(F.array(*[F.array(*[F.lit(_signed(p)) for p in _thirds(m, radius)]) for m in masks]), F.col("t") + 1)
     split = F.when(F.col("n") > HEAVY, F.transform(parts, lambda p, k: F.struct(k.alias("k"), fp.bitwiseAND(p).alias("part")))).otherwise(F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("part"))))
     dealt = dealt.select("fp", "t", "key", F.explode(split).alias("p")).select("fp", "t", "key", "p.k", "p.part")

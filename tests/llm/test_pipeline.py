@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quiverlake.llm.queries import ORACLE_SQL, QUERIES
 
@@ -63,3 +65,59 @@ def test_odd_rows_through_all_stages(spark, docs, odd_rows, sf_dir):
 def test_registered_queries():
     assert sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0])) == list(QUERIES) or len(QUERIES) == 10
     assert len(QUERIES) == 10 and set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_rows_that_share_an_id_are_apart(spark, docs, sf_dir):
+    """Texts that have nothing to do with each other stay under one id; of rows alike in both one stays."""
+    rows = [(5, "one two three four five six seven", "en", "a"), (5, "red green blue black white pink grey", "en", "a"), (5, "one two three four five six seven", "en", "a")]
+    rows += [(None, "up down left right in out over", "en", "a"), (None, "red green blue black white pink grey", "en", "b"), (None, "up down left right in out over", "en", "a"), (None, None), (9, "")]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in _step(spark, "near_duplicates", docs(rows), sf_dir).collect())
+    assert got == [("5", "one two three four five six seven"), ("5", "red green blue black white pink grey"), ("9", ""), ("None", "up down left right in out over")]
+
+
+def test_clashing_names(spark, docs, sf_dir):
+    """Columns named like those that the stages use inside."""
+    names = ["__id", "__keep", "row", "ONE", "two", "kept1", "slot", "other1", "__slice", "__w", "turn", "key1", "goal", "start", "component_id", "least"]
+    d = docs([(k, "word%d and some more of it, plain as day. " % (k % 3) * 4, "en", "ab"[k % 2]) for k in range(12)])
+    for n in names:
+        d = d.withColumn(n, F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, sf_dir)
+        assert out.count() >= 0 and (name == "packing" or out.columns == d.columns), name
+
+
+def test_mixing_is_in_the_order_of_slots(spark, docs, sf_dir):
+    rows = [(k, " ".join("w%d" % (k * 50 + j) for j in range(400)), "en", "ab"[k % 2]) for k in range(80)]
+    got = [r["source"] for r in _step(spark, "mixing", docs(rows), sf_dir).collect()]
+    # a weighs 3 and b 1, and a stops at twice its size: 80 and 40 documents, even in each stretch.
+    assert got.count("a") >= 80 and 38 <= got.count("b") <= 42
+    for at in range(0, 100, 20):
+        assert 9 <= got[at : at + 20].count("a") <= 17
+
+
+def test_near_duplicates_against_all_pairs(spark, docs, sf_dir):
+    """The plain version: all pairs by the sets of five-word shingles, then components. Edits of up to two words are within the candidates."""
+    rng = random.Random(21)
+    words = ["w%d" % k for k in range(2000)]
+    rows = []
+    for g in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(400, 600))]
+        for _ in range(rng.randint(1, 4)):
+            t = list(base)
+            for _ in range(rng.randint(0, 2)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            rows.append((len(rows), " ".join(t), "en", "a"))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (r[1].split() for r in rows)]
+    top = list(range(len(rows)))
+
+    def root(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                top[max(root(a), root(b))] = min(root(a), root(b))
+    want = {root(k) for k in range(len(rows))}
+    assert {r["doc_id"] for r in _step(spark, "near_duplicates", docs(rows), sf_dir).collect()} == want

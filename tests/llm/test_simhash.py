@@ -4,7 +4,7 @@ import numpy as np
 from xxhash import xxh64_intdigest
 
 from quiverlake.llm.components import connected_components
-from quiverlake.llm.simhash import Forest, fingerprint, links, simhash_groups
+from quiverlake.llm.simhash import blocks_kept, Forest, fingerprint, links, simhash_groups
 
 
 def _plain(text):
@@ -90,3 +90,23 @@ def test_groups_against_all_pairs(spark, docs, odd_rows):
     want = [(i, f"{fp[t]:016x}", least.get(group[fp[t]])) for i, t, *_ in rows]
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert simhash_groups(docs([])).collect() == []
+
+
+def test_components_with_hubs_and_long_paths(spark):
+    """A hub with most of the edges, a path longer than any number of rounds that was ever fixed, and single edges."""
+    rng = random.Random(5)
+    edges = [(0, k) for k in range(1, 3000)] + [(k, 2999) for k in range(3000, 3100)]
+    path = list(range(10_000, 12_000))
+    edges += list(zip(path, path[1:], strict=False)) + [(20_000 + 2 * k, 20_001 + 2 * k) for k in range(50)]
+    name = {v: rng.getrandbits(60) for e in edges for v in e}
+    rng.shuffle(edges)
+    got = {r["u"]: r["v"] for r in connected_components(spark.createDataFrame([(name[a], name[b]) for a, b in edges], "u long, v long")).collect()}
+    groups = [list(range(3100)), path, *[[20_000 + 2 * k, 20_001 + 2 * k] for k in range(50)]]
+    want = {name[v]: min(name[w] for w in g) for g in groups for v in g}
+    assert got == {k: v for k, v in want.items() if k != v}
+
+
+def test_blocks_grow_with_the_corpus():
+    assert [blocks_kept(n, 2) for n in (0, 10**6, 10**12)] == [2, 2, 2]
+    kept = [blocks_kept(n, 8) for n in (10**4, 10**6, 10**8, 10**10)]
+    assert kept == sorted(kept) and kept[0] == 2 and kept[-1] > 3
