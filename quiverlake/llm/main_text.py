@@ -2,10 +2,10 @@
 
 A page is cut into flat blocks at block-level tags. A block has its number of
 words, its link density (linked words over words), the same two of the blocks
-before and behind it, and where it stands: within an element that by name or
-class is not article matter, within an article element, a heading. A decision
-tree, grown once from the small labelled table below, keeps or drops each
-block. Kept blocks stay whole and in page order.
+before and behind it, and where it stands: whether an element around it is named
+as something beside the article, for sure or perhaps, within an article element, a
+heading. A decision tree, grown once from the small labelled table below, keeps
+or drops each block. Kept blocks stay whole and in page order.
 
 Rows: null, empty and text-free pages give an empty text; a page that breaks
 off is read to its end. Repeated rows stay. Extra columns are not read. An
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # HTML element names by role.
-RAW = "script|style|noscript|template|title|textarea|iframe|svg|math|object|canvas|select|datalist"
+RAW = "script|style|noscript|template|title|textarea|iframe|svg|canvas|select|datalist"
 BLOCK = frozenset(
     "address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul video audio".split()
@@ -32,18 +32,21 @@ CONTAINER = frozenset(
 )
 BOILER_TAG = frozenset("aside button dialog fieldset footer form head header label menu nav".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words of class, id and role that name what is not article matter.
+# Words of class, id and role that name what is not article matter, and such as name it only alone.
 BOILER_WORD = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline captcha comment comments consent contentinfo cookie cookies copyright disclaimer"
-    " discuss disqus feedback footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination"
-    " paywall popup privacy promo promoted promotion ratings recommended related replies reply responses search share sharing sidebar signup sitemap skip social sponsor"
-    " sponsored subscribe subscription tags teaser toolbar topbar tracking widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs captcha comment comments consent contentinfo cookie cookies disqus footer gdpr"
+    " login masthead nav navbar navigation newsletter pager pagination paywall popup promo promoted share sharing sidebar signup sitemap social sponsor sponsored"
+    " subscribe subscription toolbar topbar widget widgets".split()
+)
+BOILER_ALONE = frozenset(
+    "banner byline copyright disclaimer discuss feedback form header hidden menu modal notice notices notification overlay privacy promotion ratings recommended"
+    " related replies reply responses search skip tags teaser tracking".split()
 )
 BOILER_START = ("advert", "breadcrumb", "comment", "cookie", "footer", "newsletter", "sidebar", "sponsor", "subscri")
 ARTICLE_WORD = frozenset("article articlebody content entry main maintext post story text".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|</?[a-z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-z][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<empty>svg)\b[^>]*/>|<(?P<raw>{RAW})\b[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|</?[a-z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-z][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -52,36 +55,61 @@ _WORDS = re.compile(r"[a-z0-9]+")
 _NOT_ITS_OWN = re.compile(r"\b(?:with|without|has|no)[-_]\w+")
 
 
-def _names(attributes: str) -> list[str]:
-    """Words of class, id and role, without those that only say what is beside the element."""
-    return [w for x in _NAMES.findall(attributes) for w in _WORDS.findall(_NOT_ITS_OWN.sub(" ", "".join(x).lower()))]
+def _names(attributes: str) -> list[list[str]]:
+    """The words of each class, id and role, without those that only say what is beside the element."""
+    return [_WORDS.findall(one) for x in _NAMES.findall(attributes) for one in _NOT_ITS_OWN.sub(" ", "".join(x).lower()).split()]
+
+
+def _name(names: list[list[str]], attributes: str) -> int:
+    """2: named as something beside the article, or hidden. 1: one word of several might say so. 0: neither."""
+    if _HIDDEN.search(attributes):
+        return 2
+    level = 0
+    for words in names:
+        sure = [w in BOILER_WORD or w.startswith(BOILER_START) for w in words]
+        maybe = [w in BOILER_ALONE for w in words]
+        if any(sure) or (words and all(maybe)):
+            return 2
+        level = max(level, int(any(maybe)))
+    return level
+
+
+FEATURES = ("words", "links", "words_before", "links_before", "words_behind", "links_behind", "name", "article", "heading")
+_TEXT, _LINKS = ((3, 0.0), (12, 0.0), (45, 0.05)), ((2, 1.0), (6, 0.9))
+
 
+def _case(label: int, words: tuple, links: tuple, before: tuple, behind: tuple, name: int, article: int, heading: int = 0) -> list[tuple]:
+    """Labelled blocks: each number of words with each link density between each two neighbours."""
+    return [(w, x, *a, *b, name, article, heading, label) for w in words for x in links for a in before for b in behind]
 
-def _off(names: list[str], attributes: str) -> bool:
-    return any(w in BOILER_WORD or w.startswith(BOILER_START) for w in names) or bool(_HIDDEN.search(attributes))
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_behind", "links_behind", "outside", "article", "heading")
 #: Labelled blocks: FEATURES, and whether the block is main text. Written for this table after common page layouts.
-LABELLED = (
-    # menus and link lists
-    (6, 1.0, 0, 0.0, 6, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 9, 0.0, 0, 0, 0, 0), (3, 0.9, 40, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (5, 1.0, 60, 0.0, 4, 1.0, 0, 1, 0, 0), (4, 1.0, 4, 1.0, 4, 1.0, 0, 1, 0, 0), (12, 0.8, 80, 0.0, 3, 1.0, 0, 1, 0, 0), (30, 0.95, 10, 0.5, 6, 0.3, 0, 0, 0, 0), (45, 0.7, 0, 0.0, 20, 0.0, 0, 1, 0, 0),
-    # adverts, notices, forms, comments, footers
-    (8, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0), (25, 0.1, 3, 1.0, 50, 0.0, 1, 0, 0, 0), (60, 0.0, 12, 0.0, 70, 0.0, 1, 0, 0, 0), (90, 0.02, 60, 0.0, 40, 0.0, 1, 1, 0, 0), (14, 0.0, 80, 0.0, 22, 0.0, 1, 1, 0, 0),
-    (18, 0.1, 75, 0.0, 0, 0.0, 1, 0, 0, 0), (5, 0.0, 5, 0.0, 5, 0.0, 1, 1, 0, 0), (40, 0.0, 5, 0.0, 33, 0.0, 1, 1, 0, 0), (6, 0.0, 40, 0.0, 0, 0.0, 1, 0, 1, 0), (3, 0.0, 70, 0.0, 20, 0.0, 1, 1, 1, 0), (150, 0.0, 90, 0.0, 80, 0.0, 1, 0, 0, 0),
-    (2, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (4, 0.0, 6, 1.0, 5, 1.0, 0, 0, 0, 0), (7, 0.2, 3, 1.0, 2, 0.5, 0, 0, 0, 0), (9, 0.0, 8, 0.0, 7, 0.0, 0, 0, 0, 0), (3, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0), (8, 0.4, 60, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (4, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0), (5, 0.0, 2, 0.5, 4, 0.0, 0, 0, 0, 0), (6, 0.0, 1, 1.0, 5, 0.0, 0, 0, 0, 0), (3, 0.0, 4, 0.0, 3, 0.0, 0, 0, 1, 0),
-    # article matter, in an article element
-    (80, 0.0, 60, 0.0, 70, 0.0, 0, 1, 0, 1), (40, 0.1, 12, 0.0, 30, 0.0, 0, 1, 0, 1), (1, 0.0, 50, 0.0, 1, 0.0, 0, 1, 0, 1), (2, 0.0, 1, 0.0, 0, 0.0, 0, 1, 0, 1), (9, 0.0, 8, 0.0, 60, 0.0, 0, 1, 1, 1),
-    (12, 0.0, 8, 0.0, 9, 0.0, 0, 1, 0, 1), (25, 0.3, 30, 0.0, 18, 0.0, 0, 1, 0, 1), (6, 0.0, 70, 0.0, 4, 0.0, 0, 1, 0, 1), (3, 0.0, 20, 0.0, 90, 0.0, 0, 1, 1, 1), (120, 0.05, 1, 1.0, 20, 1.0, 0, 1, 0, 1), (15, 0.4, 50, 0.0, 40, 0.0, 0, 1, 0, 1),
-    # article matter on pages without such an element
-    (55, 0.0, 45, 0.0, 60, 0.0, 0, 0, 0, 1), (30, 0.1, 6, 1.0, 40, 0.0, 0, 0, 0, 1), (20, 0.0, 70, 0.0, 8, 1.0, 0, 0, 0, 1), (6, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 1), (90, 0.2, 3, 1.0, 2, 1.0, 0, 0, 0, 1), (8, 0.0, 3, 1.0, 80, 0.0, 0, 0, 1, 1),
-    (10, 0.0, 40, 0.0, 55, 0.05, 0, 0, 0, 1), (250, 0.01, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (18, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 1),
-    (20, 0.0, 40, 0.0, 4, 0.0, 0, 0, 0, 1), (12, 0.0, 35, 0.0, 3, 0.0, 0, 0, 0, 1), (28, 0.0, 5, 0.0, 3, 0.5, 0, 0, 0, 1), (35, 0.1, 2, 1.0, 0, 0.0, 0, 0, 0, 1), (16, 0.0, 14, 0.0, 6, 1.0, 0, 0, 0, 1), (5, 0.0, 30, 0.0, 12, 0.0, 0, 0, 0, 1),
+LABELLED = tuple(
+    # in an article: paragraphs, list items and headings, of any length, at either end, and next to a link list
+    _case(1, (1, 4, 15, 60), (0.0, 0.1), ((0, 0.0), *_TEXT), ((0, 0.0), *_TEXT), 0, 1)
+    + _case(1, (1, 4, 15, 60), (0.0, 0.2), _LINKS, ((0, 0.0), *_TEXT), 0, 1) + _case(1, (1, 4, 15, 60), (0.0, 0.2), _TEXT, _LINKS, 0, 1)
+    + _case(1, (2, 8), (0.0,), ((0, 0.0), *_TEXT, *_LINKS), _TEXT, 0, 1, 1)
+    # a linked line is text where text is around it, and a list of links where links are; so is a label between links
+    + _case(1, (3, 9, 30), (0.8, 1.0), _TEXT[1:], _TEXT[1:], 0, 1) + _case(1, (9, 25), (0.4,), ((0, 0.0), *_TEXT), ((0, 0.0), *_TEXT), 0, 1)
+    + _case(0, (1, 4, 12, 30), (0.8, 1.0), _LINKS, (*_LINKS, *_TEXT, (0, 0.0)), 0, 1) + _case(0, (1, 4, 12, 30), (0.8, 1.0), (*_TEXT, (0, 0.0)), _LINKS, 0, 1)
+    + _case(0, (1, 3), (0.0,), _LINKS, _LINKS, 0, 1) + _case(1, (14, 40), (0.0, 0.1), _LINKS, _LINKS, 0, 1) + _case(0, (2, 5), (0.9,), ((0, 0.0), (45, 0.05)), ((0, 0.0),), 0, 1)
+    # in elements whose name might say so: text that reads on from the text around
+    + _case(1, (14, 30, 80), (0.0, 0.1), _TEXT, ((0, 0.0), *_TEXT), 1, 1) + _case(1, (40,), (0.0,), _TEXT[1:], _TEXT[1:], 1, 0)
+    + _case(0, (1, 3, 6), (0.0, 0.1), ((0, 0.0), *_TEXT), ((0, 0.0), *_TEXT), 1, 1) + _case(0, (3, 14, 30), (0.5, 0.9), _TEXT, (*_TEXT, *_LINKS), 1, 1)
+    + _case(0, (3, 16, 30), (0.0, 0.1), _LINKS, _LINKS, 1, 1) + _case(0, (3, 8), (0.0, 0.5), ((0, 0.0), *_LINKS), ((0, 0.0), *_TEXT), 1, 0)
+    # adverts, notices, forms, comments, footers, menus, named for sure
+    + _case(0, (1, 8, 40, 150), (0.0, 0.1, 1.0), (_TEXT[2], _LINKS[0]), (_TEXT[0], _TEXT[2], _LINKS[0]), 2, 1) + _case(0, (1, 8, 40, 150), (0.0, 1.0), ((0, 0.0), _TEXT[2]), (_TEXT[1], _LINKS[1]), 2, 0)
+    + _case(0, (3, 6), (0.0,), (_TEXT[2],), (_TEXT[1], (0, 0.0)), 2, 1, 1)
+    # on pages without an article element: long blocks, and short ones next to long unlinked ones
+    + _case(1, (20, 60, 250), (0.0, 0.2), ((0, 0.0), *_TEXT, *_LINKS), ((0, 0.0), *_TEXT, *_LINKS), 0, 0)
+    + _case(1, (3, 6, 12), (0.0, 0.1), (_TEXT[2], (25, 0.0)), ((0, 0.0), *_TEXT), 0, 0) + _case(1, (2, 8), (0.0,), ((0, 0.0), *_TEXT, *_LINKS), (_TEXT[2], (30, 0.0)), 0, 0, 1)
+    # and there: menus, labels, lines of a header or footer among short ones
+    + _case(0, (1, 4, 12, 30), (0.8, 1.0), ((0, 0.0), *_LINKS), (*_LINKS, *_TEXT[:2], (0, 0.0)), 0, 0) + _case(0, (1, 4), (0.9,), (_TEXT[2],), (*_LINKS, (0, 0.0)), 0, 0)
+    + _case(0, (2, 5, 8), (0.0, 0.3), ((0, 0.0), _TEXT[0], *_LINKS), ((0, 0.0), _TEXT[0], *_LINKS), 0, 0) + _case(0, (3,), (0.0,), (_TEXT[0], *_LINKS), (_TEXT[0], *_LINKS), 0, 0, 1)
 )
 
 
-def grow(rows: tuple, depth: int = 7) -> tuple:
+def grow(rows: tuple, depth: int = 12) -> tuple:
     """A decision tree by Gini impurity: (feature, limit, tree up to the limit, tree beyond), or a label."""
     ones = sum(r[-1] for r in rows)
     if depth == 0 or ones in (0, len(rows)):
@@ -115,20 +143,22 @@ def judge(features: tuple) -> int:
 
 
 def blocks(page: str) -> list[tuple]:
-    """(text, words, linked words, outside, article, heading) of each flat block that has text."""
+    """(text, words, linked words, name, article, heading) of each flat block that has text."""
     out: list[tuple] = []
-    stack: list[tuple[str, bool, bool, bool]] = []
+    # Open elements: tag, name, whether that is for sure, in an article, in an article's header.
+    stack: list[tuple[str, int, bool, bool, bool]] = []
     parts: list[str] = []
     linked: list[str] = []
-    in_link, heading = False, ""
-    outside = article = headed = own_off = False
+    in_link, heading, own = False, "", 0
+    level, sure, article, headed = 0, False, False, False
 
     def close():
         nonlocal parts, linked
         if parts:
             words = "".join(parts).split()
             if words:
-                out.append((" ".join(words), len(words), len("".join(linked).split()), outside or own_off or (headed and not heading), article, bool(heading)))
+                name = 2 if headed and not heading else max(level, own)
+                out.append((" ".join(words), len(words), len("".join(linked).split()), name, article, bool(heading)))
             parts, linked = [], []
 
     def text(piece: str):
@@ -145,8 +175,10 @@ def blocks(page: str) -> list[tuple]:
         at = m.end()
         tag = m["tag"]
         if not tag:
-            if m["raw"]:
-                parts.append(" ") if m["raw"].lower() in ("svg", "math") else close()
+            if m["empty"] or (m["raw"] and m["raw"].lower() == "svg"):
+                parts.append(" ")
+            elif m["raw"]:
+                close()
             continue
         tag = tag.lower()
         if tag == "a":
@@ -158,13 +190,13 @@ def blocks(page: str) -> list[tuple]:
             continue
         if tag in BLOCK or tag == "label":
             close()
-            in_link = own_off = False
+            in_link, own = False, 0
         if tag in HEADING:
             heading = "" if m["end"] else tag
         elif tag in BLOCK:
             heading = ""
         if tag not in CONTAINER:
-            own_off = tag in BLOCK and not m["end"] and bool(m["attr"]) and _off(_names(m["attr"]), m["attr"])
+            own = _name(_names(m["attr"]), m["attr"]) if tag in BLOCK and not m["end"] and m["attr"] else 0
             continue
         if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
@@ -173,15 +205,19 @@ def blocks(page: str) -> list[tuple]:
                     break
         else:
             names = _names(m["attr"])
-            main = tag in ("article", "main", "body")
-            if main:
-                off = bool(_HIDDEN.search(m["attr"])) or any(w.startswith("comment") for w in names)
+            words = [w for x in names for w in x]
+            if tag in ("article", "main", "body"):
+                # An article within a form, or within an element whose name might say something else, is an article.
+                off = 2 if _HIDDEN.search(m["attr"]) or any(w.startswith("comment") for w in words) else 0
+                here, sure_here = (2, True) if sure or off else (0, False)
             else:
-                off = tag in BOILER_TAG or _off(names, m["attr"])
-            main = main and tag != "body"
-            own = tag == "header" and any(t in ("article", "main") for t, *_ in stack)  # only its heading is the article's
-            stack.append((tag, outside or (off and not own), article or main or any(w in ARTICLE_WORD for w in names), headed or own))
-        outside, article, headed = stack[-1][1:] if stack else (False, False, False)
+                mine = 2 if tag in BOILER_TAG else _name(names, m["attr"])
+                head = tag == "header" and any(t in ("article", "main") for t, *_ in stack)  # only its heading is the article's
+                here = level if head else max(level, mine)
+                sure_here = sure or (mine == 2 and tag != "form" and not head)
+            inside = article or tag in ("article", "main") or any(w in ARTICLE_WORD for w in words)
+            stack.append((tag, here, sure_here, inside, headed or (tag == "header" and any(t in ("article", "main") for t, *_ in stack))))
+        level, sure, article, headed = stack[-1][1:] if stack else (0, False, False, False)
     text(page[at:])
     close()
     return out
