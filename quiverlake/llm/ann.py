@@ -17,8 +17,8 @@ about ``block`` entries; a task keeps one block and streams the queries that
 probe it. The driver holds the sample, the centroids and the count of each cell.
 
 Rows: vectors that are null, zero, or have null or non-finite components take
-no part, nor do those whose length is not the most frequent one. Rows with null
-id take no part. Ties go to the smaller id. A repeated id with the same vector
+no part. Vectors of different lengths are no neighbours. Rows with null id take
+no part. Ties go to the smaller id. A repeated id with the same vector
 counts once. Extra columns are not read. An empty table gives an empty result.
 """
 
@@ -34,6 +34,10 @@ from pyspark.sql.window import Window
 from quiverlake.llm._common import cut_lineage
 
 
+#: Coarse cells at most: what a driver and its executors hold of centroids. Cells grow with the root of the vectors up to this and to a tenth of the sample.
+MOST_CELLS = 65_536
+#: Lengths of query vectors at most.
+MOST_DIMS = 16
 #: More than the rounding of a product of unit vectors.
 ROUNDING = 1e-9
 
@@ -75,10 +79,10 @@ class IvfPq:
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
     @classmethod
-    def fit(cls, vectors: np.ndarray, total: int, parts: int = 16, codes: int = 256, seed: int = 11, k: int = 5) -> IvfPq:
+    def fit(cls, vectors: np.ndarray, total: int, parts: int = 16, codes: int = 256, seed: int = 11, k: int = 5, exact: bool = False) -> IvfPq:
         rng = np.random.default_rng(seed)
         x = cls.unit(vectors.astype(np.float64))
-        cells = 1 if total < 512 else min(1024, max(2, int(total**0.5) // 4), len(x))
+        cells = 1 if total < 512 else max(2, min(int(total**0.5) // 4, len(x) // 10, MOST_CELLS))
         centroids = _kmeans(x, cells, 10, rng)
         own = _nearest(x, centroids)
         dim = x.shape[1]
@@ -93,7 +97,7 @@ class IvfPq:
         rank = np.argsort(np.argsort(_distance(ask, centroids), axis=1), axis=1)
         found = np.sort(np.take_along_axis(rank, own[best], axis=1).ravel())
         probes = int(found[max(0, int(np.ceil(0.995 * found.size)) - 1)]) + 1
-        return cls(centroids, books, min(cells, probes))
+        return cls(centroids, books, cells if exact else min(cells, probes))
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell and residual code of each unit vector."""
@@ -118,8 +122,16 @@ class IvfPq:
 
 
 def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Cosine in double precision; equal rows give equal bits."""
-    return (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
+    """Cosine in double precision; equal rows give equal bits. Where sums of squares leave the range of doubles, vectors are scaled first."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore", divide="ignore"):
+        squares, own = (vectors * vectors).sum(axis=1), (query * query).sum()
+        out = (vectors * query).sum(axis=1) / (np.sqrt(squares) * np.sqrt(own))
+    far = (squares > 1e150) | (squares < 1e-150) | (own > 1e150) | (own < 1e-150)
+    if far.any():
+        scaled = vectors[far] / np.abs(vectors[far]).max(axis=1, keepdims=True)
+        asked = query / np.abs(query).max()
+        out[far] = (scaled * asked).sum(axis=1) / (np.sqrt((scaled * scaled).sum(axis=1)) * np.sqrt((asked * asked).sum()))
+    return out
 
 
 def survivors(rough: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
@@ -141,16 +153,29 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 def nearest(
     df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-    sample: int = 20_000, parts: int = 16, block: int = 4096,
+    sample: int = 20_000, parts: int = 16, block: int = 4096, exact: bool = False,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest other rows of each query row."""
+    """(query_id, rank, vec_id, score): the k nearest other rows of each query row. ``exact``: all cells are probed, so that nothing is missed.
+
+    Cells are as many as a tenth of the sample at most, so a larger corpus wants a larger ``sample``.
+    Vectors meet only queries of their own length; each length that queries have is an index of its own.
+    """
     raw = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     raw = raw.filter(F.col("id").isNotNull() & _usable(F.col("v"))).withColumn("dim", F.size("v"))
-    common = raw.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
     schema = f"query_id {df.schema[id_col].dataType.simpleString()}, rank int, vec_id {df.schema[id_col].dataType.simpleString()}, score double"
-    if common is None:
-        return df.sparkSession.createDataFrame([], schema)
-    dim, rows = common["dim"], raw.filter(F.col("dim") == common["dim"]).select("id", "v", "q")
+    dims = [r[0] for r in raw.filter("q").groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(MOST_DIMS + 1).collect()]
+    if len(dims) > MOST_DIMS:
+        raise ValueError(f"queries of more than {MOST_DIMS} lengths")
+    out = df.sparkSession.createDataFrame([], schema)
+    for k_dim, dim in enumerate(dims):
+        one = _nearest_of(raw.filter(F.col("dim") == dim).select("id", "v", "q"), dim, k, sample, parts, block, exact)
+        out = one if k_dim == 0 else out.unionByName(one)
+    return out
+
+
+def _nearest_of(rows: DataFrame, dim: int, k: int, sample: int, parts: int, block: int, exact: bool) -> DataFrame:
+    """``nearest`` for (id, v, q) rows whose vectors have ``dim`` components."""
+    id_type = rows.schema["id"].dataType.simpleString()
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1)
     classes = first.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()))
@@ -158,7 +183,7 @@ def nearest(
     share = min(1.0, sample / total)
     pick = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     some = classes.filter(pick).select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample).select("v") if total > sample else classes.select("v")
-    model = IvfPq.fit(np.array([r[0] for r in some.collect()]), total, parts, k=k)
+    model = IvfPq.fit(np.array([r[0] for r in some.collect()]), total, parts, k=k, exact=exact)
 
     def index(batches):
         import pyarrow as pa
@@ -177,7 +202,6 @@ def nearest(
                 take = pa.array(np.repeat(np.arange(len(cells)), cells.shape[1]))
                 yield pa.RecordBatch.from_arrays([b.column("cid").take(take), b.column("v").take(take), pa.array(cells.ravel().astype(np.int32))], names=["cid", "v", "cell"])
 
-    id_type = df.schema[id_col].dataType.simpleString()
     entries = cut_lineage(classes.select("cid", "ids", "v").mapInArrow(index, f"cid long, ids array<{id_type}>, v array<double>, cell int, code binary, off double"))
     blocks = {r[0]: -(-r[1] // block) for r in entries.groupBy("cell").count().collect()}
     many = F.element_at(F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]), F.col("cell"))

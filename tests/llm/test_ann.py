@@ -89,3 +89,29 @@ def test_codes_approximate_residuals():
     table = model.table(x[:3])
     rough = (x[:3] @ model.centroids[own].T) + sum(table[:, p][:, codes[:, p]] for p in range(parts))
     assert np.abs(rough - x[:3] @ back.T).max() < 1e-9
+
+
+def test_exact_switch(spark):
+    """With all cells probed every neighbour is found, on vectors for which few probes miss some."""
+    rng = np.random.default_rng(10)
+    rows = [(k, rng.normal(size=24).tolist()) for k in range(3000)]
+    want, got = _exact(rows, 50), {}
+    for r in sorted(nearest(_frame(spark, rows), F.col("vec_id") % 50 == 0, exact=True).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i, _ in best] for q, best in want.items()}
+
+
+def test_cells_grow_with_the_sample():
+    x = np.random.default_rng(1).normal(size=(3000, 8))
+    assert [len(IvfPq.fit(x, n, parts=4, codes=16).centroids) for n in (100, 3000, 10**6, 10**9)] == [1, 13, 250, 300]
+
+
+def test_cosines_of_extreme_vectors():
+    q, x = np.array([1e200, 1e200]), np.array([[1e200, 0.0], [3e-200, 3e-200], [2.0, 2.0]])
+    assert np.allclose(cosines(q, x), [0.5**0.5, 1.0, 1.0])
+
+
+def test_lengths_are_apart(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 0.2, 0.0]), (52, [1.0])]
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in nearest(_frame(spark, rows), F.col("vec_id") % 50 == 0, k=1).collect()]
+    assert sorted(got) == [(0, 1, 1), (50, 1, 51)]
