@@ -11,7 +11,7 @@ from quiverlake.llm._common import read
 from quiverlake.llm.ann import nearest
 from quiverlake.llm.fingerprints import fingerprint_edits
 from quiverlake.llm.language import fit_language, predict_language
-from quiverlake.llm.licenses import ANCHORS, TEMPLATES, WORDS, scan
+from quiverlake.llm.licenses import ANCHORS, LAST, TEMPLATES, WORDS, scan
 from quiverlake.llm.main_text import extract_main_text
 from quiverlake.llm.mixing import mix, words_taken
 from quiverlake.llm.packing import pack_documents
@@ -40,11 +40,17 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths: a folder for each source and hundred ids; the document that opens a hundred is the folder's license file."""
-    block = F.floor(F.col("doc_id") / 100).cast("string")
-    name = F.when(F.pmod("doc_id", F.lit(100)) == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), block, F.lit("/"), name)
-    return scan(read(spark, sf_dir, "documents"), "doc_id", path)
+    """Paths three folders deep and deeper: source, thousand, hundred, and one more for two in three documents.
+
+    The document that opens a thousand or a hundred is the license file of that folder.
+    """
+    i = F.col("doc_id")
+    part = lambda c: F.floor(c).cast("string")
+    thousand = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), part(i / 1000))
+    hundred = F.concat(thousand, F.lit("/"), part(i / 100))
+    deep = F.when(F.pmod(i, F.lit(3)) > 0, F.concat(F.lit("/d"), F.pmod(i, F.lit(7)).cast("string"))).otherwise(F.lit(""))
+    path = F.when(F.pmod(i, F.lit(1000)) == 0, F.concat(thousand, F.lit("/LICENSE"))).when(F.pmod(i, F.lit(100)) == 0, F.concat(hundred, F.lit("/LICENSE")))
+    return scan(read(spark, sf_dir, "documents"), "doc_id", path.otherwise(F.concat(hundred, deep, F.lit("/"), i.cast("string"), F.lit(".txt"))))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,36 +91,42 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+_ANCHORED = f"regexp_matches(lower(line), '{ANCHORS}')"
 _OP5_SQL = f"""
-with files as (
-  select doc_id, text, '/' || coalesce(source, 'none') || '/' || cast(doc_id // 100 as varchar) || '/'
-    || case when doc_id % 100 = 0 then 'LICENSE' else cast(doc_id as varchar) || '.txt' end as path
-  from documents),
-lines as (
-  select distinct doc_id, path, generate_subscripts(l, 1) as pos, unnest(l) as line
-  from (select doc_id, path, string_split(replace(text, '. ', '.' || chr(10)), chr(10)) as l from files where regexp_matches(lower(text), '{ANCHORS}'))),
-passages as (select doc_id, path, pos, line, regexp_extract_all(lower(line), '{WORDS}') as words from lines where regexp_matches(lower(line), '{ANCHORS}')),
-counted as (select doc_id, path, pos, word, count(*) as tf from (select doc_id, path, pos, unnest(words) as word from passages) group by all),
+with named as (select doc_id, text, '/' || coalesce(source, 'none') || '/' || (doc_id // 1000) as thousand, '/' || (doc_id // 100) as hundred from documents),
+files as (
+  select doc_id, text, case when doc_id % 1000 = 0 then thousand || '/LICENSE' when doc_id % 100 = 0 then thousand || hundred || '/LICENSE'
+    else thousand || hundred || case when doc_id % 3 > 0 then '/d' || (doc_id % 7) else '' end || '/' || doc_id || '.txt' end as path
+  from named),
+held as (select * from files where regexp_matches(lower(text), '{ANCHORS}')),
+pieces as (
+  select doc_id, path, 0 as kind, generate_subscripts(l, 1) as pos, unnest(l) as line from (select doc_id, path, string_split(replace(text, '. ', '.' || chr(10)), chr(10)) as l from held)
+  union all select doc_id, path, 1, pos, line from (select doc_id, path, generate_subscripts(l, 1) as pos, unnest(l) as line from (select doc_id, path, string_split(text, chr(10) || chr(10)) as l from held)) where contains(line, chr(10))
+  union all select doc_id, path, 2, 1, text from held),
+passages as (select distinct doc_id, path, kind, pos, line, regexp_extract_all(lower(line), '{WORDS}') as words from pieces where {_ANCHORED}),
+counted as (select doc_id, path, kind, pos, line, word, count(*) as tf from (select doc_id, path, kind, pos, line, unnest(words) as word from passages) group by all),
 total as (select count(*) as n from passages),
 frequency as (select word, count(*) as df from counted group by word),
 templates(template, license, notice) as (values {", ".join(f"({k}, {_literal(a)}, {_literal(b)})" for k, (a, b) in enumerate(TEMPLATES))}),
 terms as (
-  select template, license, t.word, t.tf * (ln((1.0::double + n) / (1.0 + coalesce(df, 0))) + 1.0) as w
+  select template, license, t.word, t.tf, t.tf * (ln((1.0::double + n) / (1.0 + coalesce(df, 0))) + 1.0) as w
   from (select template, license, word, count(*) as tf from (select template, license, unnest(regexp_extract_all(lower(notice), '{WORDS}')) as word from templates) group by all) t
   left join frequency f on f.word = t.word, total),
-unit as (select template, license, word, w / sqrt(sum(w * w) over (partition by template)) as tw from terms),
+unit as (select template, license, word, sum(tf) over (partition by template) as t_words, w / sqrt(sum(w * w) over (partition by template)) as tw from terms),
 weighed as (
-  select doc_id, path, pos, c.word, w, sqrt(sum(w * w) over (partition by doc_id, path, pos)) as norm
-  from (select doc_id, path, pos, c.word, tf * (ln((1.0::double + n) / (1.0 + df)) + 1.0) as w from counted c join frequency f on f.word = c.word, total) c),
-scored as (select doc_id, path, license, round(sum(w * tw) / max(norm), 6) as score from weighed p join unit u on u.word = p.word group by doc_id, path, pos, template, license),
+  select doc_id, path, kind, pos, line, word, w, sqrt(sum(w * w) over (partition by doc_id, path, kind, pos, line)) as norm
+  from (select c.*, tf * (ln((1.0::double + n) / (1.0 + df)) + 1.0) as w from counted c join frequency f on f.word = c.word, total)),
+scored as (select doc_id, path, license, t_words, round(sum(w * tw) / max(norm), 6) as score from weighed p join unit u on u.word = p.word group by doc_id, path, kind, pos, line, template, license, t_words),
 own as (
   select doc_id, path, license, score from (
-    select *, row_number() over (partition by doc_id, path order by score desc, license) as n from (select doc_id, path, license, max(score) as score from scored where score >= 0.6 group by all))
+    select *, row_number() over (partition by doc_id, path order by license = '{LAST}', score desc, t_words desc, license) as n from (select doc_id, path, license, t_words, max(score) as score from scored where score >= 0.6 group by all))
   where n = 1),
-licensed as (select regexp_replace(path, '/?[^/]*$', '') as folder, arg_max(license, (score, license)) as license from own where path like '%/LICENSE' group by 1)
+licensed as (select regexp_replace(path, '/?[^/]*$', '') as above, arg_max(license, (score, license)) as license from own where path like '%/LICENSE' group by 1),
+up as (select folder, unnest(range(1, len(parts) + 1)) as depth, parts from (select distinct regexp_replace(path, '/?[^/]*$', '') as folder, string_split(regexp_replace(path, '/?[^/]*$', ''), '/') as parts from files)),
+nearest as (select folder, arg_max(l.above, depth) as above, arg_max(l.license, depth) as license from up join licensed l on l.above = array_to_string(parts[1:depth], '/') group by folder)
 select f.doc_id, f.path, o.license as own_license, o.score as own_score, coalesce(o.license, b.license) as license,
-  case when o.license is null then b.folder end as license_from
-from files f left join own o on o.doc_id = f.doc_id and o.path = f.path left join licensed b on b.folder = regexp_replace(f.path, '/?[^/]*$', '')
+  case when o.license is null then b.above end as license_from
+from files f left join own o on o.doc_id = f.doc_id and o.path = f.path left join nearest b on b.folder = regexp_replace(f.path, '/?[^/]*$', '')
 """
 
 #: DuckDB SQL of those that SQL can express on whole tables.

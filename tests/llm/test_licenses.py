@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +43,25 @@ def test_prose_has_no_license(spark):
     assert file_licenses(spark.createDataFrame(rows, "id long, path string, text string")).collect() == []
 
 
+def _wrapped(text, width=70):
+    return "\n".join(textwrap.wrap(text, width))
+
+
+def test_whole_licenses_and_wrapped_headers(spark):
+    """License files with their copyright lines, and headers over several lines; the shared clauses of BSD do not tell them apart, the third does."""
+    text = {}
+    for name, notice in TEMPLATES:
+        text[name] = max(text.get(name, ""), notice, key=len)
+    own = "Copyright (c) 2020 Some Body. All rights reserved.\n\n"
+    rows = [(k, f"/{k}/LICENSE", own + _wrapped(text[n])) for k, n in enumerate(("BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "0BSD", "Zlib"))]
+    headers = [("GPL-3.0", 10), ("AGPL-3.0", 11), ("LGPL-3.0", 12), ("Apache-2.0", 13), ("MPL-2.0", 14), ("GPL-2.0", 15)]
+    rows += [(k, f"/{k}/x.c", "A program that does things.\n\n" + _wrapped(text[n], 40) + "\n\nAnd then its code, in many more words that have nothing to do with it. " * 20) for n, k in headers]
+    rows += [(20, "/20", "Copyright (c) 2021 Some Body. All rights reserved.\nCode of it.")]
+    got = {r["id"]: r["license"] for r in file_licenses(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    want = {0: "BSD-2-Clause", 1: "BSD-3-Clause", 2: "MIT", 3: "ISC", 4: "0BSD", 5: "Zlib", 20: "Proprietary"} | {k: n for n, k in headers}
+    assert got == want
+
+
 def test_against_sql(spark, sf_dir):
     got = QUERIES["op5_licenses"](spark, sf_dir)
     con = duckdb.connect()
