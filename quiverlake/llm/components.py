@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quiverlake.llm._common import remove, stored
 
 #: A node with more edges than this, and than a five thousandth of all, is a hub.
-HUB, SHARE = 1000, 5000
+HUB, SHARE = 100_000, 5000
 
 
 def _mark(edges: DataFrame) -> tuple:

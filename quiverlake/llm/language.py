@@ -179,10 +179,12 @@ def fit_language(
     drawn = drawn.orderBy("h", "label").limit(2 * most_rows).collect()
     place = {v: k for k, v in enumerate(labels)}
     sample = []
-    for r in sorted(drawn, key=lambda r: (r["h"], r["label"], bytes(r["index"]))):
-        index, counts = np.frombuffer(r["index"], np.int32), np.frombuffer(r["counts"], np.int32)
+    drawn.sort(key=lambda r: (r["h"], r["label"], bytes(r["index"])), reverse=True)
+    while drawn:  # what has been read is let go
+        r = drawn.pop()
+        index, counts = np.frombuffer(r["index"], np.int32).copy(), np.frombuffer(r["counts"], np.int32)
         if index.size:
-            sample.append((index, weigh(index, counts, idf), place[r["label"]]))
+            sample.append((index, weigh(index, counts, idf).astype(np.float32), place[r["label"]]))
     apart = [s for k, s in enumerate(sample) if k % 5 == 4]
     learn = [s for k, s in enumerate(sample) if k % 5 != 4] or sample
     model = Ftrl(1 << BITS, len(labels))

@@ -72,35 +72,35 @@ def _set(raw: bytes) -> np.ndarray:
 
 def _to_pivots(sets: DataFrame, least: float) -> DataFrame:
     """(u, v): links of classes to the pivots of their group."""
-    first = Window.partitionBy("root").orderBy(F.xxhash64("key"), "key")
+    first = Window.partitionBy("root").orderBy(F.xxhash64("num"), "num")
     pivots = sets.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= PIVOTS)
-    pivots = cut_lineage(pivots.groupBy("root").agg(F.collect_list(F.struct("key", "shingles")).alias("pivots")))
+    pivots = cut_lineage(pivots.groupBy("root").agg(F.collect_list(F.struct("num", "shingles")).alias("pivots")))
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             u, v = [], []
-            for key, raw, pivots in zip(*(b.column(c).to_pylist() for c in ("key", "shingles", "pivots")), strict=True):
+            for num, raw, pivots in zip(*(b.column(c).to_pylist() for c in ("num", "shingles", "pivots")), strict=True):
                 mine = _set(raw)
                 others = [_set(p["shingles"]) for p in pivots]
                 for k in np.flatnonzero(similar(mine, others, inverted(others), least)).tolist():
-                    u.append(key)
-                    v.append(pivots[k]["key"])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+                    u.append(num)
+                    v.append(pivots[k]["num"])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return sets.join(pivots, "root").select("key", "shingles", "pivots").mapInArrow(run, "u binary, v binary")
+    return sets.join(pivots, "root").select("num", "shingles", "pivots").mapInArrow(run, "u long, v long")
 
 
 def _to_all(sets: DataFrame, parts: DataFrame, least: float) -> DataFrame:
     """(u, v): links between classes outside their group's largest part and all of the group, one a part and slice."""
-    named = cut_lineage(sets.join(parts.select(F.col("u").alias("key"), F.col("v").alias("part")), "key", "left").withColumn("part", F.coalesce("part", "key")))
+    named = cut_lineage(sets.join(parts.select(F.col("u").alias("num"), F.col("v").alias("part")), "num", "left").withColumn("part", F.coalesce("part", "num")))
     sizes = named.groupBy("root", "part").agg(F.count("*").alias("n"))
     groups = sizes.groupBy("root").agg(F.sum("n").alias("all"), F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("main"))
     open_groups = cut_lineage(groups.filter("parts > 1").select("root", "main", F.ceil(F.col("all") / SLICE).cast("int").alias("slices")))
     met = named.join(open_groups, "root")
-    own = met.select("root", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int").alias("slice"), F.lit(0).alias("kind"), "key", "part", "shingles")
-    rest = met.filter("part <> main").select("root", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("kind"), "key", "part", "shingles")
+    own = met.select("root", F.pmod(F.xxhash64("num"), F.col("slices")).cast("int").alias("slice"), F.lit(0).alias("kind"), "num", "part", "shingles")
+    rest = met.filter("part <> main").select("root", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("kind"), "num", "part", "shingles")
     dealt = own.unionByName(rest).repartition("root", "slice").sortWithinPartitions("root", "slice", "kind")
 
     def run(batches):
@@ -109,11 +109,11 @@ def _to_all(sets: DataFrame, parts: DataFrame, least: float) -> DataFrame:
         at, held, ready = None, [], None
         for b in batches:
             u, v = [], []
-            for root, part, kind, key, own_part, raw in zip(*(b.column(c).to_pylist() for c in ("root", "slice", "kind", "key", "part", "shingles")), strict=True):
+            for root, part, kind, num, own_part, raw in zip(*(b.column(c).to_pylist() for c in ("root", "slice", "kind", "num", "part", "shingles")), strict=True):
                 if (root, part) != at:
                     at, held, ready = (root, part), [], None
                 if kind == 0:
-                    held.append((key, own_part, _set(raw)))
+                    held.append((num, own_part, _set(raw)))
                     continue
                 if not held:
                     continue
@@ -124,11 +124,11 @@ def _to_all(sets: DataFrame, parts: DataFrame, least: float) -> DataFrame:
                 for k in np.flatnonzero(similar(_set(raw), *ready, least)).tolist():
                     if held[k][1] not in reached:
                         reached.add(held[k][1])
-                        u.append(key)
+                        u.append(num)
                         v.append(held[k][0])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return dealt.mapInArrow(run, "u binary, v binary")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, least: float = 0.8, words: int = 5) -> DataFrame:
@@ -151,7 +151,7 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         for b in batches:
             sets = [shingles(t.as_py(), words).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("root"), b.column("key"), pa.array(sets, pa.binary())], names=["root", "key", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("root"), b.column("num"), pa.array(sets, pa.binary())], names=["root", "num", "shingles"])
 
     rows = cut_lineage(texts.mapInArrow(mark, f"id {id_type}, fp long, key binary"))
     classes = cut_lineage(rows.groupBy("key", "fp").agg(F.min("id").alias("least")))
@@ -159,18 +159,19 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = classes.join(whole.select("key", "first"), "key").filter("fp <> first").select(F.col("fp").alias("u"), F.col("first").alias("v"))
     roots = connected_components(links(classes.select("fp").distinct(), radius).unionByName(same))
     group = whole.join(roots.select(F.col("u").alias("first"), F.col("v").alias("root")), "first", "left")
-    group = cut_lineage(group.select("key", "least", F.coalesce("root", "first").alias("root")))
+    # A class goes by a number from here on, as long as the table that gives it is stored.
+    group = cut_lineage(group.select(F.monotonically_increasing_id().alias("num"), "key", "least", F.coalesce("root", "first").alias("root")))
     several = group.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
     wanted = cut_lineage(group.join(several, "root"))
     # A class's text is that of a row with its smallest id. Only ids meet texts, so that a class of many rows is no heavy key.
     ids = wanted.select("least").distinct()
     found = texts.join(ids, F.col("id").eqNullSafe(F.col("least")), "left_semi").mapInArrow(_keyed(words), f"id {id_type}, key binary, text binary")
-    sets = found.dropDuplicates(["key"]).join(wanted.select("root", "key"), "key").select("root", "key", "text").mapInArrow(read, "root long, key binary, shingles binary")
+    sets = found.dropDuplicates(["key"]).join(wanted.select("root", "num", "key"), "key").select("root", "num", "text").mapInArrow(read, "root long, num long, shingles binary")
     sets = cut_lineage(sets)
     near = cut_lineage(_to_pivots(sets, least))
     parts = connected_components(near)
     merged = connected_components(near.unionByName(_to_all(sets, parts, least)))
-    named = group.join(merged.select(F.col("u").alias("key"), F.col("v").alias("top")), "key", "left").select("key", "least", F.coalesce("top", "key").alias("top"))
+    named = group.join(merged.select(F.col("u").alias("num"), F.col("v").alias("top")), "num", "left").select("key", "least", F.coalesce("top", "num").alias("top"))
     named = cut_lineage(named)
     component = named.groupBy("top").agg(F.min("least").alias("component_id"))
     chosen = cut_lineage(named.join(component, "top").select("key", "component_id"))

@@ -218,7 +218,7 @@ def featurise(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _unpack(index: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(index, np.uint16).astype(np.int64), np.frombuffer(x, np.float16).astype(np.float32)
+    return np.frombuffer(index, np.uint16), np.frombuffer(x, np.float16).astype(np.float32)
 
 
 def fit_quality(features: DataFrame, most_rows: int = 8000) -> QualityModel:
@@ -231,7 +231,9 @@ def fit_quality(features: DataFrame, most_rows: int = 8000) -> QualityModel:
     # Rows alike fall to one place: however many there are, the driver gets no more than twice the bound.
     drawn = features.filter(pick).withColumn("place", place).orderBy("place", "id").limit(2 * most_rows).collect()
     good = {p: labels.of(p) for p in patterns}
-    weights, bias = train([(*_unpack(r["index"], r["x"]), good[r["votes"]]) for r in drawn])
+    sample = [(*_unpack(r["index"], r["x"]), good[r["votes"]]) for r in drawn]
+    del drawn
+    weights, bias = train(sample)
     return QualityModel(labels, weights, bias)
 
 
