@@ -93,6 +93,19 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
+def _counts(words: Column) -> Column:
+    """(word, tf) of each distinct word, by runs of the sorted words."""
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        heads = F.filter(F.sequence(F.lit(1), n), lambda p: (p == 1) | (F.get(s, p - 1) != F.get(s, p - 2)))
+        one = lambda heads: F.transform(heads, lambda at, k: F.struct(F.get(s, at - 1).alias("word"), (F.coalesce(F.get(heads, k + 1), n + 1) - at).alias("tf")))
+        return F.when(n == 0, F.array().cast("array<struct<word:string,tf:int>>")).otherwise(let(heads, one))
+
+    return let(F.sort_array(words), runs)
+
+
 def file_licenses(files: DataFrame, least: float = 0.6) -> DataFrame:
     """(id, path, license, score) of the files (id, path, text) with a license of their own."""
     spark = files.sparkSession
@@ -102,10 +115,11 @@ def file_licenses(files: DataFrame, least: float = 0.6) -> DataFrame:
     paragraphs = F.filter(F.split("text", "\n\n"), lambda p: F.contains(p, F.lit("\n")))
     numbered = lambda texts, kind: F.transform(texts, lambda t, k: F.struct(F.lit(kind).alias("kind"), k.alias("pos"), t.alias("line")))
     kinds = F.array(*[numbered(texts, kind) for kind, texts in enumerate((lines, paragraphs, F.array("text")))])
-    each = files.filter(has).select("id", "path", F.explode(F.filter(F.flatten(kinds), lambda p: anchored(p["line"]))).alias("p"))
-    passages = cut_lineage(each.select("id", "path", "p.kind", "p.pos", F.xxhash64("p.line").alias("same"), _words(F.col("p.line")).alias("words")).distinct())
-    key = ["id", "path", "kind", "pos", "same"]
-    counted = passages.select(*key, F.explode("words").alias("word")).groupBy(*key, "word").agg(F.count("*").alias("tf"))
+    once = files.filter(has).select("id", "path", "text").dropDuplicates(["id", "path", "text"])
+    each = once.select("id", "path", F.explode(F.filter(F.flatten(kinds), lambda p: anchored(p["line"]))).alias("p"))
+    # A passage goes by a number, as long as the table that gives it is stored; its words are counted in its own row.
+    passages = cut_lineage(each.select(F.monotonically_increasing_id().alias("num"), "id", "path", _counts(_words(F.col("p.line"))).alias("counts")))
+    counted = passages.select("num", F.explode("counts").alias("c")).select("num", "c.word", "c.tf")
     n = passages.count()
     frequency = cut_lineage(counted.groupBy("word").agg(F.count("*").alias("df")))
     idf = lambda df: F.log(F.lit(1.0 + n) / (1.0 + F.coalesce(df, F.lit(0)))) + 1.0
@@ -118,9 +132,11 @@ def file_licenses(files: DataFrame, least: float = 0.6) -> DataFrame:
     met = counted.join(F.broadcast(frequency.where(often).withColumnRenamed("df", "df_often")), "word", "left")
     seldom = met.where("df_often is null").drop("df_often").join(frequency.where(~often), "word")
     weighed = met.where("df_often is not null").withColumnRenamed("df_often", "df").unionByName(seldom).withColumn("w", F.col("tf") * idf(F.col("df")))
-    size = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(terms), "word").groupBy(*key, "template", "license", "t_words").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
-    scored = dots.join(size, key).select("id", "path", "license", "t_words", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= least)
+    size = weighed.groupBy("num").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(F.broadcast(terms), "word").groupBy("num", "template").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
+    near = dots.join(size, "num").select("num", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= least)
+    names = F.broadcast(terms.select("template", "license", "t_words").distinct())
+    scored = near.join(names, "template").join(passages.select("num", "id", "path"), "num")
     best = scored.groupBy("id", "path", "license", "t_words").agg(F.max("score").alias("score"))
     first = Window.partitionBy("id", "path").orderBy(F.col("license") == LAST, F.desc("score"), F.desc("t_words"), "license")
     return best.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "t_words")

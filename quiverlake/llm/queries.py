@@ -98,13 +98,13 @@ files as (
   select doc_id, text, case when doc_id % 1000 = 0 then thousand || '/LICENSE' when doc_id % 100 = 0 then thousand || hundred || '/LICENSE'
     else thousand || hundred || case when doc_id % 3 > 0 then '/d' || (doc_id % 7) else '' end || '/' || doc_id || '.txt' end as path
   from named),
-held as (select * from files where regexp_matches(lower(text), '{ANCHORS}')),
+held as (select distinct * from files where regexp_matches(lower(text), '{ANCHORS}')),
 pieces as (
   select doc_id, path, 0 as kind, generate_subscripts(l, 1) as pos, unnest(l) as line from (select doc_id, path, string_split(replace(text, '. ', '.' || chr(10)), chr(10)) as l from held)
   union all select doc_id, path, 1, pos, line from (select doc_id, path, generate_subscripts(l, 1) as pos, unnest(l) as line from (select doc_id, path, string_split(text, chr(10) || chr(10)) as l from held)) where contains(line, chr(10))
   union all select doc_id, path, 2, 1, text from held),
-passages as (select distinct doc_id, path, kind, pos, line, regexp_extract_all(lower(line), '{WORDS}') as words from pieces where {_ANCHORED}),
-counted as (select doc_id, path, kind, pos, line, word, count(*) as tf from (select doc_id, path, kind, pos, line, unnest(words) as word from passages) group by all),
+passages as (select row_number() over () as num, doc_id, path, regexp_extract_all(lower(line), '{WORDS}') as words from pieces where {_ANCHORED}),
+counted as (select num, doc_id, path, word, count(*) as tf from (select num, doc_id, path, unnest(words) as word from passages) group by all),
 total as (select count(*) as n from passages),
 frequency as (select word, count(*) as df from counted group by word),
 templates(template, license, notice) as (values {", ".join(f"({k}, {_literal(a)}, {_literal(b)})" for k, (a, b) in enumerate(TEMPLATES))}),
@@ -114,9 +114,9 @@ terms as (
   left join frequency f on f.word = t.word, total),
 unit as (select template, license, word, sum(tf) over (partition by template) as t_words, w / sqrt(sum(w * w) over (partition by template)) as tw from terms),
 weighed as (
-  select doc_id, path, kind, pos, line, word, w, sqrt(sum(w * w) over (partition by doc_id, path, kind, pos, line)) as norm
+  select num, doc_id, path, word, w, sqrt(sum(w * w) over (partition by num)) as norm
   from (select c.*, tf * (ln((1.0::double + n) / (1.0 + df)) + 1.0) as w from counted c join frequency f on f.word = c.word, total)),
-scored as (select doc_id, path, license, t_words, round(sum(w * tw) / max(norm), 6) as score from weighed p join unit u on u.word = p.word group by doc_id, path, kind, pos, line, template, license, t_words),
+scored as (select doc_id, path, license, t_words, round(sum(w * tw) / max(norm), 6) as score from weighed p join unit u on u.word = p.word group by num, doc_id, path, template, license, t_words),
 own as (
   select doc_id, path, license, score from (
     select *, row_number() over (partition by doc_id, path order by license = '{LAST}', score desc, t_words desc, license) as n from (select doc_id, path, license, t_words, max(score) as score from scored where score >= 0.6 group by all))
