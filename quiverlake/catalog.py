@@ -260,9 +260,10 @@ def exactish_topk(spark, d):
     return _score(K.top_k_batch(vectors(spark, d), asked(spark, d), 10, SCALAR.decode(SCALAR.encode(F.col("embedding")))))
 
 
-def _compressed(spark, d, kind: str, k: int) -> DataFrame:
+def _compressed(spark, d, kind: str, k: int, twice: bool = False) -> DataFrame:
     q = QUANTIZERS[kind]
-    return K.top_k_batch(vectors(spark, d), asked(spark, d).select("qid", V.doubles(q.prepare(F.col("query"))).alias("query")), k, q.decode(q.encode(F.col("embedding"))))
+    queries = asked(spark, d).select("qid", V.doubles(q.prepare(F.col("query"))).alias("query"), *([V.doubles(F.col("query")).alias("again")] if twice else []))
+    return K.top_k_batch(vectors(spark, d), queries, k, q.decode(q.encode(F.col("embedding"))), again=F.col("embedding") if twice else None)
 
 
 _PQ = f"pq as (select c.vector_id as qid, list_transform(c.p, lambda x: x::double) as query from deco c where c.vector_id % {EVERY} = 0)"
@@ -279,8 +280,7 @@ def compressed_topk(spark, d):
     + _top("list_dot_product(e, query)", "(select q.qid, v.vector_id, e, query from cand join v on v.vector_id = cand.vector_id join q on q.qid = cand.qid)", 10),
 )
 def compressed_reranked_topk(spark, d):
-    candidates = _compressed(spark, d, "rotate", hybrid.candidate_budget(10))
-    return _score(hybrid.rerank(candidates, vectors(spark, d), asked(spark, d), 10))
+    return _score(K.top_k_again(_compressed(spark, d, "rotate", hybrid.candidate_budget(10), True), 10))
 
 
 # ---- clusters ---------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from quiverlake.functions import vectors as V
-from quiverlake.operators.topk import MOST_QUERIES, Running, best, query_matrices
+from quiverlake.operators.topk import MOST_QUERIES, Running, best, kinds_of, query_matrices, seconds, with_again
 
 ROUNDS = 20
 NO_CLUSTER = -1
@@ -152,9 +152,9 @@ def probe_lists(names: list[tuple], centroids: np.ndarray, queries: np.ndarray,
 
 def top_k_probed(
     rows: DataFrame, queries: DataFrame, names: list[tuple[str, int]], centroids: np.ndarray, probe_k: int, k: int, by: list[str], vector: Column, key: str = "vector_id", metric: str = "dot_product",
-    most: int = MOST_QUERIES, carry: tuple[str, ...] = (),
+    most: int = MOST_QUERIES, carry: tuple[str, ...] = (), again: Column | None = None,
 ) -> DataFrame | None:
-    """(qid, key, carried columns, score): a task's k best rows a query, of the clusters that the query probes; rows of segments without clusters meet every query.
+    """(qid, key, carried columns, ``again`` if given, score): a task's k best rows a query, of the clusters that the query probes; rows of segments without clusters meet every query.
 
     ``names``: (``by`` joined by a slash, cluster id) of each row of ``centroids``,
     at most ``MOST_CENTROIDS``. In each Arrow batch a cluster is one matrix
@@ -165,16 +165,15 @@ def top_k_probed(
     columns, found = [key, *carry], None
     qid_type = queries.schema["qid"].dataType
     arrow_qid = to_arrow_type(qid_type)
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    for ids, matrix in query_matrices(queries, most):
+    for ids, matrix, second in query_matrices(queries, most):
         if not ids:
             continue
         asked = probe_lists(names, centroids, matrix, probe_k)
         wanted = sorted({c for (_, c), q in asked.items() if q.size})
-        sent = rows.sparkSession.sparkContext.broadcast((ids, matrix, asked, {s for s, _ in names}))
+        sent = rows.sparkSession.sparkContext.broadcast((ids, matrix, second, asked, {s for s, _ in names}))
 
         def score(batches, sent=sent):
-            ids, q, asked, held = sent.value
+            ids, q, second, asked, held = sent.value
             every, out = np.arange(len(ids)), Running(k, len(ids), key)
             for b in batches:
                 b = b.filter(b.column(0).is_valid()) if b.num_rows else b
@@ -193,12 +192,13 @@ def top_k_probed(
                         hits.append((who[qi], part[ri], s))
                 if hits:
                     qi, ri, s = (np.concatenate(z) for z in zip(*hits, strict=True))
-                    out.add(qi, b.select(columns).take(ri), s)
+                    taken = b.select(columns).take(ri)
+                    out.add(qi, taken if second is None else with_again(taken, b.column("__again"), second, metric, qi, ri), s)
             yield from out.out(ids, arrow_qid)
 
         reach = rows.where(F.col("cluster_id").isNull() | F.col("cluster_id").isin(wanted)) if names else rows
-        one = reach.select(vector.cast("array<double>").alias("__x"), F.coalesce(F.concat_ws("/", *by), F.lit("")).alias("__segment"), F.col("cluster_id").cast("int").alias("__cluster"), *columns)
-        one = one.mapInArrow(score, f"qid {qid_type.simpleString()}, {kinds}, score double")
+        one = reach.select(vector.cast("array<double>").alias("__x"), F.coalesce(F.concat_ws("/", *by), F.lit("")).alias("__segment"), F.col("cluster_id").cast("int").alias("__cluster"), *columns, *seconds(again))
+        one = one.mapInArrow(score, f"qid {qid_type.simpleString()}, {kinds_of(rows, columns, again)}, score double")
         found = one if found is None else found.unionByName(one)
     return found
 

@@ -6,6 +6,10 @@ the executors as one matrix, if it is within ``MOST_QUERIES``; each Arrow batch
 of rows is scored by one matrix product, and a task gives its k best rows a query, so
 that what is shuffled does not depend on the number of rows but on the number
 of tasks. More queries are taken in blocks of that size.
+
+Where the query table has a column ``again`` and a second vector of the rows is
+given, the k best are scored once more, by that vector, in the task that found
+them, so that no vector is read twice or shuffled; the result is the column ``again``.
 """
 
 from __future__ import annotations
@@ -42,10 +46,12 @@ def top_k_scored(scored: DataFrame, k: int, by: list[str], key: str = "vector_id
     return _ranked(scored.where("score is not null"), k, by, key)
 
 
-def query_matrices(queries: DataFrame, most: int = MOST_QUERIES) -> Iterator[tuple[list, np.ndarray]]:
-    """Ids and vectors of the query set, in blocks of at most ``most``, dealt by hash where there are more."""
-    read = lambda df: df.select("qid", "query").limit(most + 1).collect()
-    matrix = lambda got: ([r["qid"] for r in got], np.array([r["query"] for r in got], np.float64))
+def query_matrices(queries: DataFrame, most: int = MOST_QUERIES) -> Iterator[tuple[list, np.ndarray, np.ndarray | None]]:
+    """Ids and vectors of the query set, and its vectors ``again`` if it has any, in blocks of at most ``most``, dealt by hash where there are more."""
+    names = [c for c in ("query", "again") if c in queries.columns]
+    read = lambda df: df.select("qid", *names).limit(most + 1).collect()
+    vectors = lambda got, c: np.array([r[c] for r in got], np.float64) if c in names else None
+    matrix = lambda got: ([r["qid"] for r in got], vectors(got, "query"), vectors(got, "again"))
     got = read(queries)
     if len(got) <= most:
         yield matrix(got)
@@ -82,15 +88,37 @@ def best(q: np.ndarray, x: np.ndarray, metric: str, k: int) -> tuple[np.ndarray,
     with np.errstate(invalid="ignore"):
         near = np.where(np.isfinite(limit), limit - 1e-9 * np.maximum(1.0, np.abs(limit)), limit)
     qi, ri = np.nonzero((s >= near[:, None]) & (s > -np.inf))
+    return qi, ri, paired(q, x, metric, qi, ri)
+
+
+def paired(q: np.ndarray, x: np.ndarray, metric: str, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
+    """Scores of single pairs, in double precision."""
     out = np.empty(qi.size)
-    for at in range(0, qi.size, 65_536):
-        a, b = q[qi[at : at + 65_536]], x[ri[at : at + 65_536]]
-        if metric == "l2":
-            out[at : at + 65_536] = -((a - b) ** 2).sum(1)
-        else:
-            dot = (a * b).sum(1)
-            out[at : at + 65_536] = dot if metric == "dot_product" else dot / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-    return qi, ri, out
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        for at in range(0, qi.size, 65_536):
+            a, b = q[qi[at : at + 65_536]], x[ri[at : at + 65_536]].astype(np.float64, copy=False)
+            if metric == "l2":
+                out[at : at + 65_536] = -((a - b) ** 2).sum(1)
+            else:
+                dot = (a * b).sum(1)
+                out[at : at + 65_536] = dot if metric == "dot_product" else dot / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+    return out
+
+
+def table_of(column, rows: int, width: int) -> np.ndarray:
+    """A column of vectors as a matrix, after a check of their length."""
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+    if x.shape[1] != width:
+        raise ValueError(f"vectors of {x.shape[1]} components, queries of {width}")
+    return x
+
+
+def with_again(hits, column, queries: np.ndarray, metric: str, qi: np.ndarray, ri: np.ndarray):
+    """The rows of hits with their second score; null where it is not finite."""
+    import pyarrow as pa
+
+    score = paired(queries, table_of(column, len(column), queries.shape[1]), metric, qi, ri)
+    return pa.RecordBatch.from_arrays([*hits.columns, pa.array(score, mask=~np.isfinite(score))], names=[*hits.schema.names, "again"])
 
 
 class Running:
@@ -136,44 +164,57 @@ class Running:
             yield from done.combine_chunks().to_batches(max_chunksize=1 << 16)
 
 
-def _block(rows: DataFrame, ids: list, matrix: np.ndarray, qid_type: DataType, k: int, vector: Column, key: str, metric: str, carry: tuple[str, ...]) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+def _block(
+    rows: DataFrame, ids: list, matrix: np.ndarray, second: np.ndarray | None, qid_type: DataType, k: int, vector: Column, key: str, metric: str, carry: tuple[str, ...], again: Column | None
+) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast((ids, matrix, second))
     columns = [key, *carry]
     arrow_qid = to_arrow_type(qid_type)
 
     def score(batches):
-        names, q = sent.value
+        names, q, second = sent.value
         found = Running(k, len(names), key)
         for b in batches:
             b = b.filter(b.column(0).is_valid()) if b.num_rows else b
             if not b.num_rows:
                 continue
-            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            if x.shape[1] != q.shape[1]:
-                raise ValueError(f"vectors of {x.shape[1]} components, queries of {q.shape[1]}")
-            qi, ri, s = best(q, x, metric, k)
-            found.add(qi, b.select(columns).take(ri), s)
+            qi, ri, s = best(q, table_of(b.column(0), b.num_rows, q.shape[1]), metric, k)
+            hits = b.select(columns).take(ri)
+            found.add(qi, hits if second is None else with_again(hits, b.column("__again"), second, metric, qi, ri), s)
         yield from found.out(names, arrow_qid)
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.select(vector.cast("array<double>").alias("__x"), *columns).mapInArrow(score, f"qid {qid_type.simpleString()}, {kinds}, score double")
+    return rows.select(vector.cast("array<double>").alias("__x"), *columns, *seconds(again)).mapInArrow(score, f"qid {qid_type.simpleString()}, {kinds_of(rows, columns, again)}, score double")
+
+
+def seconds(again: Column | None) -> list[Column]:
+    return [] if again is None else [again.alias("__again")]
+
+
+def kinds_of(rows: DataFrame, columns: list[str], again: Column | None) -> str:
+    """Names and types of what a search carries."""
+    return ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), *([] if again is None else ["again double"])])
+
+
+def top_k_again(found: DataFrame, k: int, key: str = "vector_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Of each query's candidates the k best by ``again``, which becomes the score."""
+    return top_k_scored(found.select("qid", key, *carry, F.col("again").alias("score")), k, ["qid"], key).select("qid", "rank", key, *carry, "score")
 
 
 def top_k_batch(
-    rows: DataFrame, queries: DataFrame, k: int, vector: Column | None = None, key: str = "vector_id", metric: str = "dot_product", most: int = MOST_QUERIES, carry: tuple[str, ...] = ()
+    rows: DataFrame, queries: DataFrame, k: int, vector: Column | None = None, key: str = "vector_id", metric: str = "dot_product", most: int = MOST_QUERIES, carry: tuple[str, ...] = (),
+    again: Column | None = None,
 ) -> DataFrame:
-    """(qid, rank, key, carried columns, score) for a table of (qid, query), by matrix products."""
+    """(qid, rank, key, carried columns, score) for a table of (qid, query), by matrix products; ``again``, a second vector, adds the column of that name before the score."""
     vector = F.col("embedding") if vector is None else vector
     qid_type = queries.schema["qid"].dataType
     found = None
-    for ids, matrix in query_matrices(queries, most) if k >= 1 else ():
+    for ids, matrix, second in query_matrices(queries, most) if k >= 1 else ():
         if ids:
-            one = _block(rows, ids, matrix, qid_type, k, vector, key, metric, carry)
+            one = _block(rows, ids, matrix, second, qid_type, k, vector, key, metric, carry, again)
             found = one if found is None else found.unionByName(one)
     if found is None:
-        kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in (key, *carry))
-        return rows.sparkSession.createDataFrame([], f"qid {qid_type.simpleString()}, rank int, {kinds}score double")
-    return _ranked(found, k, ["qid"], key).select("qid", "rank", key, *carry, "score")
+        return rows.sparkSession.createDataFrame([], f"qid {qid_type.simpleString()}, rank int, {kinds_of(rows, [key, *carry], again)}, score double")
+    return _ranked(found, k, ["qid"], key).select("qid", "rank", key, *carry, *([] if again is None else ["again"]), "score")
 
 
 def checked(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:

@@ -242,31 +242,33 @@ class Engine:
                 found = hybrid.rerank(found, source, queries, top_k, metric=metric, key=KEY)
             hits = K.top_k_scored(found.select("qid", KEY, "score").join(source.select(KEY, "source", "metadata"), KEY), top_k, ["qid"], KEY)
         else:
-            # A hit carries its source and metadata from where it is scored; only reranking reads vectors again.
+            # A hit carries its source and metadata, and its second score, from where it is scored; vectors are read once.
             rows = budget(keyed(FL.restrict(self.visible(shard_id, filters, states), candidates)))
-            hits = score(rows)
+            hits = self._scored(rows, queries, limit, mode, states, wide, mode == RERANKED)
             if mode == RERANKED:
-                hits = hybrid.rerank(hits, rows, queries, top_k, metric=metric, key=KEY, carry=("source", "metadata"))
+                hits = K.top_k_again(hits, top_k, KEY, ("source", "metadata"))
         return hits.select("qid", "rank", f"{KEY}.vector_id", "score", "source", f"{KEY}.shard_id", "metadata")
 
-    def _scored(self, rows: DataFrame, queries: DataFrame, k: int, mode: str, states: dict[str, ShardState], probe_k: int | None) -> DataFrame:
+    def _scored(self, rows: DataFrame, queries: DataFrame, k: int, mode: str, states: dict[str, ShardState], probe_k: int | None, twice: bool = False) -> DataFrame:
+        """The k best rows a query; ``twice``: also their score by the stored vector, as ``again``."""
         q = self.quantizer
         coded, carry = F.struct("codes", "scale"), ("source", "metadata")
         metric = self.collection.metric
         if mode in (EXACT, EXACTISH):
             vector = F.col("embedding") if mode == EXACT else F.when(F.col("source") == hybrid.MUTABLE, F.col("embedding")).otherwise(q.restored(coded))
             return K.top_k_batch(rows, queries, k, vector, KEY, metric, carry=carry)
-        asked = queries.select("qid", q.prepare(F.col("query")).cast("array<double>").alias("query"))
+        again = F.col("embedding") if twice else None
+        asked = queries.select("qid", q.prepare(F.col("query")).cast("array<double>").alias("query"), *([F.col("query").cast("array<double>").alias("again")] if twice else []))
         names, centroids = [], []
         for shard, state in states.items() if probe_k and k > 0 else ():
             for segment_id, table in self.store.centroid_tables(state, shard).items():
                 names += [(f"{shard}/{segment_id}", c) for c in range(len(table))]
                 centroids.append(table)
         if names:
-            found = ivf.top_k_probed(rows, asked, names, np.concatenate(centroids), probe_k, k, ["shard_id", "segment_id"], q.decode(coded), KEY, metric, carry=carry)
+            found = ivf.top_k_probed(rows, asked, names, np.concatenate(centroids), probe_k, k, ["shard_id", "segment_id"], q.decode(coded), KEY, metric, carry=carry, again=again)
             if found is not None:
                 return K.top_k_scored(found, k, ["qid"], KEY)
-        return K.top_k_batch(rows, asked, k, q.decode(coded), KEY, metric, carry=carry)
+        return K.top_k_batch(rows, asked, k, q.decode(coded), KEY, metric, carry=carry, again=again)
 
     def explain_query(self, queries: DataFrame, **how) -> DataFrame:
         """One row a query: hits by source, and the plan as JSON."""

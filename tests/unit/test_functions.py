@@ -107,6 +107,24 @@ def test_top_k_ties_blocks_and_nulls(spark):
         K.top_k_native(rows, q, 3, most=4)
 
 
+def test_second_scores_against_a_loop(spark):
+    rng = np.random.default_rng(5)
+    coarse, fine = rng.integers(-2, 3, (60, 4)).astype(float), rng.normal(size=(60, 4))
+    fine[7] = np.inf
+    rows = spark.createDataFrame([(f"v{i:02}", c.tolist(), f.tolist()) for i, (c, f) in enumerate(zip(coarse, fine, strict=True))], "vector_id string, code array<double>, embedding array<float>").repartition(5)
+    q = rng.normal(size=(3, 4))
+    queries = spark.createDataFrame([(i, v.tolist(), (-v).tolist()) for i, v in enumerate(q)], "qid int, query array<double>, again array<double>")
+    want = []
+    for i, v in enumerate(q):
+        near = sorted(range(60), key=lambda r: (-(coarse[r] * v).sum(), r))[:12]
+        second = {r: -(fine[r].astype(np.float32).astype(float) * v).sum() for r in near if r != 7}
+        want += [(i, n + 1, f"v{r:02}", round(second[r], 9)) for n, r in enumerate(sorted(second, key=lambda r: (-second[r], r))[:4])]
+    for most in (100, 2):
+        found = K.top_k_batch(rows, queries, 12, F.col("code"), most=most, again=F.col("embedding"))
+        assert sorted((r["qid"], r["rank"], r["vector_id"], round(r["score"], 9)) for r in K.top_k_again(found, 4).collect()) == want
+    assert K.top_k_again(K.top_k_batch(rows, queries.limit(0), 12, F.col("code"), again=F.col("embedding")), 4).collect() == []
+
+
 def test_last_write_wins(spark):
     rows = spark.createDataFrame([("s", "a", 2, False), ("s", "a", 1, False), ("s", "b", 3, True), ("s", "b", 1, False), ("t", "b", 1, False)], "shard_id string, vector_id string, write_epoch long, is_deleted boolean")
     assert sorted(map(tuple, VIS.visible(rows).select("shard_id", "vector_id", "write_epoch").collect())) == [("s", "a", 2), ("t", "b", 1)]
