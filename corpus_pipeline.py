@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiverlake.llm._common import WORD, remove, shared_folder, spare
+from quiverlake.llm._common import WORD, cut_lineage, remove, shared_folder, spare
 from quiverlake.llm.language import fit_language, sure_language
 from quiverlake.llm.mixing import mix, row_keys, turns_taken
 from quiverlake.llm.near_copies import near_copy_groups
@@ -68,7 +68,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows alike in id, source and text come equally often; null texts and texts without a word go. Other columns stay as they are.
     """
     one, two, other1, other2, slot = spare(docs, "one", "two", "other1", "other2", "slot")
-    turns = turns_taken(*mix(docs)).select(F.col("key1").alias(other1), F.col("key2").alias(other2), F.col("first_slot").alias(slot))
+    # Stored before they meet the texts, so that no plan is large: the driver plans what is left again after each exchange.
+    turns = cut_lineage(turns_taken(*mix(docs))).select(F.col("key1").alias(other1), F.col("key2").alias(other2), F.col("first_slot").alias(slot))
     keys = row_keys(F.col("doc_id"), F.col("source"), F.col("text"))
     named = docs.filter(F.col("text").rlike(WORD)).withColumn(one, keys[0]).withColumn(two, keys[1])
     met = named.join(turns, (F.col(one) == F.col(other1)) & (F.col(two) == F.col(other2)))

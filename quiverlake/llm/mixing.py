@@ -85,7 +85,8 @@ def slot_schedule(targets: DataFrame, block: int) -> DataFrame:
     lines = lines.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high"))))).select("place", "quota", "low", "high", "cell")
     turn = (F.col("slot") + 1) * F.lit(GOLDEN)
     points = spark.range(n).withColumnRenamed("id", "slot").withColumn("x", turn - F.floor(turn)).withColumn("cell", cell(F.col("x")))
-    owned = points.join(lines, "cell").filter("x >= low and x < high").select("slot", "place", "quota")
+    # Stored, as the ranks and the shortfall both read it: the plan, and what the driver holds of it, stays small.
+    owned = cut_lineage(points.join(lines, "cell").filter("x >= low and x < high").select("slot", "place", "quota"))
     ranked = running_position(owned, ["place"], [F.col("slot")], F.lit(1), "rank", slice_of=F.floor(F.col("slot") * 1024 / F.lit(max(n, 1))))
     inside = ranked.filter("rank < quota").select("slot", "place", "rank")
     have = owned.groupBy("place").agg(F.count("*").alias("have"))
@@ -120,7 +121,7 @@ def mix(
     spans = turns.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     first, last = F.greatest("from", F.col("rank") * block), F.least("to", (F.col("rank") + 1) * block)
     spans = spans.select("place", "rank", "row", "turn", (first - F.col("from")).alias("first_word"), (last - first).alias("words"))
-    mixed = slot_schedule(targets, block).join(spans, ["place", "rank"]).select("slot", "row", "turn", "first_word", "words")
+    mixed = cut_lineage(slot_schedule(targets, block)).join(spans, ["place", "rank"]).select("slot", "row", "turn", "first_word", "words")
     return sizes.select("row", "id", "key1", "key2", "size", "source_size", "target"), mixed
 
 

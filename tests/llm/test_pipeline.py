@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quiverlake.llm.components import connected_components
 from quiverlake.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -121,3 +122,32 @@ def test_near_duplicates_against_all_pairs(spark, docs, sf_dir):
                 top[max(root(a), root(b))] = min(root(a), root(b))
     want = {root(k) for k in range(len(rows))}
     assert {r["doc_id"] for r in _step(spark, "near_duplicates", docs(rows), sf_dir).collect()} == want
+
+
+def _largest_plan(spark, run):
+    """Nodes of the largest plan that Spark ran meanwhile."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    seen = {store.executionsList().apply(k).executionId() for k in range(store.executionsCount())}
+    run()
+    bus.waitUntilEmpty()
+    ids = {store.executionsList().apply(k).executionId() for k in range(store.executionsCount())}
+    return max(store.planGraph(k).allNodes().size() for k in ids - seen)
+
+
+def test_plans_stay_small(spark, sf_dir, tmp_path):
+    """The driver plans a query again after each of its exchanges, so large plans cost it memory."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert _largest_plan(spark, lambda: _step(spark, "near_duplicates", d, sf_dir).write.parquet(f"{tmp_path}/near")) <= 80
+    assert _largest_plan(spark, lambda: _step(spark, "mixing", d, sf_dir).write.parquet(f"{tmp_path}/mixed")) <= 100
+
+
+def test_rounds_of_components_have_small_plans(spark, monkeypatch):
+    """With hubs and without; the result is what it was."""
+    edges = spark.createDataFrame([(0, k) for k in range(1, 300)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 2000), (2000, 2001)], "u long, v long")
+    want = {k: 0 for k in [*range(1, 300), 2000, 2001]} | {k: 1000 for k in range(1001, 1101)}
+    for hub, most in ((100_000, 60), (20, 80)):
+        monkeypatch.setattr("quiverlake.llm.components.HUB", hub)
+        found = []
+        assert _largest_plan(spark, lambda: found.extend(connected_components(edges).collect())) <= most  # noqa: B023
+        assert {r["u"]: r["v"] for r in found} == want
