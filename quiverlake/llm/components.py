@@ -33,7 +33,8 @@ def _with_least(edges: DataFrame, total: int, keep) -> DataFrame:
     least, limit = keep(least), max(HUB, total // SHARE)
     hubs = F.broadcast(least.where(F.col("n") > limit).select("u", F.col("m").alias("hub")))
     met = edges.join(hubs, "u", "left")
-    few = met.where("hub is null").select("u", "v").join(least.where(F.col("n") <= limit).select("u", "m"), "u")
+    # Never a broadcast: files of edges are far smaller than their rows, and an exploded side is taken for as small as what it comes from.
+    few = met.where("hub is null").select("u", "v").hint("merge").join(least.where(F.col("n") <= limit).select("u", "m"), "u")
     return met.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionByName(few.select("u", "v", "m"))
 
 

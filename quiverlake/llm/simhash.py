@@ -174,8 +174,9 @@ def links(nodes: DataFrame, radius: int = 2, keep: int | None = None) -> DataFra
     fp = F.col("fp")
     shards = F.array(*[F.struct(F.lit(t).alias("t"), fp.bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     dealt = nodes.select(fp, F.explode(shards).alias("s")).select("fp", "s.t", "s.key")
-    # The join can split a shard that is far larger than others; a window could not.
-    dealt = dealt.join(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["t", "key"])
+    # The join can split a shard that is far larger than others; a window could not. It is never a broadcast: Spark takes
+    # the exploded side for as small as the fingerprints before it.
+    dealt = dealt.hint("merge").join(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["t", "key"])
     parts = F.element_at(F.array(*[F.array(*[F.lit(_signed(p)) for p in _thirds(m, radius)]) for m in masks]), F.col("t") + 1)
     split = F.when(F.col("n") > HEAVY, F.transform(parts, lambda p, k: F.struct(k.alias("k"), fp.bitwiseAND(p).alias("part")))).otherwise(F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("part"))))
     dealt = dealt.select("fp", "t", "key", F.explode(split).alias("p")).select("fp", "t", "key", "p.k", "p.part")

@@ -110,3 +110,12 @@ def test_blocks_grow_with_the_corpus():
     assert [blocks_kept(n, 2) for n in (0, 10**6, 10**12)] == [2, 2, 2]
     kept = [blocks_kept(n, 8) for n in (10**4, 10**6, 10**8, 10**10)]
     assert kept == sorted(kept) and kept[0] == 2 and kept[-1] > 3
+
+
+def test_exploded_fingerprints_are_never_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    nodes = spark.range(4000).select(F.xxhash64("id").alias("fp")).repartition(3).select("fp").distinct()
+    got = links(nodes, 8)
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
