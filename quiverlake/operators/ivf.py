@@ -188,7 +188,9 @@ def top_k_probed(
                     name = segment.dictionary[int(segment.indices[int(part[0])].as_py())].as_py()
                     who = asked.get((name, int(cluster[part[0]])), every[:0]) if name in held else every
                     if who.size:
-                        qi, ri, s = best(q[who], x[part], metric, k)
+                        tops = out.tops[who]
+                        qi, ri, s = best(q[who], x[part], metric, k, tops)
+                        out.tops[who] = tops
                         hits.append((who[qi], part[ri], s))
                 if hits:
                     qi, ri, s = (np.concatenate(z) for z in zip(*hits, strict=True))

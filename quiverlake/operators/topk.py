@@ -27,6 +27,8 @@ from quiverlake.functions import vectors as V
 from quiverlake.schema import total_order
 
 MOST_QUERIES = 4096
+#: Queries that are scored at once against a batch of rows.
+QUERY_ROWS = 512
 METRICS: dict[str, Callable[[Column, Column], Column]] = {"dot_product": V.dot, "cosine": V.cosine, "l2": lambda a, b: -V.squared_l2(a, b)}
 
 
@@ -75,22 +77,81 @@ def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.where(np.isfinite(s), s, -np.inf)
 
 
-def best(q: np.ndarray, x: np.ndarray, metric: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(q: np.ndarray, x: np.ndarray, metric: str, k: int, tops: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of the k best rows a query, and of all that tie with them.
 
+    ``tops``: the k best scores of each query in what was seen before; rows below them are left out, and it is brought up to date.
+
     The matrix product only finds them: what it gives for a pair depends on
     where in the matrix it is, by a rounding. Their scores are summed once more pair
     by pair, so that equal vectors have equal scores.
     """
-    s = scores(q, x, metric)
-    n = min(k, s.shape[1])
-    limit = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-    with np.errstate(invalid="ignore"):
-        near = np.where(np.isfinite(limit), limit - 1e-9 * np.maximum(1.0, np.abs(limit)), limit)
-    qi, ri = np.nonzero((s >= near[:, None]) & (s > -np.inf))
+    tops = np.full((len(q), k), -np.inf) if tops is None else tops
+    found = [sifted(scores(q[at : at + QUERY_ROWS], x, metric), tops[at : at + QUERY_ROWS]) for at in range(0, len(q), QUERY_ROWS)]
+    qi = np.concatenate([f[0] + at * QUERY_ROWS for at, f in enumerate(found)]) if found else np.zeros(0, np.int64)
+    ri = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
     return qi, ri, paired(q, x, metric, qi, ri)
 
 
+def sifted(s: np.ndarray, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the scores that are, but for a rounding, among each query's best of this matrix and of what was seen before; brings ``tops`` up to date."""
+    k = tops.shape[1]
+    if np.isinf(tops).any():
+        n = min(k, s.shape[1])
+        seen = np.concatenate([tops, np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n :]], axis=1)
+        tops[:] = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k :]
+        qi, ri = np.nonzero((s >= _near(tops)[:, None]) & (s > -np.inf))
+        return qi, ri
+    qi, ri = np.nonzero(s >= _near(tops)[:, None])
+    if qi.size:
+        who, own, many = np.unique(qi, return_inverse=True, return_counts=True)
+        more = np.full((who.size, int(many.max())), -np.inf)
+        more[own, np.arange(qi.size) - np.repeat(np.cumsum(many) - many, many)] = s[qi, ri]
+        seen = np.concatenate([tops[who], more], axis=1)
+        tops[who] = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k :]
+    return qi, ri
+
+
+def _near(tops: np.ndarray) -> np.ndarray:
+    limit = tops.min(axis=1)
+    with np.errstate(invalid="ignore"):
+        return np.where(np.isfinite(limit), limit - 1e-9 * np.maximum(1.0, np.abs(limit)), limit)
+
+
+def _two_sum(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s = a + b
+    t = s - a
+    return s, (a - (s - t)) + (b - t)
+
+
+def _split(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    c = 134217729.0 * a
+    high = c - (c - a)
+    return high, a - high
+
+
+def fused(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """a * b + c with one rounding. The product's error is found exactly, and the small parts are added rounding to odd (Boldo and Melquiond)."""
+    p = a * b
+    (ah, al), (bh, bl) = _split(a), _split(b)
+    low = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    u, ul = _two_sum(c, low)
+    t, tl = _two_sum(p, u)
+    v, r = _two_sum(tl, ul)
+    bits = v.view(np.int64)
+    odd = np.where((r != 0) & (bits & 1 == 0), np.where((r > 0) == (v > 0), 1, -1), 0)
+    z = t + (bits + odd).view(np.float64)
+    return np.where(np.isfinite(z), z, p + c)
+
+
+def fused_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two matrices, each component's product added with one rounding, in their order: as DuckDB has them."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out = fused(np.ascontiguousarray(a[:, j]), np.ascontiguousarray(b[:, j]), out)
+    return out
+
+
 def paired(q: np.ndarray, x: np.ndarray, metric: str, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
     """Scores of single pairs, in double precision."""
     out = np.empty(qi.size)
@@ -100,8 +161,8 @@ def paired(q: np.ndarray, x: np.ndarray, metric: str, qi: np.ndarray, ri: np.nda
             if metric == "l2":
                 out[at : at + 65_536] = -((a - b) ** 2).sum(1)
             else:
-                dot = (a * b).sum(1)
-                out[at : at + 65_536] = dot if metric == "dot_product" else dot / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+                dot = fused_dot(a, b)
+                out[at : at + 65_536] = dot if metric == "dot_product" else dot / (np.sqrt(fused_dot(a, a)) * np.sqrt(fused_dot(b, b)))
     return out
 
 
@@ -126,6 +187,7 @@ class Running:
 
     def __init__(self, k: int, queries: int, key: str):
         self.k, self.key, self.most, self.held, self.rows = k, key, max(1 << 16, 4 * k * queries), [], 0
+        self.tops = np.full((queries, k), -np.inf)
 
     def add(self, qi: np.ndarray, rows, score: np.ndarray) -> None:
         """``rows``: a record batch with the key first."""
@@ -178,7 +240,7 @@ def _block(
             b = b.filter(b.column(0).is_valid()) if b.num_rows else b
             if not b.num_rows:
                 continue
-            qi, ri, s = best(q, table_of(b.column(0), b.num_rows, q.shape[1]), metric, k)
+            qi, ri, s = best(q, table_of(b.column(0), b.num_rows, q.shape[1]), metric, k, found.tops)
             hits = b.select(columns).take(ri)
             found.add(qi, hits if second is None else with_again(hits, b.column("__again"), second, metric, qi, ri), s)
         yield from found.out(names, arrow_qid)

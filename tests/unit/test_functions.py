@@ -207,3 +207,39 @@ def test_collection_checks():
     for bad in (("", 2, {}), ("c", 0, {}), ("c", 2, {"metric": "x"})):
         with pytest.raises(ValueError):
             Collection(bad[0], bad[1], **bad[2])
+
+
+def test_scores_are_fused_sums(spark):
+    """Vectors that are alike but for a rounding: DuckDB's dot product rounds once a component, and what comes first follows from it."""
+    import math
+
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    a, b, c = rng.normal(size=(3, 2000)) * 10.0 ** rng.integers(-8, 8, (3, 2000))
+    c[:500] = -(a * b)[:500]
+    assert K.fused(a, b, c).tolist() == [math.fma(*t) for t in zip(a, b, c, strict=True)]
+    counts = np.array([[3, 5, 7, 2], [1, 1, 3, 9], [2, 7, 0, 1]])[rng.integers(0, 3, 300)] * rng.integers(1, 90, (300, 1))
+    unit = (counts / np.sqrt((counts * counts).sum(1))[:, None]).tolist()
+    rows = spark.createDataFrame(list(enumerate(unit)), "vector_id int, embedding array<double>").repartition(3)
+    queries = rows.where("vector_id % 30 = 0").select(F.col("vector_id").alias("qid"), F.col("embedding").alias("query"))
+    con = duckdb.connect()
+    con.execute("create table v (i int, e double[])")
+    con.executemany("insert into v values (?, ?)", [[i, e] for i, e in enumerate(unit)])
+    want = con.execute("select q.i, row_number() over (partition by q.i order by list_dot_product(v.e, q.e) desc, v.i) as r, v.i from v, v q where q.i % 30 = 0 qualify r <= 5").fetchall()
+    assert sorted(tuple(r)[:3] for r in K.top_k_batch(rows, queries, 5).collect()) == sorted(want)
+
+
+def test_a_task_keeps_its_limits_over_batches():
+    rng = np.random.default_rng(4)
+    q, x = rng.normal(size=(700, 8)), rng.normal(size=(900, 8))
+    x[100:140] = x[3]
+    tops, got = np.full((700, 6), -np.inf), []
+    for at in range(0, 900, 100):
+        qi, ri, s = K.best(q, x[at : at + 100], "dot_product", 6, tops)
+        got += zip(qi.tolist(), s.tolist(), (ri + at).tolist(), strict=True)
+    full = q @ x.T
+    for j in range(0, 700, 50):
+        mine = sorted((-s, r) for i, s, r in got if i == j)[:6]
+        assert [r for _, r in mine] == sorted(range(900), key=lambda r: (-round(full[j, r], 12), r))[:6]
+    assert len(got) < 700 * 6 * 9
