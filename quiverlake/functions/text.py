@@ -32,14 +32,19 @@ def occurrences(text: Column, token: str) -> Column:
 
 
 def group_counts(text: Column, groups=DEFAULT_GROUPS) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    counts = []
-    for tokens in groups:
-        total = F.lit(0)
-        for t in tokens:
-            total = total + occurrences(low, t)
-        counts.append(total.cast("double"))
-    return F.array(*counts)
+    """Occurrences of each group's tokens. The text is put in lower case once; sizes in bytes tell occurrences as well as those in characters."""
+
+    def counted(low: Column) -> Column:
+        size = F.octet_length(low)
+        counts = []
+        for tokens in groups:
+            total = F.lit(0)
+            for t in tokens:
+                total = total + ((size - F.octet_length(F.replace(low, F.lit(t), F.lit("")))) / len(t.encode())).cast("int")
+            counts.append(total.cast("double"))
+        return F.array(*counts)
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), counted)
 
 
 def embed_text(text: Column, groups=DEFAULT_GROUPS) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 KEY = ["shard_id", "vector_id"]
+#: Rows of keys that a join sends to all executors at most.
+FEW = 100_000
 
 
 def newest(rows: DataFrame, key: list[str] | None = None, order: list[Column] | None = None) -> DataFrame:
@@ -43,6 +45,11 @@ def removed(rows: DataFrame, keys: DataFrame, key: list[str] | None = None) -> t
     return rows.join(gone, key, "left_anti"), rows.join(gone, key, "left_semi")
 
 
+def sent_if_few(keys: DataFrame) -> DataFrame:
+    """Narrow keys, to be broadcast if a count finds few. Without it both sides of a join are shuffled before Spark sees how few they are."""
+    return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
+
+
 def live(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("is_deleted"))
 

@@ -165,3 +165,41 @@ def test_settings():
     for bad in ("a", "a:", ":b"):
         with pytest.raises(ValueError):
             settings.parse_tenants(bad)
+
+
+def test_versions_are_settled_without_their_texts(spark, tmp_path):
+    host = ParquetHost(spark, f"{tmp_path}/host")
+    kind = "document_id string, title string, body string, region string"
+    assert host.documents().collect() == []
+    host.upsert(spark.createDataFrame([("1", "a", "x", "us"), ("1", "a", "x", "us"), ("2", "b", "y", "us"), (None, "n", "z", "us")], kind).repartition(3))
+    host.upsert(spark.createDataFrame([("2", "c", "w", "ca")], kind))
+    host.delete(spark.createDataFrame([("3",)], "document_id string"))
+    assert sorted(map(str, host.documents().select("document_id", "body").collect())) == sorted(["Row(document_id='1', body='x')", "Row(document_id='2', body='w')", "Row(document_id=None, body='z')"])
+    plan = host.documents(False).select("document_id")._jdf.queryExecution().executedPlan().toString()
+    assert "body" not in plan and "title" not in plan
+
+
+def test_a_sync_embeds_each_text_once(spark, side, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quiverlake.functions import text as X
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text, groups):
+        @F.udf("array<double>")
+        def one(t):
+            read.add(1)
+            return [1.0] + [0.0] * (len(groups) - 1)
+
+        return one(text)
+
+    plain = X.embed_text
+    monkeypatch.setattr(X, "embed_text", seen)
+    side.backfill()
+    assert read.value == len(DOCS)
+    side.sync(_ids(spark, "1"))
+    assert read.value == len(DOCS) + 1
+    monkeypatch.undo()
+    low = plain(F.col("id").cast("string"), X.DEFAULT_GROUPS)
+    assert spark.range(1).select(low)._jdf.queryExecution().analyzed().toString().count("lower(") <= 2  # in the column and in its name
