@@ -15,10 +15,13 @@ them, so that no vector is read twice or shuffled; the result is the column ``ag
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from math import isqrt
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 from pyspark.sql.window import Window
@@ -287,14 +290,73 @@ def checked(queries: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
 
 
 def top_k_native(rows: DataFrame, queries: DataFrame, k: int, key: str = "vector_id", vector: str = "embedding", metric: str = "dot_product", most: int = MOST_QUERIES) -> DataFrame:
-    """The same on the JVM: rows meet the broadcast queries in an array, within the checked size."""
+    """The same on the JVM: rows meet the broadcast queries, within the checked size, and few pairs are kept to be ranked.
+
+    A share of the rows, one in the root of rows / k, is ranked first. A query's k best of any rows are no better than
+    those of all, so pairs below them are left out of the second pass where they are made.
+    """
     n = queries.count()
     if n > most:
         raise ValueError(f"more than {most} queries; take them in blocks")
-    asked = queries.agg(F.collect_list(F.struct("qid", "query")).alias("__queries"))
-    met = rows.select(key, vector).join(F.broadcast(asked)).select(key, vector, F.explode("__queries").alias("__q"))
-    scored = met.select(F.col("__q.qid").alias("qid"), key, METRICS[metric](F.col(vector), F.col("__q.query")).alias("score"))
-    return _ranked(scored.where("score is not null"), k, ["qid"], key).select("qid", "rank", key, "score")
+    first = queries.select("query").limit(1).first()
+    width = len(first["query"]) if first and first["query"] is not None else 0
+    narrow, asked = spread(rows, vector, width, "v", key), spread(queries, "query", width, "q", "qid")
+    score = _of_columns(width, metric)
+
+    def scored(some: DataFrame, asked: DataFrame) -> DataFrame:
+        return some.join(F.broadcast(asked)).select("qid", key, score.alias("score"), *[c for c in asked.columns if c == "__limit"])
+
+    share = isqrt(max(1, rows.count() // max(1, k)))
+    if share > 1:
+        some = narrow.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0)
+        limits = _ranked(scored(some, asked).where("score is not null"), k, ["qid"], key).where(F.col("rank") == k).select("qid", F.col("score").alias("__limit")).collect()
+        table = rows.sparkSession.createDataFrame(limits, T.StructType([queries.schema["qid"], T.StructField("__limit", T.DoubleType())]))
+        asked = asked.join(F.broadcast(table), "qid", "left")
+        # A comparison that a null score or limit leaves open: null scores go, null limits keep all.
+        kept = scored(narrow, asked).where("score is not null and score >= coalesce(__limit, double('-infinity'))")
+    else:
+        kept = scored(narrow, asked).where("score is not null")
+    return _ranked(kept, k, ["qid"], key).select("qid", "rank", key, "score")
+
+
+def spread(rows: DataFrame, vector: str, width: int, name: str, key: str) -> DataFrame:
+    """(key, a column for each component): rows without a vector or with a null in it go, as they have no score; another length is an error.
+
+    Columns of numbers that are never null make a product over them so short that the JVM compiles it; over arrays it does not.
+    """
+    v = F.col(vector)
+    wrong = F.raise_error(F.concat(F.lit("vectors of "), F.size(v).cast("string"), F.lit(f" and {width} components"))).cast("boolean")
+    there = v.isNotNull() & F.when(F.size(v) == width, ~F.exists(v, lambda x: x.isNull())).otherwise(wrong)
+    return rows.where(there).select(key, *[F.coalesce(v.getItem(j).cast("double"), F.lit(0.0)).alias(f"__{name}{j}") for j in range(width)])
+
+
+def _of_columns(width: int, metric: str) -> Column:
+    """``METRICS`` of the columns that ``spread`` makes as v and q."""
+    at = lambda name, j: F.col(f"__{name}{j}")
+
+    def total(f) -> Column:
+        out = F.lit(0.0)
+        for j in range(width):
+            out = out + f(j)
+        return out
+
+    dot = lambda a, b: total(lambda j: at(a, j) * at(b, j))
+    if metric == "l2":
+        return -total(lambda j: (at("v", j) - at("q", j)) * (at("v", j) - at("q", j)))
+    return dot("v", "q") if metric == "dot_product" else dot("v", "q") / F.nullif(F.sqrt(dot("v", "v")) * F.sqrt(dot("q", "q")), F.lit(0.0))
+
+
+def top_k_native_blocks(rows: DataFrame, queries: DataFrame, k: int, most: int = MOST_QUERIES, **how) -> DataFrame:
+    """``top_k_native`` for query sets of any size, dealt by hash into blocks within ``most``."""
+    n = queries.count()
+    if n <= most:
+        return top_k_native(rows, queries, k, most=most, **how)
+    parts = -(-2 * n // most)
+    dealt = lambda p: F.pmod(F.xxhash64("qid"), F.lit(p)).cast("int")
+    while queries.groupBy(dealt(parts).alias("p")).count().agg(F.max("count")).first()[0] > most:
+        parts *= 2
+    found = [top_k_native(rows, queries.where(dealt(parts) == p), k, most=most, **how) for p in range(parts)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def first_rows(rows: DataFrame, budget: int, by: list[str], order: list[str]) -> DataFrame:

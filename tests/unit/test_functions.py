@@ -243,3 +243,19 @@ def test_a_task_keeps_its_limits_over_batches():
         mine = sorted((-s, r) for i, s, r in got if i == j)[:6]
         assert [r for _, r in mine] == sorted(range(900), key=lambda r: (-round(full[j, r], 12), r))[:6]
     assert len(got) < 700 * 6 * 9
+
+
+@pytest.mark.parametrize("metric", ["dot_product", "cosine", "l2"])
+def test_native_top_k_leaves_out_only_what_cannot_be_among_the_best(spark, metric):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-3, 4, (600, 5)).astype(float)
+    data = [(k, v.tolist()) for k, v in enumerate(x)] + [(700, None), (701, [1.0, None, 1.0, 1.0, 1.0]), (702, [0.0] * 5)]
+    rows = spark.createDataFrame(data, "vector_id int, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(k, (v + 0.1).tolist()) for k, v in enumerate(x[:9])], "qid int, query array<double>")
+    whole = rows.where("vector_id < 700 or vector_id = 702")
+    plain = lambda df: sorted((r["qid"], r["rank"], r["vector_id"], round(r["score"], 9)) for r in df.collect())
+    want = plain(K._ranked(whole.crossJoin(queries).withColumn("score", K.METRICS[metric](F.col("embedding"), F.col("query"))).where("score is not null"), 4, ["qid"], "vector_id"))
+    assert plain(K.top_k_native(rows, queries, 4, metric=metric)) == plain(K.top_k_native_blocks(rows, queries, 4, most=4, metric=metric)) == want
+    assert K.top_k_native_blocks(rows, queries.limit(0), 4).collect() == K.top_k_native(rows.limit(0), queries, 4).collect() == []
+    with pytest.raises(Exception, match="components"):
+        K.top_k_native(rows.union(spark.createDataFrame([(9000, [1.0])], rows.schema)), queries, 4, metric=metric).collect()
