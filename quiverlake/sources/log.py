@@ -65,19 +65,16 @@ class WriteLog:
 
     def append(self, rows: DataFrame) -> None:
         """Writes rows that have their epochs; one batch folder a shard, which is there as a whole or not at all."""
-        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).persist()
-        try:
-            spans = {r["shard_id"]: (r["a"], r["b"]) for r in rows.groupBy("shard_id").agg(F.min("write_epoch").alias("a"), F.max("write_epoch").alias("b")).collect()}
-            if not spans:
-                return
-            # One job for all shards, in a folder that no reader looks at; a shard's part then moves to its place as a whole.
-            draft = f"{self.folder}/.draft-{min(a for a, _ in spans.values()):020d}-{uuid.uuid4().hex}"
-            rows.withColumn("__shard", F.col("shard_id")).write.partitionBy("__shard").parquet(draft)
-            for shard, (a, b) in sorted(spans.items(), key=lambda s: s[1]):
-                self.storage.move(f"{draft}/{self.storage.partition_name('__shard', shard)}", f"{self.folder}/shard={shard}/batch-{a:020d}-{b:020d}")
-            self.storage.remove(draft)
-        finally:
-            rows.unpersist()
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
+        # One job for all shards, in a folder that no reader looks at; a shard's part then moves to its place as a whole.
+        # Its epochs are read back from there, so that the rows are neither made twice nor held in memory.
+        draft = f"{self.folder}/.draft-{uuid.uuid4().hex}"
+        rows.withColumn("__shard", F.col("shard_id")).write.partitionBy("__shard").parquet(draft)
+        written = self.spark.read.schema(self.schema).parquet(draft)
+        spans = {r["shard_id"]: (r["a"], r["b"]) for r in written.groupBy("shard_id").agg(F.min("write_epoch").alias("a"), F.max("write_epoch").alias("b")).collect()}
+        for shard, (a, b) in sorted(spans.items(), key=lambda s: s[1]):
+            self.storage.move(f"{draft}/{self.storage.partition_name('__shard', shard)}", f"{self.folder}/shard={shard}/batch-{a:020d}-{b:020d}")
+        self.storage.remove(draft)
 
     def replay(self, after: int = 0, shard_id: str | None = None) -> DataFrame:
         """Rows with a later epoch, of one shard or all; older batches are not opened."""

@@ -203,3 +203,18 @@ def test_a_sync_embeds_each_text_once(spark, side, monkeypatch):
     monkeypatch.undo()
     low = plain(F.col("id").cast("string"), X.DEFAULT_GROUPS)
     assert spark.range(1).select(low)._jdf.queryExecution().analyzed().toString().count("lower(") <= 2  # in the column and in its name
+
+
+def test_an_append_to_the_log_holds_no_rows(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    log = Engine(spark, f"{tmp_path}/e", Collection("c", 2)).log
+    row = ("upsert", "c", "s", "a", 1, [1.0, 2.0], None, None)
+    rows = spark.createDataFrame([row, (*row[:2], "t", "b", 2, *row[5:])], log.schema)
+    monkeypatch.setattr(DataFrame, "persist", lambda *_: pytest.fail("held"))
+    log.append(rows)
+    log.append(rows.limit(0))
+    assert log.shards() == ["s", "t"]
+    assert log.last_epoch() == 2 and log.replay().agg(F.count("*")).first()[0] == 2
+    assert not [n for n in log.storage.names(log.folder) if n.startswith(".draft")]
